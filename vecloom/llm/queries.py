@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "p2_knn": ("p2_found", "p2_knn"),
+    "p3_clusters": ("p3_found", "p3_clusters"),
+    "p4_top_n": ("p4_found", "p4_topn"),
+    "p5_near_duplicates": ("p5_found", "p5_groups"),
+    "p6_rank_fusion": ("p6_found", "p6_ranking"),
 }
 
 
