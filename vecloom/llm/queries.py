@@ -8,11 +8,15 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "p1_subset": ("p1_subset",),
     "p2_knn": ("p2_found", "p2_knn"),
     "p3_clusters": ("p3_found", "p3_clusters"),
     "p4_top_n": ("p4_found", "p4_topn"),
     "p5_near_duplicates": ("p5_found", "p5_groups"),
     "p6_rank_fusion": ("p6_found", "p6_ranking"),
+    "p7_encode": ("p7_ids",),
+    "p8_containers": ("p8_containers",),
+    "p9_spans": ("p9_found", "p9_shared"),
 }
 
 
