@@ -46,3 +46,11 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def cut_lineage(df):
+    """Checkpoint in the folder of ``spark.checkpoint.dir``, shared by the cluster; a temporary one only where unset."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-checkpoint-"))
+    return df.checkpoint()
