@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, partitions, repeated_keys, stored_vectors
+from .common import checked_broadcast, cut, partitions, stored_vectors
 from .components import components
 from .vectors import by_size
 
 SEGMENTS, WIDTH, SKETCH = 4, 6, 16
-#: Sketch bits in which a candidate may differ; at similarity 0.7 it is 4.8 on average, more than 11 in 2 pairs of 1000.
-SKETCH_BITS = 11
-ROWS_PER_TASK = 1_500_000
+#: Sketch bits in which a candidate may differ; at similarity 0.7 it is 4.8 on average, more than 10 in 4 pairs of 1000.
+SKETCH_BITS = 10
+#: Bytes of an index entry, entries of a task, and pair ends (four numbers each) that may be broadcast.
+ENTRY, ENTRIES_PER_TASK, BROADCAST_ENDS = 13, 1_500_000, 1_000_000
 _RNG = np.random.default_rng(20)
 _A = (_RNG.integers(1, 2**32, SEGMENTS * WIDTH + SKETCH, dtype=np.uint64) | 1).astype(np.uint32)
 _B = _RNG.integers(1, 2**32, SEGMENTS * WIDTH + SKETCH, dtype=np.uint64).astype(np.uint32)
@@ -70,48 +71,63 @@ def variants(symbols: np.ndarray) -> np.ndarray:
     return mix64(each.sum(2, keepdims=True) - each + at.reshape(SEGMENTS, WIDTH))
 
 
-def to_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, vector) to (key, tag): a row for each variant; the tag holds 32 bits of the uid and the sketch."""
-    for batch in batches:
-        uid = batch.column("uid").to_numpy()
-        for _, rows, m in by_size(batch.column("vector")):
-            for s in range(0, len(rows), 4_096):
-                symbols, sketch = signatures(m[s : s + 4_096])
-                keys = variants(symbols).reshape(len(sketch), -1)
-                tag = (uid[rows[s : s + 4_096]] << 32) | sketch.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(tag, keys.shape[1]))], names=["key", "tag"])
+def to_variants(parts: int):
+    """A mapInArrow function from (uid, vector) to (part, entries): the variants of a batch, one blob for each part.
+
+    An entry is 13 bytes: 40 bits of the key (the rest chose the part), 32 of the uid and the sketch. Blobs instead of
+    rows keep the exchange at the size of the entries and out of the row format.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column("uid").to_numpy()
+            for _, rows, m in by_size(batch.column("vector")):
+                done = [signatures(m[s : s + 4_096]) for s in range(0, len(rows), 4_096)]
+                keys = np.concatenate([variants(symbols) for symbols, _ in done]).reshape(len(rows), -1)
+                entry = np.empty((keys.size, ENTRY), np.uint8)
+                part = (keys.ravel() % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                entry[:, :5] = (keys.ravel() // np.uint64(parts))[order].view(np.uint8).reshape(-1, 8)[:, :5]
+                row = order // keys.shape[1]
+                entry[:, 5:9] = uid[rows].astype(np.uint32)[row].view(np.uint8).reshape(-1, 4)
+                entry[:, 9:] = np.concatenate([sketch for _, sketch in done])[row].view(np.uint8).reshape(-1, 4)
+                held, first = np.unique(part[order], return_index=True)
+                offsets = np.append(first, len(entry)).astype(np.int32) * ENTRY
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(entry)])], names=["part", "entries"])
+
+    return run
 
 
 def colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, tag) to (a, b), a <= b: uids under equal keys whose sketches are near. All pairs of a key are looked at."""
-    keys, tags = [], []
+    """(part, entries) to (a, b), a <= b: uids under equal keys whose sketches are near. All pairs of a key are looked at."""
+    blobs: dict[int, list[bytes]] = {}
     for batch in batches:
-        keys.append(batch.column("key").to_numpy())
-        tags.append(batch.column("tag").to_numpy())
-    if not keys:
-        return
-    key, tag = np.concatenate(keys), np.concatenate(tags)
-    del keys, tags
-    order = np.argsort(key, kind="stable")
-    key, tag = key[order], tag[order]
-    live, step, waiting, n = np.arange(len(key)), 1, [], 0
-    while len(live):
-        live = live[live + step < len(key)]
-        live = live[key[live] == key[live + step]]
-        for s in range(0, len(live), 1 << 20):
-            x, y = tag[live[s : s + (1 << 20)]], tag[live[s : s + (1 << 20)] + step]
-            bits = np.bitwise_count((x ^ y).astype(np.uint64) & np.uint64(0xFFFFFFFF))
-            near = bits <= SKETCH_BITS
-            x, y = x[near].view(np.uint64) >> np.uint64(32), y[near].view(np.uint64) >> np.uint64(32)
-            waiting.append((np.minimum(x, y) << np.uint64(32)) | np.maximum(x, y))
-            n += len(x)
-        if n > 1 << 21:
-            waiting = [np.unique(np.concatenate(waiting))]
-            yield _pairs(waiting[0])
-            waiting, n = [], 0
-        step += 1
-    if n:
-        yield _pairs(np.unique(np.concatenate(waiting)))
+        for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
+            blobs.setdefault(part, []).append(entries)
+    for part in list(blobs):
+        entry = np.frombuffer(b"".join(blobs.pop(part)), np.uint8).reshape(-1, ENTRY)
+        key = np.zeros((len(entry), 8), np.uint8)
+        key[:, :5] = entry[:, :5]
+        key = key.view(np.uint64).ravel()
+        order = np.argsort(key, kind="stable")
+        key, tag = key[order], np.ascontiguousarray(entry[order, 5:]).view(np.uint32)
+        del entry, order
+        live, step, waiting, n = np.arange(len(key)), 1, [], 0
+        while len(live):
+            live = live[live + step < len(key)]
+            live = live[key[live] == key[live + step]]
+            for s in range(0, len(live), 1 << 20):
+                x, y = tag[live[s : s + (1 << 20)]], tag[live[s : s + (1 << 20)] + step]
+                near = np.bitwise_count(x[:, 1] ^ y[:, 1]) <= SKETCH_BITS
+                x, y = x[near, 0].astype(np.uint64), y[near, 0].astype(np.uint64)
+                waiting.append((np.minimum(x, y) << np.uint64(32)) | np.maximum(x, y))
+                n += len(x)
+            if n > 1 << 21:
+                yield _pairs(np.unique(np.concatenate(waiting)))
+                waiting, n = [], 0
+            step += 1
+        if n:
+            yield _pairs(np.unique(np.concatenate(waiting)))
 
 
 def _pairs(p: np.ndarray) -> pa.RecordBatch:
@@ -161,31 +177,40 @@ def verified(least: float):
     return run
 
 
+def to_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, vector) to (id, h) of the usable vectors: a digest of the multiset, whatever the order of the components."""
+    for batch in batches:
+        for _, rows, m in by_size(batch.column("vector")):
+            h = mix64(mix64(elements(m)).sum(1) + np.uint64(m.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(h.view(np.int64))], names=["id", "h"])
+
+
 def duplicate_classes(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(id, vector) of one record for each multiset of components, and (id, rep) of the records that share one."""
-    hashed = records.withColumn("h", F.xxhash64(F.array_sort("vector")))
-    keys, n = repeated_keys(hashed.select("h"), "h")
+    """(id, vector) of one record for each multiset of components, and (id, rep) of the usable records that share one.
+
+    Unusable vectors stay among the first; later steps leave them out.
+    """
+    hashed = cut(records.mapInArrow(to_digest, "id string, h long"))
+    reps = cut(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1").select("h", "rep"))
+    n = reps.count()
     if n == 0:
         return records, None
-    side = checked_broadcast(keys, n)
-    again = hashed.join(side, "h", "left_semi")
-    reps = again.groupBy("h").agg(F.min("id").alias("rep"))
-    members = cut(again.select("id", "h").join(checked_broadcast(reps, n), "h").select("id", "rep"))
-    first = again.join(checked_broadcast(reps, n), "h").where("id = rep").select("id", "vector")
-    return hashed.join(side, "h", "left_anti").select("id", "vector").unionByName(first), members
+    members = cut(hashed.join(checked_broadcast(reps, n), "h").select("id", "rep"))
+    others = members.where("id <> rep").select("id")
+    return records.join(checked_broadcast(others, others.count()), "id", "left_anti"), members
 
 
 def similar_classes(distinct: DataFrame, rows: int, least: float) -> DataFrame:
     """(id_a, id_b, similarity) of records with different multisets of similarity at least ``least``."""
     spark = distinct.sparkSession
     tagged = distinct.withColumn("uid", F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF)))
-    keys = tagged.select("uid", "vector").mapInArrow(to_variants, "key long, tag long")
-    met = keys.repartition(partitions(spark, rows * SEGMENTS * WIDTH, ROWS_PER_TASK), "key").mapInArrow(colliding, "a long, b long")
-    candidates = cut(met.distinct())
+    parts = partitions(spark, rows * SEGMENTS * WIDTH, ENTRIES_PER_TASK)
+    spread = tagged.select("uid", "vector").mapInArrow(to_variants(3 * parts), "part long, entries binary").repartition(parts, "part")
+    candidates = cut(spread.mapInArrow(colliding, "a long, b long").distinct())
     n = candidates.count()
     ends = F.explode(F.array(F.struct(F.col("a").alias("uid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("uid"), F.lit(1).alias("side")))).alias("end")
     long = candidates.select("a", "b", ends).select("a", "b", "end.uid", "end.side")
-    wide = tagged.join(checked_broadcast(long, 2 * n), "uid").select("a", "b", "side", "id", "vector")
+    wide = tagged.join(checked_broadcast(long, 2 * n, BROADCAST_ENDS), "uid").select("a", "b", "side", "id", "vector")
     return wide.repartition(partitions(spark, 2 * n, 50_000), "a", "b").mapInArrow(verified(least), "id_a string, id_b string, similarity double").distinct()
 
 
@@ -199,14 +224,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.7) -> DataFrame:
     pairs = similar_classes(distinct, vectors.count(), least)
     if members is None:
         return pairs
-    usable = members.where("id IS NOT NULL")
-    left, right = usable.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), usable.select(F.col("rep").alias("id_b"), F.col("id").alias("y"))
+    left, right = members.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), members.select(F.col("rep").alias("id_b"), F.col("id").alias("y"))
     wide = pairs.join(left, "id_a", "left").join(right, "id_b", "left").select(F.coalesce("x", "id_a").alias("x"), F.coalesce("y", "id_b").alias("y"), "similarity")
-    # a class takes part only if its vector is usable, which its first member's components decide
-    alive = F.size("vector") > 0
-    good = distinct.where(alive & ~F.exists("vector", lambda v: F.isnull(v) | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vector", lambda v: v != 0)).select(F.col("id").alias("rep"))
-    inside = usable.join(good, "rep", "left_semi")
-    same = inside.select("rep", F.col("id").alias("x")).join(inside.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    same = members.select("rep", F.col("id").alias("x")).join(members.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     every = wide.unionByName(same)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
