@@ -84,7 +84,8 @@ class Database:
         self._emit("db:save", path=self.path)
 
     def load(self) -> None:
-        self.records = (self._table.load(RECORDS) if self._table and self._table.current() else self.records)
+        saved_records = self._table.load(RECORDS) if self._table else None
+        self.records = self.records if saved_records is None else saved_records
         saved = self._parts.load(PARTITIONS) if self._parts else None
         if saved is not None:
             self.catalog = OrderedDict((r.partition_id, r.asDict()) for r in saved.collect())
@@ -184,8 +185,8 @@ class Database:
             self.catalog[names[-1]]["capacity"] = capacity
         placed = mutations.spilled(batch, min(held, capacity), capacity)
         where = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("partition_no") + 1)
-        new = placed.select(where.alias("partition_id"), "id", "id_is_num", (F.col("pos") + base).alias("seq"), "vector", "metadata")
-        used = sorted(r[0] for r in (new := cut_lineage(new)).select("partition_id").distinct().collect())
+        new = cut_lineage(placed.select(where.alias("partition_id"), "id", "id_is_num", (F.col("pos") + base).alias("seq"), "vector", "metadata"))
+        used = sorted(r[0] for r in new.select("partition_id").distinct().collect())
         self._commit(mutations.upsert(self.records, new))
         self._emit("vector:bulk" if count > 1 else "vector:add", count=count, partitions=used)
         return {"count": count, "partition_ids": used}

@@ -67,7 +67,9 @@ def euclidean(a: Column, b: Column, penalty: float = 0.0) -> Column:
 def cosine(a: Column, b: Column, strict: bool = False) -> Column:
     x, y = _overlap(a, b)
     length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)) * F.sqrt(F.aggregate(y, F.lit(0.0), lambda s, v: s + v * v))
-    value = F.when(length == 0, F.lit(1.0)).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total(F.zip_with(x, y, lambda p, q: p * q)) / length)))
+    ratio = total(F.zip_with(x, y, lambda p, q: p * q)) / length
+    # greatest and least would hide a NaN
+    value = F.when(length == 0, F.lit(1.0)).when(F.isnan(ratio), ratio).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
     return F.when(F.size(a) != F.size(b), F.lit(1.0)).otherwise(value) if strict else value
 
 

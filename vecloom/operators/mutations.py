@@ -109,12 +109,16 @@ def map_metadata(records: DataFrame, f: Callable[[dict | None], dict | None], wh
     """Metadata of the selected records passed through a Python function of the parsed object, in Arrow batches."""
     import json
 
+    def changed(t: str | None) -> str | None:
+        new = f(None if t is None else json.loads(t))
+        return None if new is None else json.dumps(new)
+
     @F.pandas_udf("string")
-    def apply(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: (lambda new: None if new is None else json.dumps(new))(f(None if t is None else json.loads(t))))
+    def apply(text: pd.Series, chosen: pd.Series) -> pd.Series:
+        # a UDF is evaluated for every row, so the selection goes in as an argument
+        return pd.Series([changed(t) if c else t for t, c in zip(text, chosen)], dtype=object)
 
-    changed = apply("metadata")
-    return records.withColumn("metadata", changed if where is None else F.when(where, changed).otherwise(F.col("metadata")))
+    return records.withColumn("metadata", apply("metadata", F.lit(True) if where is None else F.coalesce(where, F.lit(False))))
 
 
 def spilled(batch: DataFrame, active_count: int, capacity: int, pos: str = "pos") -> DataFrame:
