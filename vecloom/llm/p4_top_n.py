@@ -31,6 +31,7 @@ def cutoffs(group: np.ndarray, code: np.ndarray, want: np.ndarray) -> np.ndarray
     """For each group the least code with at least ``want[group]`` codes at or below it (the greatest code if fewer)."""
     low = np.full(len(want), np.iinfo(np.uint64).max)
     high = np.zeros(len(want), np.uint64)
+    want = np.maximum(want, 1)
     np.minimum.at(low, group, code)
     np.maximum.at(high, group, code)
     size = np.bincount(group, minlength=len(want))
@@ -57,16 +58,17 @@ def cutoffs(group: np.ndarray, code: np.ndarray, want: np.ndarray) -> np.ndarray
 def keep_first(group: np.ndarray, codes: list[np.ndarray], want: np.ndarray) -> np.ndarray:
     """Rows of the ``want[group]`` least code tuples of each group; tuples are unique within a group."""
     chosen = np.zeros(len(group), bool)
-    rows, left = np.arange(len(group)), want.astype(np.int64).copy()
+    left = want.astype(np.int64).copy()
+    rows = np.flatnonzero(left[group] > 0)
     for i, code in enumerate(codes):
+        if not len(rows):
+            break
         c, g = code[rows], group[rows]
         at = cutoffs(g, c, left)
         under = c < at[g] if i + 1 < len(codes) else c <= at[g]
         chosen[rows[under]] = True
         left = left - np.bincount(g[under], minlength=len(want))
         rows = rows[(c == at[g]) & ~under]
-        if not len(rows):
-            break
     return np.flatnonzero(chosen)
 
 

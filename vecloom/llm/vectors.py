@@ -84,10 +84,14 @@ def unpack(column: pa.Array, d: int) -> np.ndarray:
     return out
 
 
-def minibatch_kmeans(m: np.ndarray, k: int, seed: int = 7, rounds: int = 24, batch: int = 8_192) -> np.ndarray:
-    """Spherical mini-batch k-means: unit centroids, the learning rate of each falling with the rows it has seen."""
+def minibatch_kmeans(m: np.ndarray, k: int, seed: int = 7, rounds: int = 24, batch: int = 8_192, start: np.ndarray | None = None) -> np.ndarray:
+    """Spherical mini-batch k-means: unit centroids, the learning rate of each falling with the rows it has seen.
+
+    It starts from random rows, so that dense regions get many centroids, or from ``start``.
+    """
     rng = np.random.default_rng(seed)
-    c = m[rng.choice(len(m), k, replace=False)].astype(np.float32).copy()
+    c = (m[rng.choice(len(m), k, replace=False)] if start is None else start).astype(np.float32).copy()
+    k = len(c)
     seen = np.zeros(k)
     for _ in range(rounds):
         b = m[rng.choice(len(m), min(batch, len(m)), replace=False)]
