@@ -24,7 +24,10 @@ def kmeans(records: DataFrame, k: int, max_iter: int = 20, tolerance: float = 1e
     ignored; an empty table has no centroids.
     """
     rows = records.where(F.size(vector) > 0).select(F.col(vector).cast("array<double>").alias("v"))
-    few = rows.distinct().limit(k + 1).collect() if k else []
+    # the first rows usually show more than k distinct vectors; only otherwise are all compared
+    few = rows.limit(4 * (k + 1)).distinct().limit(k + 1).collect() if k else []
+    if len(few) <= k:
+        few = rows.distinct().limit(k + 1).collect() if k else []
     spark = records.sparkSession
     if len({len(r.v) for r in few}) > 1 or rows.select(F.size("v")).distinct().limit(2).count() > 1:
         raise ValueError("k-means needs vectors of one size")

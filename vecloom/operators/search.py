@@ -82,35 +82,41 @@ def _exact(m: Metric, q: np.ndarray, v: np.ndarray, penalty: float) -> np.ndarra
     return np.sqrt(d * d + gap) if m.name == "euclidean" and gap else d
 
 
-def _block_search(m: Metric, queries: pd.DataFrame, penalty: float, exact_size: bool, not_self: bool, by_partition: bool):
-    """Top k of each query within each Arrow batch; a later window merges them."""
-    q_ids, q_keys, q_k = queries["query_id"].to_numpy(), queries["self_id"].to_numpy(), queries["k"].to_numpy()
+def _block_search(m: Metric, queries: pd.DataFrame, penalty: float, exact_size: bool, not_self: bool, per_partition: bool):
+    """Top k of each query within each Arrow batch (and partition, if asked for); a later window merges them."""
+    q_ids, q_k = queries["query_id"].to_numpy(), queries["k"].to_numpy(np.int64)
+    asked = [None if p is None or not len(p) else set(p) for p in queries["partition_ids"]]
+    restricted_queries = np.array([p is not None for p in asked])
     groups = _by_size(queries["qvector"].tolist())
     sign = -1.0 if m.similarity else 1.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            order = batch["order__"].to_numpy()
-            parts = batch["partition_id"].to_numpy()
+            ids, order, parts = (batch[c].to_numpy() for c in ("id", "order__", "partition_id"))
+            part_no, part_names = pd.factorize(parts, use_na_sentinel=False)
             out = []
             for n_v, (rows, v) in _by_size(batch["vector"].tolist()).items():
                 for n_q, (qs, q) in groups.items():
                     if n_q != n_v and (exact_size or m.name == "cosine"):
                         continue
+                    most = int(q_k[qs].max())
                     for s in range(0, len(rows), ROW_BLOCK):
                         r, w = rows[s : s + ROW_BLOCK], v[s : s + ROW_BLOCK]
                         d = sign * _distances(m, q, w, penalty)
-                        for i, at in enumerate(qs):
-                            k = int(q_k[at]) + bool(not_self)
-                            near = d[i]
-                            pick = np.arange(len(r)) if len(r) <= k or by_partition else np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + 1e-9)
-                            if not_self:
-                                pick = pick[ids[r[pick]] != q_keys[at]]
-                            if len(pick):
-                                exact = _exact(m, np.broadcast_to(q[i], (len(pick), q.shape[1])), w[pick], penalty)
-                                ok = ~np.isnan(exact)
-                                out.append(pd.DataFrame({"query_id": q_ids[at], "k": q_k[at], "partition_id": parts[r[pick[ok]]], "id": ids[r[pick[ok]]], "order__": order[r[pick[ok]]], "dist": exact[ok]}))
+                        d[np.isnan(d)] = np.inf
+                        if not_self:
+                            d[queries["self_id"].to_numpy()[qs][:, None] == ids[r][None]] = np.inf
+                        if restricted_queries[qs].any():
+                            allowed = np.array([[asked[i] is None or p in asked[i] for p in part_names] for i in qs])
+                            d[~allowed[:, part_no[r]]] = np.inf
+                        for cols in [np.flatnonzero(part_no[r] == p) for p in np.unique(part_no[r])] if per_partition else [slice(None)]:
+                            near = d[:, cols]
+                            cut = np.partition(near, most - 1, axis=1)[:, most - 1 : most] if near.shape[1] > most else np.inf
+                            # all that tie at the cut stay: the merge settles them
+                            i, j = np.nonzero((near <= cut + 1e-9) & np.isfinite(near))
+                            j = r[j] if isinstance(cols, slice) else r[cols[j]]
+                            exact = _exact(m, q[i], v[np.searchsorted(rows, j)], penalty)
+                            out.append(pd.DataFrame({"query_id": q_ids[qs[i]], "k": q_k[qs[i]].astype(np.int32), "partition_id": parts[j], "id": ids[j], "order__": order[j], "dist": exact}))
             if out:
                 yield pd.concat(out)
 
@@ -160,12 +166,7 @@ def batch_nearest(
 
     def search(block: list) -> None:
         local = pd.DataFrame([r.asDict() for r in block])
-        found = rows.mapInPandas(_block_search(m, local, penalty, exact_size, not_self, per_partition or local["partition_ids"].notna().any()), schema)
-        asked = [(r["query_id"], list(r["partition_ids"])) for r in block if r["partition_ids"]]
-        if asked:
-            limits = rows.sparkSession.createDataFrame(asked, f"query_id {query_type}, asked array<string>")
-            found = found.join(F.broadcast(limits), "query_id", "left").where("asked IS NULL OR coalesce(array_contains(asked, partition_id), false)").drop("asked")
-        blocks.append(found)
+        blocks.append(rows.mapInPandas(_block_search(m, local, penalty, exact_size, not_self, per_partition), schema))
 
     for row in rest:
         held.append(row)
