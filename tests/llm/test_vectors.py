@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecloom.llm import p2_knn, p3_clusters, p5_near_duplicates, vectors as v
+from vecloom.llm import common, p2_knn, p3_clusters, p5_near_duplicates, vectors as v
 from vecloom.llm.components import components
 
 from .conftest import VECTORS, cosines, grouped, record, stored
@@ -32,7 +32,9 @@ def test_neighbours(spark, vectors):
     assert lists == {i: near[:3] for i, near in want.items()}
 
 
-def test_many_copies_are_ordered_by_id(spark):
+@pytest.mark.parametrize("hot", [100_000, 7])
+def test_many_copies_are_ordered_by_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_MEMBERS", hot)
     rows = [record(f"c{i:03}", i, [1.0, 2.0, 3.0]) for i in range(60)] + [record("scaled", 99, [2.0, 4.0, 6.0]), record("far", 100, [-1.0, 0.0, 0.0])]
     got = {}
     for r in p2_knn.all_neighbours(spark.createDataFrame(rows, VECTORS), 3, 0.9).orderBy("rank").collect():

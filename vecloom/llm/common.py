@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Keys a broadcast side may hold; a larger side takes a shuffle join instead.
 BROADCAST_KEYS = 400_000
+#: Members of a class of copies that one task puts back.
+HOT_MEMBERS = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,5 +72,19 @@ def stored_metadata(vectors: DataFrame) -> DataFrame:
     return latest(vectors.where(F.col("metadata").isNotNull()).select("id", "seq", "metadata"), "metadata")
 
 
-def id_order(df: DataFrame, column: str = "id") -> DataFrame:
-    return df.orderBy(column)
+def with_copies(rows: DataFrame, members: DataFrame | None, rep: str, name: str) -> DataFrame:
+    """``rows`` of representatives, one for each record: ``rep`` becomes ``name``, repeated for the ids of ``members``
+    (id, rep; a representative is among its own).
+
+    The members of a large class are salted over many tasks. There is one such class for ``HOT_MEMBERS`` members at
+    most, so the table of their salts is small whatever the data.
+    """
+    if members is None:
+        return rows.withColumnRenamed(rep, name)
+    others = [c for c in rows.columns if c != rep]
+    salts = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / HOT_MEMBERS).cast("int").alias("salts__")).where("salts__ > 1").withColumnRenamed("rep", rep)
+    of = members.select(F.col("id").alias("member__"), F.col("rep").alias(rep)).join(F.broadcast(salts), rep, "left")
+    of = of.withColumn("salt__", F.pmod(F.xxhash64("member__"), F.coalesce("salts__", F.lit(1))).cast("int")).drop("salts__")
+    wide = rows.join(F.broadcast(salts), rep, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce("salts__", F.lit(1)) - 1)))
+    joined = wide.join(of, [rep, "salt__"], "left").where("member__ IS NOT NULL OR salts__ IS NULL")
+    return joined.select(F.coalesce("member__", rep).alias(name), *others)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, partitions, repeated_keys, stored_vectors
+from .common import checked_broadcast, cut, partitions, repeated_keys, stored_vectors, with_copies
 from .vectors import Directions, cell_size, fit_directions, grouped, to_cells, unpack
 
 #: Window radii as cosines; the last one is replaced by the search's own least cosine.
@@ -154,7 +154,7 @@ def class_rows(records: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]
     again = with_h.join(side, "h", "left_semi")
     least = again.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("rn") <= k + 1)
     one = least.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("vector", "id").alias("vector"))
-    members = again.select("id", "h").join(checked_broadcast(one.select("h", F.col("ids")[0].alias("rep")), n), "h").select("id", "rep")
+    members = cut(again.select("id", "h").join(checked_broadcast(one.select("h", F.col("ids")[0].alias("rep")), n), "h").select("id", "rep"))
     return single.unionByName(one.select("ids", F.col("ids")[0].alias("id"), "vector")), members
 
 
@@ -171,10 +171,7 @@ def knn_lists(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Dir
     spread = cells.select("cell", "side", "ids", "packed").repartition(partitions(records.sparkSession, 1.7 * rows, ROWS_PER_TASK), "cell")
     near = spread.mapInArrow(neighbours_in_cells(k, min_cosine), "rep string, near array<struct<neg: double, id: string>>")
     merged = near.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
-    if members is None:
-        merged = merged.withColumnRenamed("rep", "id")
-    else:
-        merged = merged.join(members, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "near")
+    merged = with_copies(merged, members, "rep", "id")
     own = F.filter("near", lambda x: x["id"] != F.col("id"))
     return merged.select("id", F.slice(own, 1, k).alias("near")).where(F.size("near") > 0)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, stored_vectors
+from .common import cut, partitions, stored_vectors, with_copies
 from .components import components
 from .p2_knn import MARGIN, MAX_HITS, ROWS_PER_TASK, class_rows
 from .vectors import cell_size, fit_directions, grouped, to_cells, unpack
@@ -137,9 +137,7 @@ def labelled(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame | N
 def cluster_members(vectors: DataFrame, least: float) -> DataFrame:
     """(id, first_id, typical) of every stored record; first_id is the least id of its cluster, itself if alone."""
     rows, members = labelled(vectors, least)
-    if members is not None:
-        rows = rows.join(members, "rep", "left").withColumn("rep", F.coalesce("id", "rep")).drop("id")
-    return rows.select(F.col("rep").alias("id"), F.col("label").alias("first_id"), "typical")
+    return with_copies(rows, members, "rep", "id").select("id", F.col("label").alias("first_id"), "typical")
 
 
 def clusters(vectors: DataFrame, least: float = 0.88, smallest: int = 5, typical: int = 3) -> DataFrame:
