@@ -126,10 +126,8 @@ class SmallWorldIndex:
     def load(cls, spark, path: str) -> SmallWorldIndex:
         nodes = spark.read.parquet(f"{path}/nodes").withColumn("partition_id", F.col("partition_id").cast("string"))
         name = nodes.select("metric").first()
-        try:
-            removed = spark.read.parquet(f"{path}/removed")
-        except Exception:  # noqa: BLE001 - nothing was removed
-            removed = None
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/removed")
+        removed = spark.read.parquet(f"{path}/removed") if gone.getFileSystem(spark._jsc.hadoopConfiguration()).exists(gone) else None
         return cls(nodes.drop("metric"), name[0] if name else "euclidean", removed)
 
     def remove(self, ids: DataFrame) -> SmallWorldIndex:

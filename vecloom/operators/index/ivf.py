@@ -35,6 +35,15 @@ class ClusterIndex:
     def load(cls, spark, path: str) -> ClusterIndex:
         return cls(spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/centroids"))
 
+    @classmethod
+    def load_or_build(cls, records: DataFrame, path: str, clusters: int, **options) -> ClusterIndex:
+        """The saved index, or one built and saved now if there is none."""
+        spark = records.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/centroids/_SUCCESS")
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            cls.build(records, clusters, **options).save(path)
+        return cls.load(spark, path)
+
     def probed(self, query: Sequence[float], nprobe: int, metric_name: str = "euclidean") -> list[int]:
         m = METRICS[metric(metric_name).name]
         q = np.asarray(query, np.float64)

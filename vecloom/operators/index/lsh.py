@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.metrics import MISMATCH_PENALTY
-from ..search import batch_nearest, nearest
+from ..search import nearest
 
 #: Bits of a bucket number; further hyperplanes are not used.
 MAX_BITS = 31
@@ -72,11 +72,10 @@ class SignHashIndex:
         spark = records.sparkSession
         return cls(SignHash(**spark.read.parquet(f"{path}/model").first().asDict()), records, spark.read.parquet(f"{path}/buckets"))
 
-    def candidates(self, query: Sequence[float], probes: int = 2, exact_size: bool = True) -> DataFrame:
-        """(id): records that share a probed bucket of some table. Only the query's own size is indexed alike."""
-        spark = self.buckets.sparkSession
-        sizes = [len(query)]
-        wanted = spark.createDataFrame([(n, t, b) for n in sizes for t, b in self.model.probes(query, probes)], "dim int, table_no int, bucket bigint")
+    def candidates(self, query: Sequence[float], probes: int = 2) -> DataFrame:
+        """(id): records of the query's size that share a probed bucket of some table."""
+        wanted = self.buckets.sparkSession.createDataFrame([(len(query), t, b) for t, b in self.model.probes(query, probes)], "dim int, table_no int, bucket bigint")
+        # as many rows as tables times probed buckets
         return self.buckets.join(F.broadcast(wanted), ["dim", "table_no", "bucket"], "left_semi").select("id").distinct()
 
     def search(self, query: Sequence[float], k: int = 10, probes: int = 2, metric_name: str = "euclidean", **options) -> DataFrame:
@@ -88,8 +87,3 @@ class SignHashIndex:
         """(dim, table_no, buckets_used, mean_size, max_size)."""
         sized = self.buckets.groupBy("dim", "table_no", "bucket").agg(F.count(F.lit(1)).alias("n"))
         return sized.groupBy("dim", "table_no").agg(F.count(F.lit(1)).alias("buckets_used"), F.avg("n").alias("mean_size"), F.max("n").alias("max_size"))
-
-
-def linear(records: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
-    """The exact search used where no index was built."""
-    return batch_nearest(records, queries, k, **options)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -20,14 +21,25 @@ ROW_BLOCK = 4_096
 
 
 def restricted(records: DataFrame, where: Any = None, partition_ids: Sequence[str] | None = None, metadata: str = "metadata") -> DataFrame:
-    """Records of some partitions (pruned by the scan) that pass a filter: a Column, or a dict or list for metadata."""
+    """Records of some partitions (pruned by the scan) that pass a filter: a Column, a dict or list for metadata, or a
+    Python function of (id, metadata as a dict or None), which runs in Arrow batches and is the slow way."""
     if partition_ids:
         records = records.where(F.col("partition_id").isin(list(partition_ids)))
     if where is None:
         return records
+    if callable(where) and not isinstance(where, Column):
+        return records.where(_called(where)("id", metadata))
     return records.where(where if isinstance(where, Column) else compile_filter(where, JsonFields(metadata)))
 
 
+def _called(f: Callable[[Any, dict | None], bool]):
+    @F.pandas_udf("boolean")
+    def apply(ids: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([bool(f(i, None if t is None else json.loads(t))) for i, t in zip(ids, text)], dtype=bool)
+
+    return apply
+
+
 def _comparable(records: DataFrame, size: int, m: Metric, vector: str, exact_size: bool) -> DataFrame:
     """Records a query of ``size`` components may return: cosine compares equal sizes only."""
     keep = F.col(vector).isNotNull()

@@ -19,6 +19,7 @@ from ..operators.index.lsh import SignHashIndex
 from ..operators.index.pq import ProductQuantizer
 from ..operators.rerank import diversity, weighted
 from ..operators.search import batch_nearest, nearest, similar_to
+from ..streaming.ingest import drained, sessions, tumbling
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -439,6 +440,34 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).withColumn("average", monitor.moving_average("value", ["ts", "event_id"], 10, ["user_id"])).select("event_id", rounded("average"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _events(spark, sf_dir).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY 1")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drained(tumbling(_event_stream(spark, sf_dir)))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", rounded("total"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT user_id, ts, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM n GROUP BY user_id, session"""
+)
+def sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query("SELECT e.vec_id, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) + 0.0 AS dist FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND (e.vec_id + e.label) % 3 = 0 ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id LIMIT 10")
+def knn_filter_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return nearest(e, first_vector(e), 10, where=lambda id, m: (id + m["label"]) % 3 == 0).select(F.col("id").alias("vec_id"), rounded("dist"))
+
+
 # --- mutations -------------------------------------------------------------------------------------------------------
 
 _WINNER = "row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,6 +20,18 @@ def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a streaming aggregate says once all that is available is read. For results of bounded size, such as windows.
+
+    The stream's checkpoint lies in the folder of ``spark.checkpoint.dir``, a temporary one only where that is unset.
+    """
+    spark = stream.sparkSession
+    name = f"drained_{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-stream-")
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def latest_per_id(stream: DataFrame, late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """First delivery of each (id, seq) within the watermark: repeated deliveries are dropped."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(["id", "seq"])
