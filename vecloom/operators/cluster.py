@@ -83,7 +83,7 @@ def centroids_of(records: DataFrame, key: str = "cluster_id", vector: str = "vec
 
 def cluster_stats(records: DataFrame, centroids: DataFrame, vector: str = "vector") -> DataFrame:
     """(cluster_id, dim, size, centroid_norm, radius): members counted now, the farthest member's distance as radius."""
-    near = records.join(F.broadcast(centroids.select("cluster_id", "centroid").limit(MAX_CENTROIDS)), "cluster_id")
+    near = records.join(centroids.select("cluster_id", "centroid"), "cluster_id")
     sized = near.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.max(euclidean(F.col(vector), F.col("centroid"))).alias("radius"))
     return centroids.select("cluster_id", F.size("centroid").alias("dim"), norm(F.col("centroid")).alias("centroid_norm")).join(sized, "cluster_id", "left").select("cluster_id", "dim", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), "centroid_norm", "radius")
 
