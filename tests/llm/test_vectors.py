@@ -57,6 +57,19 @@ def test_blocks_of_hot_cells(spark, monkeypatch):
     assert got == single_linkage(stored(rows), linked)
 
 
+def test_large_group_of_similar_rows_is_met_whole(spark, monkeypatch):
+    monkeypatch.setattr(v, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(12)
+    c = rng.normal(size=32)
+    c /= np.linalg.norm(c)
+    rows = [record(f"g{i:03}", i, c + 0.27 * rng.normal(size=32) / np.sqrt(32)) for i in range(400)] + [record(f"o{i:03}", 400 + i, rng.normal(size=32)) for i in range(400)]
+    records = p2_knn.stored_vectors(spark.createDataFrame(rows, VECTORS))
+    fit = v.fit_directions(records, 800, cell_rows=20)
+    assert len(fit.centroids[32]) > 20
+    got = {r.id: {x.id for x in r.near} for r in p2_knn.knn_lists(records, 5, 0.85, 800, fit).collect()}
+    assert got == {i: {j for _, j in near} for i, near in neighbours(stored(rows), 5, 0.85).items()} and len(got) == 400
+
+
 def test_windows_lose_nothing(monkeypatch):
     monkeypatch.setattr(p2_knn, "TILE", 16)
     rng = np.random.default_rng(8)

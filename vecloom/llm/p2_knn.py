@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, cut, partitions, repeated_keys, stored_vectors, with_copies
-from .vectors import Directions, cell_size, fit_directions, grouped, to_cells, unpack
+from .vectors import MARGIN, Directions, cell_size, fit_directions, grouped, to_cells, unpack
 
 #: Window radii as cosines; the last one is replaced by the search's own least cosine.
 RADII = (0.97,)
 PROBES, TILE = 6, 512
-MARGIN, MAX_HITS = 0.06, 3
 ROWS_PER_TASK = 60_000
 
 
@@ -167,8 +166,8 @@ def knn_lists(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Dir
     """
     fit = fit or fit_directions(records, rows)
     distinct, members = class_rows(records, k)
-    cells = distinct.mapInArrow(to_cells(fit, "ids", MARGIN, MAX_HITS), "cell long, home boolean, side boolean, ids array<string>, packed binary")
-    spread = cells.select("cell", "side", "ids", "packed").repartition(partitions(records.sparkSession, 1.7 * rows, ROWS_PER_TASK), "cell")
+    cells = distinct.mapInArrow(to_cells(fit, "ids", MARGIN), "cell long, home boolean, side boolean, ids array<string>, packed binary")
+    spread = cells.select("cell", "side", "ids", "packed").repartition(partitions(records.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
     near = spread.mapInArrow(neighbours_in_cells(k, min_cosine), "rep string, near array<struct<neg: double, id: string>>")
     merged = near.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
     merged = with_copies(merged, members, "rep", "id")

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, stored_vectors, with_copies
 from .components import components
-from .p2_knn import MARGIN, MAX_HITS, ROWS_PER_TASK, class_rows
-from .vectors import cell_size, fit_directions, grouped, to_cells, unpack
+from .p2_knn import ROWS_PER_TASK, class_rows
+from .vectors import MARGIN, cell_size, fit_directions, grouped, to_cells, unpack
 
 TILE = 512
 
@@ -124,8 +124,8 @@ def labelled(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame | N
     distinct, members = class_rows(records, 0)
     fit = fit_directions(records, rows)
     reps = distinct.select(F.col("id").alias("rep"), "vector")
-    cells = reps.mapInArrow(to_cells(fit, "rep", MARGIN, MAX_HITS), "cell long, home boolean, side boolean, rep string, packed binary")
-    spread = cells.select("cell", "home", "rep", "packed").repartition(partitions(vectors.sparkSession, 1.7 * rows, ROWS_PER_TASK), "cell")
+    cells = reps.mapInArrow(to_cells(fit, "rep", MARGIN), "cell long, home boolean, side boolean, rep string, packed binary")
+    spread = cells.select("cell", "home", "rep", "packed").repartition(partitions(vectors.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
     local = cut(spread.mapInArrow(clusters_in_cells(least), "rep string, home boolean, root string, typical double"))
     # roots meet in records that lie in several cells, or under another root's name
     roots = local.groupBy("rep").agg(F.min("root").alias("b"), F.collect_set("root").alias("all")).where(F.size("all") > 1)

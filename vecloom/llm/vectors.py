@@ -2,9 +2,10 @@
 
 The projection directions are centroids of a mini-batch k-means over a bounded sample (``SAMPLE_ROWS``); every row
 is then hashed with them. A row *hits* the direction of its largest projection and, as the query-centred window is
-expanded, each direction whose projection is at most ``margin`` below it (``max_hits`` at most). Vectors that hit a
-common direction collide. One direction's sorted array is a *cell*; cells expected to be too large for a task are
-split into block pairs, so all pairs are still met and no task holds more than about two blocks.
+expanded, every direction whose projection is at most ``margin`` below it. Vectors that hit a common direction collide.
+Directions that mostly the same rows hit (a large group of similar rows gets many) are *bundled* and count as one. One
+bundle's sorted array is a *cell*; cells expected to be too large for a task are split into block pairs, so all pairs
+are still met and no task holds more than about two blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ SAMPLE_ROWS = 40_000
 CELL_ROWS, MAX_DIRECTIONS = 2_000, 2_048
 #: Cells expected to exceed this are met block by block.
 BLOCK_ROWS = 8_192
+#: How far below a row's largest projection its window opens, and the share of common rows that bundles two directions.
+MARGIN, COMMON = 0.06, 0.5
 #: Fixed-point exponent of the packed form; vectors that it does not hold exactly stay float32.
 FIXED_POINT = 8_192.0
 
@@ -109,11 +112,14 @@ def minibatch_kmeans(m: np.ndarray, k: int, seed: int = 7, rounds: int = 24, bat
 
 @dataclass
 class Directions:
-    """Fitted projection directions of each vector size and the number of blocks of each cell."""
+    """Fitted projection directions of each vector size, in the order of their bundles; the first direction of each
+    bundle and the number of blocks of its cell; ``copies``, the cells that a row enters on average."""
 
     centroids: dict[int, np.ndarray] = field(default_factory=dict)
+    starts: dict[int, np.ndarray] = field(default_factory=dict)
     blocks: dict[int, np.ndarray] = field(default_factory=dict)
     rows: int = 0
+    copies: float = 1.0
 
 
 def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Directions:
@@ -124,34 +130,55 @@ def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sa
     out = Directions(rows=rows)
     if sample is None or len(sample) == 0:
         return out
-    total = len(sample)
+    total, copies = len(sample), 0
     for d, _, m in by_size(sample):
         expected = rows * len(m) / total
         k = int(min(MAX_DIRECTIONS, max(1, round(expected / cell_rows)), max(1, len(m) // 16)))
         u = unit(m)
         c = minibatch_kmeans(u, k, seed) if k > 1 else unit(u.sum(0, keepdims=True) + np.float32(1e-6))
-        share_of = np.bincount((u @ c.T).argmax(1), minlength=k) * rows / total
-        out.centroids[d], out.blocks[d] = c, np.maximum(1, np.ceil(share_of / BLOCK_ROWS - 1)).astype(np.int64)
+        c, starts = bundled(u, c)
+        _, bundle, _ = hits(u, c, starts, MARGIN)
+        entered = np.bincount(bundle, minlength=len(starts))
+        blocks = np.maximum(1, np.ceil(entered * rows / total / BLOCK_ROWS - 1)).astype(np.int64)
+        out.centroids[d], out.starts[d], out.blocks[d] = c, starts, blocks
+        copies += (entered * blocks).sum()
+    out.copies = max(1.0, copies / total)
     return out
 
 
-def hits(u: np.ndarray, c: np.ndarray, margin: float, max_hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, direction, is the row's first): directions within ``margin`` of each row's largest projection."""
-    rows, dirs, first = [], [], []
+def bundled(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The directions in the order of their bundles, and the first of each bundle. Two directions are bundled, also by
+    way of others, if at least the share ``COMMON`` of the rows of ``u`` that hit either hit both."""
+    both = np.zeros((len(c), len(c)), np.float32)
     for s in range(0, len(u), 4_096):
         p = u[s : s + 4_096] @ c.T
-        n = np.arange(len(p))
-        for t in range(min(max_hits, p.shape[1])):
-            best = p.argmax(1)
-            value = p[n, best]
-            if t == 0:
-                top = value.copy()
-            near = value >= top - margin
-            rows.append(s + n[near])
-            dirs.append(best[near])
-            first.append(np.full(near.sum(), t == 0))
-            p[n, best] = -9
-    return np.concatenate(rows), np.concatenate(dirs), np.concatenate(first)
+        near = (p >= p.max(1, keepdims=True) - MARGIN).astype(np.float32)
+        both += near.T @ near
+    n = np.diag(both)
+    a, b = np.nonzero(both >= COMMON * np.maximum(n[:, None] + n[None, :] - both, 1))
+    root = np.arange(len(c))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, root[a], root[b])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    order = np.argsort(root, kind="stable")
+    return c[order], np.unique(root[order], return_index=True)[1]
+
+
+def hits(u: np.ndarray, c: np.ndarray, starts: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bundle, is the row's first): all bundles with a direction within ``margin`` of each row's largest projection."""
+    rows, bundles, first = [], [], []
+    for s in range(0, len(u), 4_096):
+        p = np.maximum.reduceat(u[s : s + 4_096] @ c.T, starts, axis=1)
+        best = p.argmax(1)
+        row, bundle = np.nonzero(p >= p[np.arange(len(p)), best][:, None] - margin)
+        rows.append(s + row)
+        bundles.append(bundle)
+        first.append(bundle == best[row])
+    return np.concatenate(rows), np.concatenate(bundles), np.concatenate(first)
 
 
 def cell_code(d: int, direction: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,7 +190,7 @@ def cell_size(code: int) -> int:
     return int(code) >> 40
 
 
-def to_cells(fit: Directions, key: str, margin: float, max_hits: int):
+def to_cells(fit: Directions, key: str, margin: float):
     """A mapInArrow function from (key, vector) to (cell, home, side, key, packed): a row for each cell it belongs to.
 
     ``home`` marks one row of each record. ``side`` is 0 or 1, the block of a block pair the row is in (0 in a whole
@@ -179,7 +206,7 @@ def to_cells(fit: Directions, key: str, margin: float, max_hits: int):
                     at, direction, first = np.arange(len(u)), np.zeros(len(u), np.int64), np.ones(len(u), bool)
                     blocks = np.ones(1, np.int64)
                 else:
-                    at, direction, first = hits(u, c, margin, max_hits)
+                    at, direction, first = hits(u, c, fit.starts[d], margin)
                     blocks = fit.blocks[d]
                 direction = direction.astype(np.int64)
                 nb = blocks[direction]
