@@ -118,6 +118,21 @@ def test_clusters(spark, vectors):
     assert all(len(r.typical_ids) == 3 and all(want[i] == f for i in r.typical_ids) for f, r in out.items())
 
 
+def test_typical_is_of_the_whole_cluster(spark, monkeypatch):
+    monkeypatch.setattr(v, "BLOCK_ROWS", 20)  # a cluster of several cells
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=16)
+    rows = [record(f"r{i:03}", i, c + 0.4 * rng.normal(size=16) / 4) for i in range(150)]
+    rows += [record(f"c{i:03}", 200 + i, rows[3][3]) for i in range(60)]
+    good = stored(rows)
+    u = {i: x.astype(float) / np.linalg.norm(x.astype(float)) for i, x in good.items()}
+    mean = sum(u.values())
+    want = {i: float(x @ mean / np.linalg.norm(mean)) for i, x in u.items()}
+    df = spark.createDataFrame(rows, VECTORS)
+    got = p3_clusters.cluster_members(df, 0.8).collect()
+    assert {r.first_id for r in got} == {"c000"} and all(abs(r.typical - want[r.id]) < 2e-6 for r in got)
+
+
 def test_average_linkage():
     rng = np.random.default_rng(2)
     u = v.unit(rng.normal(size=(60, 3)).astype(np.float32))

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, stored_vectors, with_copies
+from .common import checked_broadcast, cut, partitions, stored_vectors, with_copies
 from .components import components
 from .p2_knn import ROWS_PER_TASK, class_rows
 from .vectors import MARGIN, cell_size, fit_directions, grouped, to_cells, unpack
 
 TILE = 512
+#: Means of clusters that may be broadcast.
+BROADCAST_MEANS = 20_000
 
 
 def average_linkage(u: np.ndarray, least: float) -> np.ndarray:
@@ -95,8 +97,8 @@ def crossing(w: np.ndarray, label: np.ndarray, least: float) -> tuple[np.ndarray
 
 
 def clusters_in_cells(least: float):
-    """A mapInArrow function from the rows of cells to (rep, home, root, typical): root is the least rep of the cell's
-    part of the cluster, typical the cosine of the record to the mean of that part."""
+    """A mapInArrow function from the rows of cells to (rep, home, cell, root, typical): root is the least rep of the
+    cell's part of the cluster, typical the cosine of the record to the mean of that part's records at home there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for code, cell in grouped(batches):
@@ -108,17 +110,74 @@ def clusters_in_cells(least: float):
             label = average_linkage(w.astype(np.float32), least)
             label = close(label, *crossing(w, label, least))
             total = np.zeros_like(w)
-            np.add.at(total, label, w)
+            home = cell.column("home").to_numpy()
+            np.add.at(total, label[home], w[home])
             norm = np.sqrt((total * total).sum(1))
             typical = np.einsum("ij,ij->i", w, total[label]) / np.maximum(norm[label], 1e-300)
             # rows are in the order of their names and a cluster's label is its first row
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), cell.column("home").combine_chunks(), pa.array(names[label], pa.string()), pa.array(np.round(typical, 6))], names=["rep", "home", "root", "typical"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), cell.column("home").combine_chunks(), pa.array(np.full(len(w), code)), pa.array(names[label], pa.string()), pa.array(np.round(typical, 6))], names=["rep", "home", "cell", "root", "typical"])
 
     return run
 
 
-def labelled(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
-    """(rep, label, typical) of every distinct usable vector, label the least rep of its cluster; (id, rep) of copies."""
+def mean_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, total) to one row for each label of the task, its vectors added up."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for label, x in zip(batch.column("label").to_pylist(), batch.column("total").to_pylist()):
+            x = np.array(x)
+            sums[label] = sums[label] + x if label in sums else x
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["label", "total"])
+
+
+def unit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, n, vector) to (label, total): the unit vectors of the task's rows of a label, added up n times each."""
+
+    def weighted() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.array(v, np.float64) for v in batch.column("vector").to_pylist()]
+            total = [(n / np.sqrt(v @ v) * v).tolist() for n, v in zip(batch.column("n").to_pylist(), x)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(total, pa.list_(pa.float64()))], names=["label", "total"])
+
+    yield from mean_sums(weighted())
+
+
+def to_mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, label, vector, total) to (rep, label, typical): the cosine of vector and total."""
+    for batch in batches:
+        x, t = ([np.array(v, np.float64) for v in batch.column(c).to_pylist()] for c in ("vector", "total"))
+        typical = [round(float(a @ b / max(np.sqrt((a @ a) * (b @ b)), 1e-300)), 6) for a, b in zip(x, t)]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), pa.array(typical, pa.float64())], names=["rep", "label", "typical"])
+
+
+def typical_of(home: DataFrame, reps: DataFrame, members: DataFrame | None) -> DataFrame:
+    """(rep, label, typical), typical the cosine to the mean of the whole cluster, copies counted.
+
+    The cells' own values hold for clusters of one part without copies; only the others are taken again, from sums that
+    each task makes before the exchange.
+    """
+    copies = None if members is None else members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    home = home.withColumn("n", F.lit(1).cast("long")) if copies is None else home.join(copies, "rep", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    home = cut(home)
+    part = F.struct("cell", "root")
+    again = cut(home.groupBy("label").agg(F.min(part).alias("a"), F.max(part).alias("b"), F.max("n").alias("most"), F.count(F.lit(1)).alias("reps")).where("reps > 1 AND (a <> b OR most > 1)").select("label"))
+    n_again = again.count()
+    if n_again == 0:
+        return home.select("rep", "label", "typical")
+    side = checked_broadcast(again, n_again)
+    rows = cut(home.join(side, "label", "left_semi").select("rep", "label", "n"))
+    n_rows = rows.count()
+    wide = cut(reps.join(checked_broadcast(rows, n_rows), "rep").select("rep", "label", "n", "vector"))
+    sums = wide.select("label", "n", "vector").mapInArrow(unit_sums, "label string, total array<double>")
+    sums = sums.repartition(partitions(home.sparkSession, n_rows, ROWS_PER_TASK), "label").mapInArrow(mean_sums, "label string, total array<double>")
+    taken = wide.join(checked_broadcast(sums, n_again, BROADCAST_MEANS), "label").select("rep", "label", "vector", "total").mapInArrow(to_mean, "rep string, label string, typical double")
+    return home.join(side, "label", "left_anti").select("rep", "label", "typical").unionByName(taken)
+
+
+def labelled(vectors: DataFrame, least: float, exact: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, label, typical) of every distinct usable vector, label the least rep of its cluster; (id, rep) of copies.
+    Without ``exact``, typical is left out."""
     rows = vectors.count()
     records = stored_vectors(vectors)
     distinct, members = class_rows(records, 0)
@@ -126,18 +185,21 @@ def labelled(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame | N
     reps = distinct.select(F.col("id").alias("rep"), "vector")
     cells = reps.mapInArrow(to_cells(fit, "rep", MARGIN), "cell long, home boolean, side boolean, rep string, packed binary")
     spread = cells.select("cell", "home", "rep", "packed").repartition(partitions(vectors.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
-    local = cut(spread.mapInArrow(clusters_in_cells(least), "rep string, home boolean, root string, typical double"))
+    local = cut(spread.mapInArrow(clusters_in_cells(least), "rep string, home boolean, cell long, root string, typical double"))
     # roots meet in records that lie in several cells, or under another root's name
     roots = local.groupBy("rep").agg(F.min("root").alias("b"), F.collect_set("root").alias("all")).where(F.size("all") > 1)
     joined = components(roots.select(F.explode("all").alias("a"), "b"))
     home = local.where("home").join(joined.withColumnRenamed("node", "root"), "root", "left")
-    return home.select("rep", F.coalesce("label", "root").alias("label"), "typical"), members
+    home = home.select("rep", "cell", "root", F.coalesce("label", "root").alias("label"), "typical")
+    return typical_of(home, reps, members) if exact else home.select("rep", "label"), members
 
 
-def cluster_members(vectors: DataFrame, least: float) -> DataFrame:
-    """(id, first_id, typical) of every stored record; first_id is the least id of its cluster, itself if alone."""
-    rows, members = labelled(vectors, least)
-    return with_copies(rows, members, "rep", "id").select("id", F.col("label").alias("first_id"), "typical")
+def cluster_members(vectors: DataFrame, least: float, exact: bool = True) -> DataFrame:
+    """(id, first_id, typical) of every stored record; first_id is the least id of its cluster, itself if alone, typical
+    its cosine to the mean of the cluster (left out without ``exact``)."""
+    rows, members = labelled(vectors, least, exact)
+    rows = with_copies(rows, members, "rep", "id").withColumnRenamed("label", "first_id")
+    return rows.select("id", "first_id", *(["typical"] if exact else []))
 
 
 def clusters(vectors: DataFrame, least: float = 0.88, smallest: int = 5, typical: int = 3) -> DataFrame:
@@ -155,7 +217,7 @@ def clusters(vectors: DataFrame, least: float = 0.88, smallest: int = 5, typical
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(cluster_members(spark.read.parquet(f"{sf_dir}/vectors.parquet"), 0.88).select("id", "first_id"))
+    rows = cut(cluster_members(spark.read.parquet(f"{sf_dir}/vectors.parquet"), 0.88, exact=False))
     large = rows.groupBy("first_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("first_id")
     return rows.where("id <> first_id").join(large, "first_id").select("first_id", "id")
 
