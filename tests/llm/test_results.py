@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecloom.llm import p1_subset, p4_top_n, p6_rank_fusion
 
@@ -147,6 +148,16 @@ def test_order(tables):
         assert [p for p, _ in mine] == list(range(1, n + 1)) and [s for _, s in mine] == sorted(s for _, s in mine)
 
 
+def test_found_comes_from_the_order(spark, tables, tmp_path, monkeypatch):
+    for name, df in zip(("queries", "search_results", "vectors"), tables):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {(k, i) for k, (n, ranks) in scores().items() if n >= 5 for i, r in ranks.items() if None not in r and max(r) <= math.ceil(n / 5)}
+    assert {(r.query_id, r.id) for r in p6_rank_fusion.p6_found(spark, str(tmp_path)).collect()} == want and want
+    monkeypatch.setattr(p6_rank_fusion, "significance", lambda ranks, m: F.raise_error(F.concat(F.lit("evaluated "), m.cast("string"))).cast("double"))
+    with pytest.raises(Exception, match="evaluated"):
+        p6_rank_fusion.p6_found(spark, str(tmp_path)).collect()
+
+
 def test_ranks_span_tasks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(1 if rng.random() < 0.9 else 2, float(rng.integers(0, 40))) for _ in range(500)]
