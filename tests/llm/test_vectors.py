@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecloom.llm import common, p2_knn, p3_clusters, p5_near_duplicates, vectors as v
+from vecloom.llm import collisions, common, p2_knn, p3_clusters, p5_near_duplicates, vectors as v
 from vecloom.llm.components import components
 
 from .conftest import VECTORS, cosines, grouped, record, stored
@@ -66,10 +66,37 @@ def test_large_group_of_similar_rows_is_met_whole(spark, monkeypatch):
     records = p2_knn.stored_vectors(spark.createDataFrame(rows, VECTORS))
     fit = v.fit_directions(records, 800, cell_rows=20)
     assert len(fit.centroids[32]) > 20
-    got = {r.id: {x.id for x in r.near} for r in p2_knn.knn_lists(records, 5, 0.85, 800, fit).collect()}
+    got = {r.id: {x[7:] for x in r.near} for r in p2_knn.knn_lists(records, 5, 0.85, 800, fit).collect()}
     assert got == {i: {j for _, j in near} for i, near in neighbours(stored(rows), 5, 0.85).items()} and len(got) == 400
 
 
+def test_collisions_decide_what_is_verified():
+    rng = np.random.default_rng(3)
+    groups = rng.normal(size=(60, 64))
+    u = v.unit((groups[rng.integers(0, 60, 1_500)] + 0.25 * rng.normal(size=(1_500, 64))).astype(np.float32))
+    axes = collisions.projections(u)
+    arrays = collisions.SortedArrays(u @ axes)
+    windows = collisions.Windows(arrays, 64, collisions.radius(0.85))
+    words = windows.candidates((u @ axes)[:200])
+    got = collisions.dense(words, len(u))
+    # the bit-sliced count is the count of windows that hold the row, up to half a grid step
+    p = u @ axes
+    half = windows.step * collisions.STEPS
+    inside = np.abs(p[:200, None] - p[None]) 
+    sure, maybe = (inside <= half - 1e-5).sum(2), (inside <= half + windows.step + 1e-5).sum(2)
+    assert (got >= (sure >= windows.need)).all() and (got <= (maybe >= windows.need)).all()
+    q, c = collisions.members(words)
+    assert (np.argwhere(got) == np.stack([q, c], axis=1)).all()
+    work = np.zeros(2)
+    q, n = p2_knn.top_of_array(u, u, 5, 0.85, True, work)
+    assert work[1] < 0.2 * work[0]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    found = set(zip(q.tolist(), n.tolist()))
+    best = [(i, j) for i in range(len(u)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.85]
+    assert sum(x in found for x in best) >= 0.995 * len(best)
+
+
 def test_windows_lose_nothing(monkeypatch):
     monkeypatch.setattr(p2_knn, "TILE", 16)
     rng = np.random.default_rng(8)

@@ -1,14 +1,11 @@
 """Most similar vectors for every vector: collision-counting hashing.
 
-Hash functions are single projections (:mod:`vecloom.llm.vectors`). A vector is kept in the sorted array of each
-direction it hits; vectors that hit a common direction collide. Inside an array the search is query-aware: a tile of
-queries opens the window ``[p - R, p + R]`` around its own projections, and R grows by virtual rehashing
-(``RADII``) until the k-th verified neighbour lies within R or R reaches the radius of ``min_cosine``. As
-``|a.x - a.y| <= |x - y|`` for a unit direction a, no neighbour within R is outside the window. ``PROBES`` further
-single projections count collisions between tiles: a pair of tiles whose projections overlap (widened by R) on fewer
-than all of them cannot hold a neighbour within R and is not verified. The rest is verified by the exact cosine.
-
-Counting collisions per vector instead of per tile would cost more than the dot product it saves (see README).
+Hash functions are single projections. A vector is kept in the sorted array of each direction of
+:mod:`vecloom.llm.vectors` on which it lies furthest out; vectors that hit a common direction meet in its cell. Inside
+a cell the search is query-aware: ``PROBES`` further projections (:mod:`vecloom.llm.collisions`) have sorted arrays, each
+vector opens a window around its own projection in every one of them, and the collisions of every other row with it are
+counted. Rows at or above the threshold are verified by the exact cosine; the others are never compared. Windows grow
+by virtual rehashing (``RADII``) until as many neighbours as asked for lie within the radius.
 """
 
 from __future__ import annotations
@@ -17,15 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, cut, partitions, repeated_keys, stored_vectors, with_copies
+from .collisions import SortedArrays, Windows, dense, members, projections, radius
 from .vectors import MARGIN, Directions, cell_size, fit_directions, grouped, to_cells, unpack
 
-#: Window radii as cosines; the last one is replaced by the search's own least cosine.
-RADII = (0.97,)
-PROBES, TILE = 6, 512
+#: Window radii as cosines, from the narrowest, and queries counted together.
+RADII, TILE = (0.92, 0.85), 256
+#: Below this cosine a window holds most rows whatever the query, and counting cannot tell them apart.
+LEAST_RADIUS = 0.7
+#: A tile in which more than one pair in so many is a candidate is verified by one matrix product.
+DENSE = 12
 ROWS_PER_TASK = 60_000
 
 
@@ -39,64 +41,90 @@ def best_of_rows(score: np.ndarray, least: float, take: int) -> tuple[np.ndarray
         ok = val >= least
         return row[ok], col[ok], val[ok]
     row, col = np.nonzero(hit)
-    val = score[row, col]
+    return first_of_rows(row, col, score[row, col], len(score), take)
+
+
+def first_of_rows(row: np.ndarray, col: np.ndarray, val: np.ndarray, rows: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the ``take`` greatest scores of each row, by row."""
     order = np.lexsort((-val, row))
     row, col, val = row[order], col[order], val[order]
-    ok = np.arange(len(row)) - np.searchsorted(row, np.arange(len(score)))[row] < take
+    ok = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row] < take
     return row[ok], col[ok], val[ok]
 
 
-def top_of_array(u: np.ndarray, v: np.ndarray, k: int, min_cosine: float, same: bool, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def sparse_scores(u: np.ndarray, v: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Dot products of the rows u[q] and v[c]."""
+    out = np.empty(len(q), np.float32)
+    for s in range(0, len(q), 1 << 15):
+        out[s : s + (1 << 15)] = np.einsum("ij,ij->i", u[q[s : s + (1 << 15)]], v[c[s : s + (1 << 15)]])
+    return out
+
+
+def top_of_array(u: np.ndarray, v: np.ndarray, k: int, min_cosine: float, same: bool, work: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query row, neighbour row) of at least the k best rows of ``v`` for each row of ``u`` with cosine >= min_cosine.
 
     Both hold unit rows. With ``same`` the two are one array and a row is not its own neighbour. Two spare places are
-    returned, so that the caller can settle single-precision near-ties with exact cosines.
+    returned, so that the caller can settle single-precision near-ties with exact cosines. ``work`` is added the pairs
+    there are, and the pairs that were verified.
     """
+    none = np.zeros(0, np.int64)
     if not len(u) or not len(v):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    take = k + 2
-    probes = np.random.default_rng(seed).normal(size=(PROBES, u.shape[1])).astype(np.float32)
-    axis = v.mean(0)
-    if np.linalg.norm(axis) > 1e-6:
-        probes[0] = axis
-    probes /= np.linalg.norm(probes, axis=1)[:, None]
-    pu, pv = u @ probes.T, v @ probes.T
-    ou, ov = np.argsort(pu[:, 0], kind="stable"), np.argsort(pv[:, 0], kind="stable")
-    pu, pv, su, sv = pu[ou], pv[ov], u[ou], v[ov]
-    place = np.empty(len(sv), np.int64)
-    place[ov] = np.arange(len(sv))
-    edges = np.arange(0, len(sv), TILE)
-    low, high = np.minimum.reduceat(pv, edges), np.maximum.reduceat(pv, edges)
-    ladder = [c for c in RADII if c > min_cosine + 0.02 and len(sv) > 2 * TILE] + [min_cosine]
-    waiting = np.arange(len(su))
-    out_q, out_n = [], []
+        return none, none
+    take = min(k + 2, len(v))
+    axes = projections(v)
+    pu = u @ axes
+    arrays = SortedArrays(pu if same else v @ axes)
+    waiting, out_q, out_n = np.arange(len(u)), [], []
+    # without a useful least radius what is still open in the end is compared with every row
+    ladder = [c for c in RADII if c > min_cosine] + [min_cosine if min_cosine >= LEAST_RADIUS else None]
+    if work is not None:
+        work[0] += len(u) * len(v)
     for cos in ladder:
-        last, radius, unfinished = cos == ladder[-1], np.sqrt(max(0.0, 2 - 2 * cos)) + 1e-4, []
+        windows = None if cos is None or not len(waiting) else Windows(arrays, u.shape[1], radius(cos))
+        last, unfinished = cos == ladder[-1], []
         for s in range(0, len(waiting), TILE):
             rows = waiting[s : s + TILE]
-            p = pu[rows]
-            collisions = ((low <= p.max(0) + radius) & (high >= p.min(0) - radius)).sum(1)
-            tiles = np.flatnonzero(collisions == PROBES)
-            if not len(tiles):
-                unfinished.append(rows)
-                continue
-            cols = np.arange(len(sv)) if len(tiles) == len(edges) else np.concatenate([np.arange(edges[t], min(edges[t] + TILE, len(sv))) for t in tiles])
-            score = su[rows] @ (sv if len(cols) == len(sv) else sv[cols]).T
-            if same:
-                me = np.searchsorted(cols, place[ou[rows]])
-                here = (me < len(cols)) & (cols[np.minimum(me, len(cols) - 1)] == place[ou[rows]])
-                score[np.flatnonzero(here), me[here]] = -2
-            r, c, value = best_of_rows(score, min_cosine - 1e-5, min(take, score.shape[1]))
+            words = None if windows is None else windows.candidates(pu[rows])
+            hit = len(rows) * len(v) if words is None else int(np.bitwise_count(words).sum())
+            if work is not None:
+                work[1] += hit
+            if words is None or hit * DENSE > len(rows) * len(v):
+                score = u[rows] @ v.T
+                if words is not None:
+                    score[~dense(words, len(v))] = -2
+                if same:
+                    score[np.arange(len(rows)), rows] = -2
+                r, c, value = best_of_rows(score, min_cosine - 1e-5, take)
+            else:
+                r, c = members(words)
+                value = sparse_scores(u[rows], v, r, c)
+                near = value >= min_cosine - 1e-5
+                if same:
+                    near &= rows[r] != c
+                r, c, value = first_of_rows(r[near], c[near], value[near], len(rows), take)
             if not last:
-                kth = np.where(np.bincount(r, minlength=len(rows)) >= take, 2.0, -2.0)
-                np.minimum.at(kth, r, value)
-                done = kth >= cos
+                # a query is done when as many neighbours as asked for lie within the radius
+                done = np.bincount(r[value >= cos], minlength=len(rows)) >= take
                 unfinished.append(rows[~done])
                 r, c = r[done[r]], c[done[r]]
-            out_q.append(ou[rows[r]])
-            out_n.append(ov[cols[c]])
+            out_q.append(rows[r])
+            out_n.append(c)
         waiting = np.concatenate(unfinished) if unfinished else waiting[:0]
-    return (np.concatenate(out_q), np.concatenate(out_n)) if out_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.concatenate(out_q), np.concatenate(out_n)
+
+
+def nearness(cos: np.ndarray, ids: pa.Array) -> pa.Array:
+    """Strings whose order is by cosine descending, then id: seven digits of 1 - cosine in millionths, and the id."""
+    digits = pc.utf8_lpad(pa.array(np.rint((1 - cos) * 1e6).astype(np.int64)).cast(pa.string()), 7, "0")
+    return pc.binary_join_element_wise(digits, ids, "")
+
+
+def _id(near: Column) -> Column:
+    return F.substring(near, 8, 2_147_483_647)
+
+
+def _cosine(near: Column) -> Column:
+    return F.round(1 - F.substring(near, 1, 7).cast("int") / 1e6, 6)
 
 
 def neighbours_in_cells(k: int, min_cosine: float):
@@ -132,7 +160,7 @@ def neighbours_in_cells(k: int, min_cosine: float):
             ok = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) <= k
             q, cos, member = q[ok], cos[ok], member[ok]
             offsets = np.append(np.searchsorted(q, groups), len(q))
-            items = pa.StructArray.from_arrays([pa.array(-cos), ids.take(pa.array(member))], names=["neg", "id"])
+            items = nearness(cos, ids.take(pa.array(member)))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(start[groups])), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)], names=["rep", "near"])
 
     return run
@@ -158,7 +186,7 @@ def class_rows(records: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]
 
 
 def knn_lists(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Directions | None = None) -> DataFrame:
-    """(id, near array<struct<neg, id>>): the k nearest of each record by cosine descending, then id; neg is -cosine.
+    """(id, near array<string>): the k nearest of each record by cosine descending, then id, as :func:`nearness`.
 
     Records with no neighbour of at least ``min_cosine`` have no row. Vectors of different sizes never meet. Copies of
     one vector are compared once and their ids put back. Empty input gives no rows; null, empty, all-zero and
@@ -168,23 +196,23 @@ def knn_lists(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Dir
     distinct, members = class_rows(records, k)
     cells = distinct.mapInArrow(to_cells(fit, "ids", MARGIN), "cell long, home boolean, side boolean, ids array<string>, packed binary")
     spread = cells.select("cell", "side", "ids", "packed").repartition(partitions(records.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
-    near = spread.mapInArrow(neighbours_in_cells(k, min_cosine), "rep string, near array<struct<neg: double, id: string>>")
+    near = spread.mapInArrow(neighbours_in_cells(k, min_cosine), "rep string, near array<string>")
     merged = near.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
     merged = with_copies(merged, members, "rep", "id")
-    own = F.filter("near", lambda x: x["id"] != F.col("id"))
+    own = F.filter("near", lambda x: _id(x) != F.col("id"))
     return merged.select("id", F.slice(own, 1, k).alias("near")).where(F.size("near") > 0)
 
 
 def all_neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = 0.5) -> DataFrame:
     """(id, rank, neighbour_id, cosine) of every stored record. See :func:`knn_lists` for nulls, ties and copies."""
     lists = knn_lists(stored_vectors(vectors), k, min_cosine, vectors.count())
-    return lists.select("id", F.posexplode("near").alias("p", "x")).select("id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("neighbour_id"), (-F.col("x.neg")).alias("cosine"))
+    return lists.select("id", F.posexplode("near").alias("p", "x")).select("id", (F.col("p") + 1).cast("int").alias("rank"), _id(F.col("x")).alias("neighbour_id"), _cosine(F.col("x")).alias("cosine"))
 
 
 def near_pairs(vectors: DataFrame, k: int = 5, min_cosine: float = 0.85) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of cosine at least ``min_cosine`` of which one is among the k nearest of the other."""
     lists = knn_lists(stored_vectors(vectors), k, min_cosine, vectors.count())
-    near = lists.select("id", F.explode("near.id").alias("other"))
+    near = lists.select("id", F.explode(F.transform("near", _id)).alias("other"))
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 

@@ -10,6 +10,7 @@ are still met and no task holds more than about two blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample the directions are fitted on; the fit does not grow with the data.
-SAMPLE_ROWS = 40_000
-#: Rows aimed at per direction, and the most directions per vector size.
-CELL_ROWS, MAX_DIRECTIONS = 2_000, 2_048
+#: Rows of the sample the directions are fitted on: ``PER_DIRECTION`` for each direction, at least and at most these.
+SAMPLE_ROWS, SAMPLE_MOST, PER_DIRECTION = 40_000, 160_000, 16
+#: Rows aimed at per direction. Directions grow with the rows as long as the sample does (to ten million rows); beyond,
+#: cells grow and are met block by block.
+CELL_ROWS = 1_000
+#: Rows of the sample that show which directions are hit together, and the hits a direction needs for that.
+BUNDLE_ROWS, BUNDLE_HITS = 8_192, 8
 #: Cells expected to exceed this are met block by block.
 BLOCK_ROWS = 8_192
 #: How far below a row's largest projection its window opens, and the share of common rows that bundles two directions.
@@ -124,8 +128,9 @@ class Directions:
 
 def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Directions:
     """Fit on at most about ``sample_rows`` records, chosen by a hash of the id; ``rows`` is the number of all records."""
-    share = min(1.0, sample_rows / max(rows, 1))
-    pick = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    wanted = min(SAMPLE_MOST, max(sample_rows, PER_DIRECTION * rows // cell_rows))
+    share = min(1.0, wanted / max(rows, 1))
+    pick = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000)) < math.ceil(share * 1_000_000)
     sample = records.where(pick).select("vector").toArrow().column("vector") if rows else None
     out = Directions(rows=rows)
     if sample is None or len(sample) == 0:
@@ -133,10 +138,10 @@ def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sa
     total, copies = len(sample), 0
     for d, _, m in by_size(sample):
         expected = rows * len(m) / total
-        k = int(min(MAX_DIRECTIONS, max(1, round(expected / cell_rows)), max(1, len(m) // 16)))
+        k = int(min(max(1, round(expected / cell_rows)), max(1, len(m) // PER_DIRECTION)))
         u = unit(m)
         c = minibatch_kmeans(u, k, seed) if k > 1 else unit(u.sum(0, keepdims=True) + np.float32(1e-6))
-        c, starts = bundled(u, c)
+        c, starts = bundled(u, c, seed)
         _, bundle, _ = hits(u, c, starts, MARGIN)
         entered = np.bincount(bundle, minlength=len(starts))
         blocks = np.maximum(1, np.ceil(entered * rows / total / BLOCK_ROWS - 1)).astype(np.int64)
@@ -146,16 +151,22 @@ def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sa
     return out
 
 
-def bundled(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chunk(columns: int) -> int:
+    return max(64, 2_000_000 // max(columns, 1))
+
+
+def bundled(u: np.ndarray, c: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The directions in the order of their bundles, and the first of each bundle. Two directions are bundled, also by
     way of others, if at least the share ``COMMON`` of the rows of ``u`` that hit either hit both."""
-    both = np.zeros((len(c), len(c)), np.float32)
-    for s in range(0, len(u), 4_096):
-        p = u[s : s + 4_096] @ c.T
-        near = (p >= p.max(1, keepdims=True) - MARGIN).astype(np.float32)
-        both += near.T @ near
+    if len(u) > BUNDLE_ROWS:
+        u = u[np.random.default_rng(seed).choice(len(u), BUNDLE_ROWS, replace=False)]
+    near = np.concatenate([(p >= p.max(1, keepdims=True) - MARGIN) for p in (u[s : s + _chunk(len(c))] @ c.T for s in range(0, len(u), _chunk(len(c))))])
+    often = np.flatnonzero(near.sum(0) >= BUNDLE_HITS)
+    near = near[:, often].astype(np.float32)
+    both = near.T @ near
     n = np.diag(both)
-    a, b = np.nonzero(both >= COMMON * np.maximum(n[:, None] + n[None, :] - both, 1))
+    a, b = np.nonzero((both >= COMMON * np.maximum(n[:, None] + n[None, :] - both, 1)) & (both >= BUNDLE_HITS))
+    a, b = often[a], often[b]
     root = np.arange(len(c))
     while True:
         new = root.copy()
@@ -171,10 +182,13 @@ def bundled(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hits(u: np.ndarray, c: np.ndarray, starts: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bundle, is the row's first): all bundles with a direction within ``margin`` of each row's largest projection."""
     rows, bundles, first = [], [], []
-    for s in range(0, len(u), 4_096):
-        p = np.maximum.reduceat(u[s : s + 4_096] @ c.T, starts, axis=1)
+    alone = len(starts) == len(c)
+    for s in range(0, len(u), _chunk(len(c))):
+        p = u[s : s + _chunk(len(c))] @ c.T
+        p = p if alone else np.maximum.reduceat(p, starts, axis=1)
         best = p.argmax(1)
-        row, bundle = np.nonzero(p >= p[np.arange(len(p)), best][:, None] - margin)
+        at = np.flatnonzero(p >= p[np.arange(len(p)), best][:, None] - np.float32(margin))
+        row, bundle = at // p.shape[1], at % p.shape[1]
         rows.append(s + row)
         bundles.append(bundle)
         first.append(bundle == best[row])
@@ -182,12 +196,12 @@ def hits(u: np.ndarray, c: np.ndarray, starts: np.ndarray, margin: float) -> tup
 
 
 def cell_code(d: int, direction: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One key for size, direction and block pair (12 bits a block, 12 bits a direction)."""
-    return ((np.int64(d) << 40) | (direction.astype(np.int64) << 28)) + (a << 14) + b
+    """One key for size, direction and block pair (14 bits a block, 20 bits a direction)."""
+    return ((np.int64(d) << 48) | (direction.astype(np.int64) << 28)) + (a << 14) + b
 
 
 def cell_size(code: int) -> int:
-    return int(code) >> 40
+    return int(code) >> 48
 
 
 def to_cells(fit: Directions, key: str, margin: float):
