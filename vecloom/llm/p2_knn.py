@@ -18,9 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, partitions, repeated_keys, stored_vectors, with_copies
+from ..session import cut_lineage as cut
+from .common import checked_broadcast, partitions, repeated_keys, stored_vectors, with_copies
 from .collisions import SortedArrays, Windows, dense, members, projections, radius
-from .vectors import MARGIN, Directions, cell_size, fit_directions, grouped, to_cells, unpack
+from .vectors import Directions, cell_size, fit_directions, grouped, to_cells, unpack
 
 #: Window radii as cosines, from the narrowest, and queries counted together.
 RADII, TILE = (0.92, 0.85), 256
@@ -63,7 +64,7 @@ def sparse_scores(u: np.ndarray, v: np.ndarray, q: np.ndarray, c: np.ndarray) ->
 def top_of_array(u: np.ndarray, v: np.ndarray, k: int, min_cosine: float, same: bool, work: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query row, neighbour row) of at least the k best rows of ``v`` for each row of ``u`` with cosine >= min_cosine.
 
-    Both hold unit rows. With ``same`` the two are one array and a row is not its own neighbour. Two spare places are
+    Both hold unit rows. With ``same`` the rows of ``u`` are the first of ``v``, and a row is not its own neighbour. Two spare places are
     returned, so that the caller can settle single-precision near-ties with exact cosines. ``work`` is added the pairs
     there are, and the pairs that were verified.
     """
@@ -73,7 +74,7 @@ def top_of_array(u: np.ndarray, v: np.ndarray, k: int, min_cosine: float, same:
     take = min(k + 2, len(v))
     axes = projections(v)
     pu = u @ axes
-    arrays = SortedArrays(pu if same else v @ axes)
+    arrays = SortedArrays(v @ axes)
     waiting, out_q, out_n = np.arange(len(u)), [], []
     # without a useful least radius what is still open in the end is compared with every row
     ladder = [c for c in RADII if c > min_cosine] + [min_cosine if min_cosine >= LEAST_RADIUS else None]
@@ -138,9 +139,15 @@ def neighbours_in_cells(k: int, min_cosine: float):
             lists = cell.column("ids").combine_chunks()
             n_ids = lists.value_lengths().to_numpy()
             ids, start = lists.flatten(), np.cumsum(n_ids) - n_ids
-            side = cell.column("side").to_numpy()
-            a, b = np.flatnonzero(~side), np.flatnonzero(side)
-            found = [(x, y, top_of_array(u[x], u[y], k + 1, min_cosine, x is y)) for x, y in (((a, a),) if not len(b) else ((a, b), (b, a)))]
+            side, own = cell.column("side").to_numpy(), cell.column("own").to_numpy()
+            # visitors are compared with the rows at home here; two visitors meet in a cell of theirs
+            blocks = [(np.flatnonzero(own & (side == s)), np.flatnonzero(~own & (side == s))) for s in (False, True)]
+            (a, at_a), (b, at_b) = blocks
+            if not len(b) + len(at_b):
+                met = [(a, np.concatenate([a, at_a]), True), (at_a, a, False)]
+            else:
+                met = [(a, np.concatenate([b, at_b]), False), (at_a, b, False), (b, np.concatenate([a, at_a]), False), (at_b, a, False)]
+            found = [(x, y, top_of_array(u[x], u[y], k + 1, min_cosine, same)) for x, y, same in met]
             q, n = np.concatenate([x[r] for x, _, (r, _) in found]), np.concatenate([y[c] for _, y, (_, c) in found])
             cos = np.round(np.einsum("ij,ij->i", w[q], w[n]), 6)
             copies = np.flatnonzero(n_ids > 1)
@@ -153,7 +160,7 @@ def neighbours_in_cells(k: int, min_cosine: float):
             member = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[n], times)
             q, cos = np.repeat(q, times), np.repeat(cos, times)
             rank = np.empty(len(ids), np.int64)
-            rank[np.argsort(np.array(ids.to_pylist(), object), kind="stable")] = np.arange(len(ids))
+            rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
             order = np.lexsort((rank[member], -cos, q))
             q, cos, member = q[order], cos[order], member[order]
             groups, first = np.unique(q, return_index=True)
@@ -194,8 +201,8 @@ def knn_lists(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Dir
     """
     fit = fit or fit_directions(records, rows)
     distinct, members = class_rows(records, k)
-    cells = distinct.mapInArrow(to_cells(fit, "ids", MARGIN), "cell long, home boolean, side boolean, ids array<string>, packed binary")
-    spread = cells.select("cell", "side", "ids", "packed").repartition(partitions(records.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
+    cells = distinct.mapInArrow(to_cells(fit, "ids"), "cell long, home boolean, own boolean, side boolean, ids array<string>, packed binary")
+    spread = cells.select("cell", "own", "side", "ids", "packed").repartition(partitions(records.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
     near = spread.mapInArrow(neighbours_in_cells(k, min_cosine), "rep string, near array<string>")
     merged = near.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
     merged = with_copies(merged, members, "rep", "id")

@@ -124,15 +124,16 @@ class Directions:
     blocks: dict[int, np.ndarray] = field(default_factory=dict)
     rows: int = 0
     copies: float = 1.0
+    margin: float = MARGIN
 
 
-def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Directions:
+def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 7, margin: float = MARGIN) -> Directions:
     """Fit on at most about ``sample_rows`` records, chosen by a hash of the id; ``rows`` is the number of all records."""
     wanted = min(SAMPLE_MOST, max(sample_rows, PER_DIRECTION * rows // cell_rows))
     share = min(1.0, wanted / max(rows, 1))
     pick = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000)) < math.ceil(share * 1_000_000)
     sample = records.where(pick).select("vector").toArrow().column("vector") if rows else None
-    out = Directions(rows=rows)
+    out = Directions(rows=rows, margin=margin)
     if sample is None or len(sample) == 0:
         return out
     total, copies = len(sample), 0
@@ -141,8 +142,8 @@ def fit_directions(records: DataFrame, rows: int, cell_rows: int = CELL_ROWS, sa
         k = int(min(max(1, round(expected / cell_rows)), max(1, len(m) // PER_DIRECTION)))
         u = unit(m)
         c = minibatch_kmeans(u, k, seed) if k > 1 else unit(u.sum(0, keepdims=True) + np.float32(1e-6))
-        c, starts = bundled(u, c, seed)
-        _, bundle, _ = hits(u, c, starts, MARGIN)
+        c, starts = bundled(u, c, margin, seed)
+        _, bundle, _ = hits(u, c, starts, margin)
         entered = np.bincount(bundle, minlength=len(starts))
         blocks = np.maximum(1, np.ceil(entered * rows / total / BLOCK_ROWS - 1)).astype(np.int64)
         out.centroids[d], out.starts[d], out.blocks[d] = c, starts, blocks
@@ -155,12 +156,12 @@ def _chunk(columns: int) -> int:
     return max(64, 2_000_000 // max(columns, 1))
 
 
-def bundled(u: np.ndarray, c: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def bundled(u: np.ndarray, c: np.ndarray, margin: float = MARGIN, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The directions in the order of their bundles, and the first of each bundle. Two directions are bundled, also by
     way of others, if at least the share ``COMMON`` of the rows of ``u`` that hit either hit both."""
     if len(u) > BUNDLE_ROWS:
         u = u[np.random.default_rng(seed).choice(len(u), BUNDLE_ROWS, replace=False)]
-    near = np.concatenate([(p >= p.max(1, keepdims=True) - MARGIN) for p in (u[s : s + _chunk(len(c))] @ c.T for s in range(0, len(u), _chunk(len(c))))])
+    near = np.concatenate([(p >= p.max(1, keepdims=True) - margin) for p in (u[s : s + _chunk(len(c))] @ c.T for s in range(0, len(u), _chunk(len(c))))])
     often = np.flatnonzero(near.sum(0) >= BUNDLE_HITS)
     near = near[:, often].astype(np.float32)
     both = near.T @ near
@@ -204,11 +205,12 @@ def cell_size(code: int) -> int:
     return int(code) >> 48
 
 
-def to_cells(fit: Directions, key: str, margin: float):
-    """A mapInArrow function from (key, vector) to (cell, home, side, key, packed): a row for each cell it belongs to.
+def to_cells(fit: Directions, key: str):
+    """A mapInArrow function from (key, vector) to (cell, home, own, side, key, packed): a row for each cell it belongs to.
 
-    ``home`` marks one row of each record. ``side`` is 0 or 1, the block of a block pair the row is in (0 in a whole
-    cell and in a pair of a block with itself).
+    ``own`` marks the rows in the cell of their largest projection, the others are visitors; ``home`` marks one row of
+    each record. ``side`` is 0 or 1, the block of a block pair the row is in (0 in a whole cell and in a pair of a block
+    with itself).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,27 +222,28 @@ def to_cells(fit: Directions, key: str, margin: float):
                     at, direction, first = np.arange(len(u)), np.zeros(len(u), np.int64), np.ones(len(u), bool)
                     blocks = np.ones(1, np.int64)
                 else:
-                    at, direction, first = hits(u, c, fit.starts[d], margin)
+                    at, direction, first = hits(u, c, fit.starts[d], fit.margin)
                     blocks = fit.blocks[d]
                 direction = direction.astype(np.int64)
                 nb = blocks[direction]
                 # the block follows the vector, so that equal rows of a cell stay together whatever their order
                 mix = (np.abs(m).astype(np.float64) @ np.sqrt(np.arange(1, d + 1) + 0.5) * 7919).astype(np.int64)[at]
-                own = mix % nb
+                place = mix % nb
                 rep = np.repeat(np.arange(len(at)), nb)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(nb) - nb, nb)
-                mine = own[rep]
+                mine = place[rep]
                 lo, hi = np.minimum(mine, other), np.maximum(mine, other)
                 code = cell_code(d, direction[rep], lo, hi)
                 side = (mine == hi) & (lo != hi)
-                home = first[rep] & (mine == other)
+                own = first[rep]
+                home = own & (mine == other)
                 order, parts = pack(m)
                 inverse = np.empty(len(order), np.int64)
                 inverse[order] = np.arange(len(order))
                 packed = binary(parts).take(pa.array(inverse)).take(pa.array(at[rep]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(code), pa.array(home), pa.array(side), batch.column(key).take(pa.array(rows[at[rep]])), packed],
-                    names=["cell", "home", "side", key, "packed"],
+                    [pa.array(code), pa.array(home), pa.array(own), pa.array(side), batch.column(key).take(pa.array(rows[at[rep]])), packed],
+                    names=["cell", "home", "own", "side", key, "packed"],
                 )
 
     return run
