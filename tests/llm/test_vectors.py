@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from vecloom.llm import collisions, common, p2_knn, p3_clusters, p5_near_duplicates, vectors as v
-from vecloom.llm.components import components
 
 from .conftest import VECTORS, cosines, grouped, record, stored
 
@@ -52,9 +51,9 @@ def test_blocks_of_hot_cells(spark, monkeypatch):
     assert v.fit_directions(p2_knn.stored_vectors(df), 150).blocks[16].max() > 2
     want = neighbours(stored(rows), 5, 0.85)
     assert {(r.id_a, r.id_b) for r in p2_knn.near_pairs(df).collect()} == {(min(i, j), max(i, j)) for i, near in want.items() for _, j in near}
-    linked = {frozenset(p) for p, x in cosines(stored(rows)).items() if x >= 0.95}
+    pairs = {frozenset(p) for p, x in cosines(stored(rows)).items() if x >= 0.95}
     got = {r.id: r.first_id for r in p3_clusters.cluster_members(df, 0.95).collect()}
-    assert got == single_linkage(stored(rows), linked)
+    assert got == single_linkage(stored(rows), pairs)
 
 
 def test_large_group_of_similar_rows_is_met_whole(spark, monkeypatch):
@@ -82,7 +81,7 @@ def test_collisions_decide_what_is_verified():
     # the bit-sliced count is the count of windows that hold the row, up to half a grid step
     p = u @ axes
     half = windows.step * collisions.STEPS
-    inside = np.abs(p[:200, None] - p[None]) 
+    inside = np.abs(p[:200, None] - p[None])
     sure, maybe = (inside <= half - 1e-5).sum(2), (inside <= half + windows.step + 1e-5).sum(2)
     assert (got >= (sure >= windows.need)).all() and (got <= (maybe >= windows.need)).all()
     q, c = collisions.members(words)
@@ -134,15 +133,70 @@ def single_linkage(good, linked):
     return first
 
 
+def average_linkage(good, least):
+    """Clusters by merging the pair of greatest average cosine, one at a time; copies of a vector first."""
+    c = cosines(good)
+    groups = [[i] for i in sorted(good)]
+    while True:
+        best = None
+        for i in range(len(groups)):
+            for j in range(i + 1, len(groups)):
+                pairs = [c.get((x, y), -9) for x in groups[i] for y in groups[j]]
+                v = sum(pairs) / len(pairs)
+                if v >= least and (best is None or v > best[0]):
+                    best = (v, i, j)
+        if best is None:
+            return {frozenset(g) for g in groups}
+        _, i, j = best
+        groups[i] += groups.pop(j)
+
+
+def linked(df, least, **options):
+    rows, members = p3_clusters.linked_rows(df, least, **options)
+    out = {}
+    for r in common.with_copies(rows, members, "rep", "id").collect():
+        out.setdefault(r["first"], {})[r.id] = r.typical
+    assert all(min(g) == f for f, g in out.items())
+    return out
+
+
 def test_clusters(spark, vectors):
     good = stored(grouped())
     want = single_linkage(good, {frozenset(p) for p, x in cosines(good).items() if x >= 0.88})
-    got = {r.id: r.first_id for r in p3_clusters.cluster_members(vectors, 0.88).collect()}
-    assert got == want
-    sizes = Counter(want.values())
+    assert {r.id: r.first_id for r in p3_clusters.cluster_members(vectors, 0.88).collect()} == want
+    want = average_linkage(good, 0.88)
+    assert {frozenset(g) for g in linked(vectors, 0.88).values()} == want
     out = {r.first_id: r for r in p3_clusters.clusters(vectors, 0.88).collect()}
-    assert {f: r["size"] for f, r in out.items()} == {f: n for f, n in sizes.items() if n >= 5} and len(out) > 5
-    assert all(len(r.typical_ids) == 3 and all(want[i] == f for i in r.typical_ids) for f, r in out.items())
+    assert {f: r["size"] for f, r in out.items()} == {min(g): len(g) for g in want if len(g) >= 5} and len(out) > 5
+    of = {i: g for g in want for i in g}
+    assert all(len(r.typical_ids) == 3 and all(i in of[f] for i in r.typical_ids) for f, r in out.items())
+
+
+@pytest.fixture(scope="module")
+def chains(spark):
+    """Two chains of vectors, each near its neighbours only, and a tight group with copies."""
+    rng = np.random.default_rng(9)
+    step = 0.4 * (np.arange(8) + 0.01 * rng.normal(size=8))
+    rows = [record(f"a{i}", i, [np.cos(t), np.sin(t), 0, 0, 0]) for i, t in enumerate(step)]
+    rows += [record(f"b{i}", 20 + i, [0, 0, np.cos(t), np.sin(t), 0.05]) for i, t in enumerate(step[:5] * 1.1)]
+    rows += [record(f"c{i}", 40 + i, [0.03 * (i % 3), 0.1, -0.02 * (i % 3), 0.1, 1]) for i in range(7)]
+    return rows, spark.createDataFrame(rows, VECTORS)
+
+
+def test_chains_are_no_clusters(chains):
+    rows, df = chains
+    whole = {r.id: r.first_id for r in p3_clusters.cluster_members(df, 0.88).collect()}
+    assert {whole[f"a{i}"] for i in range(8)} == {"a0"}
+    want = average_linkage(stored(rows), 0.88)
+    got = linked(df, 0.88)
+    assert {frozenset(g) for g in got.values()} == want
+    assert max(len(g) for g in want if "a0" in g or "a4" in g) < 4 and any(len(g) == 7 for g in want)
+
+
+def test_large_components_take_rounds(chains):
+    _, df = chains
+    assert linked(df, 0.88, large=3) == linked(df, 0.88)
+    assert linked(df, 0.88, smallest=8, large=3) == {f: g for f, g in linked(df, 0.88).items() if f[0] == "a"}
 
 
 def test_typical_is_of_the_whole_cluster(spark, monkeypatch):
@@ -155,23 +209,26 @@ def test_typical_is_of_the_whole_cluster(spark, monkeypatch):
     u = {i: x.astype(float) / np.linalg.norm(x.astype(float)) for i, x in good.items()}
     mean = sum(u.values())
     want = {i: float(x @ mean / np.linalg.norm(mean)) for i, x in u.items()}
-    df = spark.createDataFrame(rows, VECTORS)
-    got = p3_clusters.cluster_members(df, 0.8).collect()
-    assert {r.first_id for r in got} == {"c000"} and all(abs(r.typical - want[r.id]) < 2e-6 for r in got)
+    got = linked(spark.createDataFrame(rows, VECTORS), 0.75)
+    assert set(got) == {"c000"} and all(abs(t - want[i]) < 2e-6 for i, t in got["c000"].items())
 
 
 def test_average_linkage():
     rng = np.random.default_rng(2)
-    u = v.unit(rng.normal(size=(60, 3)).astype(np.float32))
-    label = p3_clusters.average_linkage(u, 0.8)
+    u = v.unit(rng.normal(size=(60, 3)).astype(np.float32)).astype(np.float64)
+    a, b = p3_clusters.links(u.astype(np.float32), 0.8)
+    label = p3_clusters.average_linkage(u, np.ones(60), a, b, 0.8)
     groups = [np.flatnonzero(label == x) for x in np.unique(label)]
     mean = np.array([u[g].mean(0) for g in groups])
     between = mean @ mean.T
     np.fill_diagonal(between, -1)
-    assert between.max() < 0.8 + 1e-5 and len(groups) < 40
+    assert between.max() < 0.8 + 1e-5 and 5 < len(groups) < 40
     assert all(label[g].min() == g[0] for g in groups)
-    same = np.repeat(u[:1], 9, axis=0)
-    assert len(set(p3_clusters.average_linkage(same, 0.99))) == 1
+    # a cluster counts as often as it has copies
+    x = np.array([[1, 0], [np.cos(0.3), np.sin(0.3)], [np.cos(0.75), np.sin(0.75)]])
+    ends = (np.array([0, 1]), np.array([1, 2]))
+    assert len(set(p3_clusters.average_linkage(x, np.array([1, 1, 1]), *ends, 0.8))) == 1
+    assert len(set(p3_clusters.average_linkage(x, np.array([9, 1, 1]), *ends, 0.8))) == 2
 
 
 def multiset(x):
@@ -232,9 +289,3 @@ def test_empty_tables(no_vectors):
 def test_nothing_usable(spark):
     df = spark.createDataFrame([record("a", 1, None), record("b", 2, []), record("c", 3, [0.0]), record("d", 4, [0.0])], VECTORS)
     assert p2_knn.near_pairs(df).isEmpty() and p3_clusters.cluster_members(df, 0.9).isEmpty() and p5_near_duplicates.near_duplicates(df).isEmpty()
-
-
-def test_components(spark):
-    e = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "x"), (None, "q"), ("y", "z"), ("y", "z")], "a string, b string")
-    assert {r.node: r.label for r in components(e).collect()} == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
-    assert components(e.where("false")).isEmpty()

@@ -1,27 +1,20 @@
-"""Shared pieces of the training-data operators: lineage cuts, size-checked joins and the stored-record view."""
+"""Shared pieces of the training-data operators: size-checked joins and the stored-record view."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage as cut
+
 #: Keys a broadcast side may hold; a larger side takes a shuffle join instead.
 BROADCAST_KEYS = 400_000
 #: Members of a class of copies that one task puts back.
 HOT_MEMBERS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-"))
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession, rows: float, per_task: int) -> int:
     """Tasks that keep at most about ``per_task`` rows each, never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored_metadata, stored_vectors
+from ..session import cut_lineage as cut
+from .common import stored_metadata, stored_vectors
 from .p4_top_n import candidates
 from .p6_rank_fusion import number
 from .vectors import by_size, minibatch_kmeans, unit

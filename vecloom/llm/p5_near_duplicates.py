@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, partitions, stored_vectors
-from .components import components
+from ..operators.graph import connected_components
+from ..session import cut_lineage as cut
+from .common import checked_broadcast, partitions, stored_vectors
 from .vectors import by_size
 
 SEGMENTS, WIDTH, SKETCH = 4, 6, 16
@@ -242,7 +243,7 @@ def duplicate_groups(vectors: DataFrame, least: float = 0.7) -> DataFrame:
     pairs = cut(similar_classes(distinct, vectors.count(), least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     stars = pairs if members is None else pairs.unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    groups = components(stars)
+    groups = connected_components(stars, "a", "b").toDF("node", "label")
     rep = groups.select("node", F.col("node").alias("rep"), "label") if members is None else groups.join(members.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("rep", "node").alias("rep"), "label")
     return rep.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("node").alias("id"), F.col("label").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 

@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, checked_broadcast, cut, partitions, stored_metadata
+from ..session import cut_lineage as cut
+from .common import BROADCAST_KEYS, checked_broadcast, partitions, stored_metadata
 from .p4_top_n import candidates
 
 #: The name of the distance among the scores; no JSON field can carry it.

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut
+from ..session import cut_lineage as cut
+from .common import checked_broadcast
 from .p5_near_duplicates import mix64
 from .p7_encode import chunks
 
