@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,9 +51,42 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """The folder of ``spark.checkpoint.dir``, shared by the cluster. Without one a temporary folder serves a local
+    session; a cluster is refused, as its executors would not find the files again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the cluster shares: {what} are kept there")
+    return tempfile.mkdtemp(prefix="vecloom-")
+
+
 def cut_lineage(df):
-    """Checkpoint in the folder of ``spark.checkpoint.dir``, shared by the cluster; a temporary one only where unset."""
+    """Checkpoint in the folder of ``spark.checkpoint.dir`` (see :func:`shared_folder`)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
+
+
+def written(df):
+    """``df`` written as a compressed table in the shared folder, and read back: a lineage cut for tables that are large
+    beside their input, of which a checkpoint would keep plain rows. The tables are deleted when the program ends."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    base = folder.get() if folder.isDefined() else shared_folder(spark, "tables")
+    path = f"{base}/vecloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session ended before
+        if path.startswith("/"):
+            shutil.rmtree(path, ignore_errors=True)

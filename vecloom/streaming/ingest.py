@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, interval: str = "10 seconds"):
     """Start writing each micro-batch with ``write(batch, batch_id)``; ``once`` stops after what is available.
@@ -27,7 +28,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """
     spark = stream.sparkSession
     name = f"drained_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-stream-")
+    base = shared_folder(spark, "stream states")
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
