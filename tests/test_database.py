@@ -37,6 +37,45 @@ def test_ids_and_overwrites(spark):
     assert s["vector_count"] == 3 and s["dimensions"] == {1: 1, 2: 1, 3: 1}
 
 
+def test_numbers_and_texts_are_different_ids(spark):
+    db = Database(spark)
+    db.bulk_add([{"id": 1, "vector": [1.0, 0.0], "metadata": {"what": "number", "w": 5}}, {"id": "1", "vector": [0.9, 0.1], "metadata": {"what": "text", "w": 1}}, {"id": "x", "vector": [0.0, 1.0]}])
+    got = db.search([1.0, 0.0], 2, include_metadata=True, include_vectors=True).orderBy("rank").collect()
+    assert [(r.id, r.id_is_num, json.loads(r.metadata)["what"], round(r.vector[0], 1)) for r in got] == [("1", True, "number", 1.0), ("1", False, "text", 0.9)]
+    assert [r.id_is_num for r in db.search([1.0, 0.0], 2, rerank_method="diversity").orderBy("rank").collect()] == [True, False]
+    assert db.search([1.0, 0.0], 1, rerank_method="weighted", weights={"w": 1.0}, fetch_k=3).first().id_is_num
+    assert {(r.query_id, r.id_is_num) for r in db.batch_search([[1.0, 0.0], [0.9, 0.1]], 1).collect()} == {(0, True), (1, False)}
+    pair = db.relationships(0.2, include_metadata=True).collect()
+    assert [(r.id_a, r.id_b, {r.id_a_is_num, r.id_b_is_num}) for r in pair] == [("1", "1", {True, False})]
+    assert {(r.id, r.id_is_num) for r in db.communities(0.2).collect()} == {("1", True), ("1", False)}
+    for kind in ("ivf", "lsh", "pq", "hnsw"):
+        db.build_index(kind, **({"clusters": 2} if kind in ("ivf", "pq") else {"tables": 4, "hashes": 1} if kind == "lsh" else {}))
+        rows = db.search([1.0, 0.0], 2, method=kind, include_metadata=True).orderBy("rank").collect()
+        assert [json.loads(r.metadata)["what"] for r in rows] == ["number", "text"], kind
+        assert db.search([1.0, 0.0], 3, method=kind, filter=lambda id, m: id == "1" and m["what"] == "text").count() == 1, kind
+    assert db.similar(1, 1).first().id_is_num is False
+    db.delete_vector("1")
+    assert db.has_vector(1) and not db.has_vector("1")
+
+
+def test_numbers_are_given_out_once(spark, tmp_path):
+    path = str(tmp_path / "db")
+    db = Database(spark, path)
+    assert [db.add_vector([1.0]) for _ in range(2)] == ["1", "2"]
+    db.delete_vector(2)
+    assert db.add_vector([2.0]) == "3"
+    db.delete_vector(3)
+    assert Database(spark, path).add_vector([3.0]) == "4"
+
+
+def test_catalogue_is_saved_with_each_change(spark, tmp_path):
+    path = str(tmp_path / "db")
+    db = Database(spark, path, partitioning={"capacity": 2})
+    db.bulk_add(random_rows(3))
+    other = Database(spark, path)
+    assert other.stats()["vector_count"] == 3 and list(other.catalog) == ["p1", "p2"] and other.active_partition() == "p2"
+
+
 def test_single_precision(spark):
     db = Database(spark)
     db.add_vector([0.1, 0.2, 0.3], id="a")
@@ -125,7 +164,13 @@ def test_versions(spark, tmp_path):
     for n in (1, 2, 3):
         t.save(spark.range(n))
     assert t.load().count() == 3 and t.load(version="v00000001").count() == 1
-    assert t.vacuum(1) == ["v00000001", "v00000002"] and t.load().count() == 3
+    # a save that fails leaves the table as it was, and what it wrote is not met
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        t.save(broken, {"n": 4})
+    assert t.current() == "v00000003" and t.load().count() == 3 and t.state() is None
+    assert t.save(spark.range(6), {"n": 6}) == "v00000005" and t.load().count() == 6 and t.state() == {"n": 6}
+    assert t.vacuum(1) == ["v00000001", "v00000002", "v00000003", "v00000004"] and t.load().count() == 6
 
 
 def test_files(spark, tmp_path):

@@ -9,7 +9,7 @@ from collections import OrderedDict, defaultdict, deque
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import config as make_config
@@ -22,18 +22,19 @@ from .operators.index.lsh import SignHashIndex
 from .operators.index.pq import ProductQuantizer
 from .operators.rerank import rerank
 from .operators.search import batch_nearest, nearest, restricted
-from .schema import PARTITIONS, RECORDS, check_k, check_vector, encode_id, id_matches, partition_name_ok, prefer_text_id
+from .schema import PARTITIONS, RECORDS, check_k, check_vector, encode_id, id_matches, keyed, partition_name_ok, plain, prefer_text_id
 from .session import cut_lineage, ship_package
 from .sources.store import VersionedTable
 
 INDEX_KINDS = ("ivf", "lsh", "pq", "hnsw")
+_COLUMNS = [f.split()[0] for f in RECORDS.split(", ")]
 
 
 class Database:
     """Every change makes a new version of the records: of the Parquet table at ``path``, or checkpointed without one.
 
-    All partitions are searched; ids are unique in the database, and a later write wins. The partition catalogue (one
-    small row each) is held here and saved beside the records.
+    All partitions are searched; ids are unique in the database, 1 and "1" are different ids, and a later write wins. The
+    partition catalogue (one small row each) and the id counter are held here and saved with every change of either.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, strict: bool = False, **settings: Any):
@@ -48,10 +49,10 @@ class Database:
         self.cache: OrderedDict = OrderedDict()
         self.timer = monitor.Timer()
         self.version = 0
+        self.counter = 1
         self.closed = False
         self.records = spark.createDataFrame([], RECORDS)
         self._table = VersionedTable(spark, f"{self.path}/records", "partition_id") if self.path else None
-        self._parts = VersionedTable(spark, f"{self.path}/partitions") if self.path else None
         if self._table and self._table.current():
             self.load()
 
@@ -67,9 +68,13 @@ class Database:
 
     # --- versions ------------------------------------------------------------------------------------------------
 
+    def _state(self) -> dict[str, Any]:
+        return {"partitions": list(self.catalog.values()), "counter": self.counter}
+
     def _commit(self, records: DataFrame) -> None:
+        """Make ``records`` the current version, together with the catalogue and the counter."""
         if self._table:
-            self._table.save(records.select(*[f.split()[0] for f in RECORDS.split(", ")]))
+            self._table.save(records.select(*_COLUMNS), self._state())
             self.records = self._table.load(RECORDS)
         else:
             self.records = cut_lineage(records)
@@ -78,17 +83,19 @@ class Database:
         self.indexes.clear()
 
     def save(self) -> None:
-        """Save the catalogue; records are saved by every change."""
-        if self._parts:
-            self._parts.save(self.partitions().coalesce(1))
+        """Save the catalogue and the counter; records are saved by every change."""
+        if self._table and self._table.state() != self._state():
+            self._table.save(self.records.select(*_COLUMNS), self._state())
+            self.records = self._table.load(RECORDS)
         self._emit("db:save", path=self.path)
 
     def load(self) -> None:
         saved_records = self._table.load(RECORDS) if self._table else None
         self.records = self.records if saved_records is None else saved_records
-        saved = self._parts.load(PARTITIONS) if self._parts else None
+        saved = self._table.state() if self._table else None
         if saved is not None:
-            self.catalog = OrderedDict((r.partition_id, r.asDict()) for r in saved.collect())
+            self.catalog = OrderedDict((p["partition_id"], p) for p in saved["partitions"])
+        self.counter = mutations.next_counter(self.records, 1 if saved is None else saved["counter"])
         self._emit("db:load", path=self.path)
 
     def close(self) -> None:
@@ -145,9 +152,7 @@ class Database:
         """Write one record and return its id as text; a null id is numbered from the counter."""
         values = check_vector(vector, self.config["vector"]["size"] if self.strict else None, self.strict)
         self.bulk_add([{"id": id, "vector": values, "metadata": metadata}])
-        if id is None:
-            return str(mutations.next_counter(self.records) - 1)
-        return str(id)
+        return str(self.counter - 1) if id is None else str(id)
 
     def bulk_add(self, items: DataFrame | Iterable[dict]) -> dict[str, Any]:
         """Write records in order: a DataFrame (id, id_is_num, vector, metadata, and seq for the order) or dicts.
@@ -171,7 +176,9 @@ class Database:
             return {"count": 0, "partition_ids": []}
         last = self.records.agg(F.max("seq")).first()[0]
         base = 0 if last is None else last + 1
-        batch = mutations.assign_ids(batch, mutations.next_counter(self.records))
+        batch = cut_lineage(mutations.assign_ids(batch, self.counter))
+        # numbers are never given out again, not even those of deleted records
+        self.counter = mutations.next_counter(batch, self.counter)
         if self.active_partition() is None:
             self._next_partition()
         first = self.active_partition()
@@ -264,23 +271,23 @@ class Database:
     # --- indexes -------------------------------------------------------------------------------------------------
 
     def build_index(self, kind: str, **parameters: Any) -> Any:
-        """Build an index over all records; a change of records drops it."""
+        """Build an index over all records; a change of records drops it. Indexes hold keys that tell 1 from "1"."""
         if kind not in INDEX_KINDS:
             raise ValueError(f"unknown index {kind!r}; known: {', '.join(INDEX_KINDS)}")
+        records = keyed(self.records)
         with self.timer.measure(f"index:{kind}"):
             if kind == "ivf":
                 n = parameters.pop("clusters", None) or max(1, self.records.count() // self.config["clustering"]["cluster_size"])
-                index = ClusterIndex.build(self.records, n, **parameters)
+                index = ClusterIndex.build(records, n, **parameters)
             elif kind == "lsh":
                 c = self.config["lsh"]
-                index = SignHashIndex.build(self.records, **{"tables": c["tables"], "hashes": c["hashes"], "buckets": c["buckets"], **parameters})
+                index = SignHashIndex.build(records, **{"tables": c["tables"], "hashes": c["hashes"], "buckets": c["buckets"], **parameters})
             elif kind == "pq":
-                pq = ProductQuantizer.train(self.records, **{"clusters": self.config["pq"]["clusters"], **parameters})
-                index = (pq, cut_lineage(pq.encode(self.records)))
+                pq = ProductQuantizer.train(records, **{"clusters": self.config["pq"]["clusters"], **parameters})
+                index = (pq, cut_lineage(pq.encode(records)))
             else:
                 c = self.config["hnsw"]
-                index = SmallWorldIndex.build(self.records, **{"m": c["m"], "ef_construction": c["ef_construction"], **parameters})
-                index.nodes = cut_lineage(index.nodes)
+                index = SmallWorldIndex.build(records, **{"m": c["m"], "ef_construction": c["ef_construction"], **parameters})
         self.indexes[kind] = index
         self._emit("index:build", kind=kind)
         return index
@@ -307,7 +314,7 @@ class Database:
         ef_search: int | None = None,
         use_cache: bool = False,
     ) -> DataFrame:
-        """(query_id, rank, id, dist[, metadata, vector][, weighted_score]) of one query, nearest first.
+        """(query_id, rank, id, id_is_num, dist[, metadata, vector][, weighted_score]) of one query, nearest first.
 
         Every method honours filter, partitions and metric (pq and hnsw: the metric they were built for). ``fetch_k``
         gives the reranker more than k results to choose from. Methods without a built index are refused.
@@ -327,17 +334,19 @@ class Database:
         found = self._nearest(query, n, method, name, filter, partition_ids, nprobe, probes, ef_search)
         best = F.col("dist").desc() if metric(name).similarity else F.col("dist").asc()
         rows = cut_lineage(found)
+        records = keyed(self.records)
         # at most fetch_k + offset rows
         ranked = rows.select(F.lit(0).cast("bigint").alias("query_id"), F.row_number().over(Window.orderBy(best, "id")).cast("int").alias("rank"), "id", "dist")
         wide = ranked.where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
         if include_metadata or rerank_method == "weighted":
-            wide = wide.join(self.records.select("id", "metadata").dropDuplicates(["id"]), "id", "left")
-        out = rerank(wide, rerank_method, self.records, weights, k, **({"balance": balance, "metric_name": name} if rerank_method == "diversity" else {})).where(F.col("rank") <= k)
+            wide = wide.join(records.select("id", "metadata"), "id", "left")
+        out = rerank(wide, rerank_method, records, weights, k, **({"balance": balance, "metric_name": name} if rerank_method == "diversity" else {})).where(F.col("rank") <= k)
         if not include_metadata and "metadata" in out.columns:
             out = out.drop("metadata")
         if include_vectors:
-            out = out.join(self.records.select("id", "vector"), "id", "left")
-        out = cut_lineage(out.orderBy("rank"))
+            out = out.join(records.select("id", "vector"), "id", "left")
+        rest = [c for c in out.columns if c not in ("query_id", "rank", "id")]
+        out = cut_lineage(out.orderBy("rank").select("query_id", "rank", *plain("id"), *rest))
         if cacheable:
             self.cache[key] = out
             while len(self.cache) > c["vector"]["cache_size"]:
@@ -349,10 +358,14 @@ class Database:
         c = self.config
         penalty = c["vector"]["mismatch_penalty"]
         if method == "exact":
-            return nearest(self.records, query, n, name, filter, partition_ids, order="seq", penalty=penalty).select("id", "dist")
+            # equal distances go by arrival: the filter sees the ids themselves, the rest their keys
+            return nearest(keyed(restricted(self.records, filter, partition_ids)), query, n, name, order="seq", penalty=penalty).select("id", "dist")
         if method not in self.indexes:
             raise ValueError(f"no {method!r} index was built" if method in INDEX_KINDS else f"unknown method {method!r}")
         index = self.indexes[method]
+        if callable(filter) and not isinstance(filter, Column):
+            on_id = filter
+            filter = lambda key, meta: on_id(key[1:], meta)
         if method == "ivf":
             return index.search(query, n, nprobe, name, where=filter, partition_ids=partition_ids, penalty=penalty)
         if method == "lsh":
@@ -360,17 +373,18 @@ class Database:
         if method == "pq":
             pq, coded = index
             return pq.search(restricted(coded, filter, partition_ids), query, n, exact_from=4 * n)
-        allowed = None if filter is None else restricted(self.records, filter, partition_ids)
+        allowed = None if filter is None else restricted(keyed(self.records), filter, partition_ids)
         return index.search(query, n, ef_search or c["hnsw"]["ef_search"], allowed, partition_ids).select("id", "dist")
 
     def batch_search(self, queries: DataFrame | Sequence[Sequence[float]], k: int | None = None, metric_name: str | None = None, filter: Any = None) -> DataFrame:
-        """(query_id, rank, partition_id, id, dist) of many queries, a DataFrame (query_id, qvector[, k, partition_ids]) or
-        vectors numbered from 0."""
+        """(query_id, rank, partition_id, id, id_is_num, dist) of many queries, a DataFrame (query_id, qvector[, k,
+        partition_ids]) or vectors numbered from 0."""
         self._check_open()
         if not isinstance(queries, DataFrame):
             queries = self.spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], "query_id bigint, qvector array<double>")
         v = self.config["vector"]
-        return batch_nearest(self.records, queries, v["k"] if k is None else k, metric_name or v["metric"], filter, order="seq", penalty=v["mismatch_penalty"])
+        found = batch_nearest(keyed(restricted(self.records, filter)), queries, v["k"] if k is None else k, metric_name or v["metric"], order="seq", penalty=v["mismatch_penalty"])
+        return found.select("query_id", "rank", "partition_id", *plain("id"), "dist")
 
     def similar(self, id: int | str, k: int | None = None, metric_name: str | None = None) -> DataFrame:
         """The k nearest other records of a stored one; none for an unknown id."""
@@ -379,13 +393,17 @@ class Database:
         if v is None:
             return self.spark.createDataFrame([], "id string, dist double")
         others = self.records.where(~id_matches(id))
-        return nearest(others, v, n, metric_name or self.config["vector"]["metric"], order="seq")
+        return nearest(others, v, n, metric_name or self.config["vector"]["metric"], order="seq", include=("id_is_num",))
 
     def relationships(self, threshold: float, **options: Any) -> DataFrame:
-        return graph.relationships(self.records, threshold, **options)
+        """Pairs as :func:`graph.relationships` gives them, with id_a_is_num and id_b_is_num beside the ids."""
+        found = graph.relationships(keyed(self.records), threshold, **options)
+        return found.select(*plain("id_a"), *plain("id_b"), *[c for c in found.columns if c not in ("id_a", "id_b")])
 
     def communities(self, threshold: float, **options: Any) -> DataFrame:
-        return graph.communities(self.records, threshold, **options)
+        """Members as :func:`graph.communities` gives them, with community_is_num and id_is_num beside the ids."""
+        found = graph.communities(keyed(self.records), threshold, **options)
+        return found.select("partition_id", *plain("community"), *plain("id"), *[c for c in found.columns if c not in ("partition_id", "community", "id")])
 
     # --- statistics ----------------------------------------------------------------------------------------------
 

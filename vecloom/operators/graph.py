@@ -86,10 +86,12 @@ def relationships(
     found = pairs.applyInPandas(_joined(m.name, t), f"id_a {id_type}, id_b {id_type}, dist double, scope string").select("id_a", "id_b", F.col("scope").alias("partition_id"), "dist")
     if not include_metadata:
         return found
-    meta = records.select(F.col(id).alias("id__"), "metadata")
+    # the same id may live in two partitions
+    within = ["partition_id"] if scope == "partition" and "partition_id" in records.columns else []
     for side in ("a", "b"):
-        found = found.join(meta.select(F.col("id__").alias(f"id_{side}"), F.col("metadata").alias(f"metadata_{side}")), f"id_{side}", "left")
-    return found
+        meta = records.select(F.col(id).alias(f"id_{side}"), *[F.col(c).cast("string").alias(c) for c in within], F.col("metadata").alias(f"metadata_{side}"))
+        found = found.join(meta, [f"id_{side}", *within], "left")
+    return found.select("id_a", "id_b", "partition_id", "dist", "metadata_a", "metadata_b")
 
 
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

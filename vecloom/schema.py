@@ -28,6 +28,16 @@ def id_matches(value: int | str, id_col: str = "id", num_col: str = "id_is_num")
     return (F.col(id_col) == text) & (F.col(num_col) == number)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with ``id`` as one unique text: the id after "n" for a number, "s" for a text."""
+    return df.withColumn("id", F.concat(F.when(F.coalesce("id_is_num", F.lit(False)), "n").otherwise("s"), "id"))
+
+
+def plain(key: str) -> list[Column]:
+    """The id of a key of :func:`keyed` under the same name, and ``<name>_is_num``."""
+    return [F.substring(key, 2, 2_147_483_647).alias(key), (F.substring(key, 1, 1) == "n").alias(f"{key}_is_num")]
+
+
 def prefer_text_id(df: DataFrame, value: int | str) -> DataFrame:
     """Rows of an id given as text from outside: the text id if there is one, else the number it spells."""
     text = str(value)

@@ -1,13 +1,20 @@
-"""Versioned Parquet tables: every save is a new directory, and a pointer file names the current one.
+"""Versioned Parquet tables: every save is a new directory; the newest complete one is the table.
 
-A version is never overwritten while it may be read; a failed save leaves the pointer as it was. File operations go
-through Hadoop's file system, so the path may be on any shared store.
+A version is complete when its ``_SUCCESS`` marker is there, which the committer writes last, so a reader meets the
+version before or the version after a save and a failed save leaves the table as it was. A version is never overwritten.
+File operations go through Hadoop's file system, so the path may be on any shared store.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
+_VERSION = re.compile(r"v\d{8,}")
+
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, partition_by: str | None = None, compression: str = "zstd"):
@@ -18,32 +25,44 @@ class VersionedTable:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _versions(self, complete: bool = True) -> list[str]:
+        fs, root = self._fs("")
+        if not fs.exists(root):
+            return []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and _VERSION.fullmatch(s.getPath().getName()))
+        return [n for n in names if not complete or fs.exists(self._fs(f"{n}/_SUCCESS")[1])]
+
     def current(self) -> str | None:
         """The current version's name, None before the first save."""
-        fs, p = self._fs("CURRENT")
-        if not fs.exists(p):
+        return next(reversed(self._versions()), None)
+
+    def save(self, df: DataFrame, state: dict[str, Any] | None = None) -> str:
+        """Write a new version; ``state`` is kept with it and becomes current with it."""
+        taken = self._versions(complete=False)
+        name = f"v{(int(taken[-1][1:]) if taken else 0) + 1:08d}"
+        if state is not None:
+            fs, p = self._fs(f"state-{name}.json")
+            out = fs.create(p, True)
+            try:
+                out.write(bytearray(json.dumps(state).encode()))
+            finally:
+                out.close()
+        writer = df.write.mode("errorifexists").option("compression", self.compression)
+        (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{name}")
+        return name
+
+    def state(self, version: str | None = None) -> dict[str, Any] | None:
+        """What was kept with the current (or a given) version."""
+        name = version or self.current()
+        fs, p = self._fs(f"state-{name}.json")
+        if name is None or not fs.exists(p):
             return None
         stream = fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def save(self, df: DataFrame) -> str:
-        now = self.current()
-        name = f"v{(int(now[1:]) if now else 0) + 1:08d}"
-        writer = df.write.mode("overwrite").option("compression", self.compression)
-        (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{name}")
-        fs, tmp = self._fs(f"CURRENT.{name}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        _, pointer = self._fs("CURRENT")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(tmp, pointer)
-        return name
-
     def load(self, schema: str | None = None, version: str | None = None) -> DataFrame | None:
         """The current (or a given) version; None if nothing was saved."""
         name = version or self.current()
@@ -53,11 +72,11 @@ class VersionedTable:
         return reader.parquet(f"{self.path}/{name}")
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete all but the last ``keep`` versions."""
-        fs, root = self._fs("")
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v"))
-        gone = names[:-keep] if keep else names
+        """Delete all but the last ``keep`` complete versions, and what failed saves left before them."""
+        kept = self._versions()[-keep:] if keep else []
+        gone = [n for n in self._versions(complete=False) if n not in kept and (not kept or n < kept[-1])]
         for n in gone:
-            f, p = self._fs(n)
-            f.delete(p, True)
+            for name in (n, f"state-{n}.json"):
+                fs, p = self._fs(name)
+                fs.delete(p, True)
         return gone
