@@ -7,7 +7,7 @@ from vecloom.operators.index.hnsw import SmallWorldIndex
 from vecloom.operators.index.ivf import ClusterIndex
 from vecloom.operators.index.lsh import SignHash, SignHashIndex
 from vecloom.operators.index.pq import ProductQuantizer, suggested_subvectors
-from vecloom.operators.search import nearest
+from vecloom.operators.search import batch_nearest, nearest
 
 BLOBS = [(f"close-{i}", i, [1 + 0.1 * i, 2 + 0.1 * i, 3 + 0.1 * i, 4 + 0.1 * i]) for i in range(3)] + [(f"far-{i}", 3 + i, [10.0 + i, 20.0 + i, 30.0 + i, 40.0 + i]) for i in range(3)]
 
@@ -103,8 +103,7 @@ def test_hnsw(spark, clumps, tmp_path, monkeypatch):
 
     monkeypatch.setattr(h, "SHARD_ROWS", 150)
     index = SmallWorldIndex.build(clumps, m=12, ef_construction=60)
-    index.nodes = index.nodes.cache()
-    assert index.nodes.select("partition_id", "shard").distinct().count() > 2
+    assert index.shards.select("partition_id", "shard").distinct().count() > 2
     assert recall(clumps, lambda q, k: index.search(q, k, ef_search=60)) >= 0.9
     q = clumps.where("id = 1").first().vector
     assert index.search(q, 1).first().id == 1
@@ -118,3 +117,32 @@ def test_hnsw(spark, clumps, tmp_path, monkeypatch):
     assert [r.id for r in again.search(q, 5).collect()] == [r.id for r in index.search(q, 5).collect()]
     s = index.stats().where("level = 0").agg(F.sum("nodes").alias("n")).first()
     assert s.n == 600 and index.edge_table().where("src = dst").isEmpty()
+
+
+def test_hnsw_takes_inserts_and_deletes(spark, clumps):
+    half = SmallWorldIndex.build(clumps.where("id < 300"), m=12, ef_construction=60)
+    grown = half.insert(clumps.where("id >= 300"))
+    assert recall(clumps, lambda q, k: grown.search(q, k, ef_search=60)) >= 0.9
+    assert grown.stats().where("level = 0").agg(F.sum("nodes")).first()[0] == 600
+    # an id written again is found at its new place only
+    far = clumps.where("id = 7").withColumn("vector", F.transform("vector", lambda x: x + 100))
+    moved = grown.insert(far)
+    q = clumps.where("id = 7").first().vector
+    assert 7 not in [r.id for r in moved.search(q, 5).collect()] and moved.search([x + 100 for x in q], 1).first().id == 7
+    # many deletions: the next insert builds the shard anew
+    fewer = moved.remove(clumps.where("id % 2 = 0")).insert(clumps.where("id = 8"))
+    assert {r.id % 2 for r in fewer.search(q, 20, ef_search=80).collect()} <= {1} | {r.id % 2 for r in clumps.where("id = 8").collect()}
+    assert fewer.stats().where("level = 0").agg(F.sum("nodes")).first()[0] < 600
+
+
+def test_batches_through_indexes(spark, clumps):
+    q = clumps.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"))
+    want = {(r.query_id, r.id) for r in batch_nearest(clumps, q, 5).collect()}
+    ivf = ClusterIndex.build(clumps, 10)
+    lsh = SignHashIndex.build(clumps, tables=16, hashes=6, buckets=64)
+    pq = ProductQuantizer.train(clumps, subvectors=8, clusters=64)
+    graph = SmallWorldIndex.build(clumps, m=12, ef_construction=60)
+    for found in (ivf.batch_search(q, 5, nprobe=4), lsh.batch_search(q, 5, probes=1), pq.batch_search(pq.encode(clumps), q, 5, exact_from=60), graph.batch_search(q, 5, ef_search=60)):
+        got = {(r.query_id, r.id) for r in found.collect()}
+        assert len(got & want) >= 0.9 * len(want) and len(got) <= len(want)
+    assert {(r.query_id, r.id) for r in ivf.batch_search(q, 5, nprobe=10).collect()} == want

@@ -81,3 +81,21 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id int, vector array<float>")
     q = spark.createDataFrame([(0, [1.0])], "query_id int, qvector array<double>")
     assert batch_nearest(df, q, 3).isEmpty() and batch_nearest(df, q.where("false"), 3).isEmpty() and nearest(df, [1.0], 3).isEmpty()
+
+
+@pytest.mark.parametrize("name,scale,kind", [("euclidean", 1.0, "float"), ("squared_euclidean", 24_000.0, "double"), ("euclidean", 24_000.0, "double"), ("dot", 24_000.0, "double"), ("cosine", 1.0, "double")])
+def test_near_copies_are_told_apart(spark, name, scale, kind):
+    rng = np.random.default_rng(11)
+    base = scale * rng.normal(size=24) / np.sqrt(24)
+    m = base + scale * 1e-7 * rng.normal(size=(400, 24))
+    m = m.astype(np.float32) if kind == "float" else m
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], f"id int, vector array<{kind}>").repartition(2)
+    q = df.where("id < 40").select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"))
+    got = {}
+    for r in batch_nearest(df, q, 5, name).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.dist)
+    v = m.astype(np.float64)
+    for i in range(40):
+        d = {"euclidean": lambda: np.sqrt(((v - v[i]) ** 2).sum(1)), "squared_euclidean": lambda: ((v - v[i]) ** 2).sum(1), "dot": lambda: -(v * v[i]).sum(1), "cosine": lambda: 1 - np.clip((v * v[i]).sum(1) / np.sqrt((v * v).sum(1) * (v[i] @ v[i])), -1, 1)}[name]()
+        want = np.sort(d)[:5] * (-1 if name == "dot" else 1)
+        assert np.allclose(got[i], want, rtol=1e-12, atol=1e-15), i

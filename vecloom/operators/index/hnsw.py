@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.metrics import METRICS, metric
-from ..search import restricted
+from ...session import cut_lineage
+from ..search import QUERY_BLOCK, restricted
 
 #: Records of a graph; a partition with more has several graphs, all of which are searched.
 SHARD_ROWS = 20_000
+#: Share of dead nodes beyond which a shard is built anew when records are inserted.
+REBUILD = 0.3
 MAX_LEVEL = 16
 
 
@@ -63,7 +67,8 @@ class Graph:
             self.links[a][level] = [row[i] for i in np.argsort(d, kind="stable")[:most]]
 
     def build(self) -> Graph:
-        for node in range(len(self.v)):
+        """Link every row that is not yet a node."""
+        for node in range(len(self.links), len(self.v)):
             top = int(self.levels[node])
             self.links.append([[] for _ in range(top + 1)])
             if self.entry < 0:
@@ -82,6 +87,24 @@ class Graph:
                 self.entry = node
         return self
 
+    def packed(self) -> dict[str, bytes]:
+        """Vectors, the number of levels of each node, the links of each node and level, and the links themselves."""
+        degree = [len(row) for node in self.links for row in node]
+        flat = [x for node in self.links for row in node for x in row]
+        arrays = {"vectors": np.ascontiguousarray(self.v, np.float64), "levels": [len(n) for n in self.links], "degrees": degree, "links": flat}
+        return {k: (x if k == "vectors" else np.array(x, np.int32)).tobytes() for k, x in arrays.items()}
+
+    @classmethod
+    def unpacked(cls, row: Any, dim: int, metric_name: str, m: int = 16, ef_construction: int = 200) -> Graph:
+        g = cls(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), metric_name, m, ef_construction)
+        flat = np.frombuffer(row["links"], np.int32).tolist()
+        ends = np.cumsum(np.frombuffer(row["degrees"], np.int32)).tolist()
+        rows = iter([flat[a:b] for a, b in zip([0, *ends[:-1]], ends)])
+        g.links = [[next(rows) for _ in range(n)] for n in np.frombuffer(row["levels"], np.int32).tolist()]
+        g.levels = np.frombuffer(row["levels"], np.int32) - 1
+        g.entry = int(row["entry"])
+        return g
+
     def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
@@ -91,87 +114,175 @@ class Graph:
         return [(self.sign * d, n) for d, n in self.beam(q, start, ef, 0)]
 
 
+_SHARD = "partition_id string, dim int, shard int, ids array<{kind}>, dead binary, entry int, vectors binary, levels binary, degrees binary, links binary"
+
+
 class SmallWorldIndex:
-    """``nodes``: (partition_id, dim, shard, node, id, level, entry, vector, links), links by level as node numbers."""
+    """``shards``: one row for each graph of a partition and vector size, with its vectors and links packed; ``dead`` marks
+    the nodes that are deleted: they lead searches on but are not returned."""
+
+    def __init__(self, shards: DataFrame, metric_name: str, shards_per_partition: int, m: int, ef_construction: int, seed: int = 9):
+        self.shards, self.metric_name = shards, metric_name
+        self.count, self.m, self.ef_construction, self.seed = shards_per_partition, m, ef_construction, seed
+
+    @property
+    def _kind(self) -> str:
+        return self.shards.schema["ids"].dataType.elementType.simpleString()
+
+    def _with(self, shards: DataFrame) -> SmallWorldIndex:
+        return SmallWorldIndex(cut_lineage(shards), self.metric_name, self.count, self.m, self.ef_construction, self.seed)
 
-    def __init__(self, nodes: DataFrame, metric_name: str, removed: DataFrame | None = None):
-        self.nodes, self.metric_name, self.removed = nodes, metric_name, removed
+    def _placed(self, records: DataFrame, vector: str = "vector") -> DataFrame:
+        """(partition_id, dim, shard, id, vector) of the records an index holds; a record's shard follows its id."""
+        part = F.col("partition_id").cast("string") if "partition_id" in records.columns else F.lit("")
+        rows = records.where(F.size(vector) > 0).select(part.alias("partition_id"), "id", F.col(vector).cast("array<double>").alias("vector"))
+        return rows.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(self.count)).cast("int"))
 
     @classmethod
     def build(cls, records: DataFrame, metric_name: str = "euclidean", m: int = 16, ef_construction: int = 200, seed: int = 9, vector: str = "vector") -> SmallWorldIndex:
-        """Every partition and vector size has its own graphs; a record's shard follows its id."""
-        rows = records.where(F.size(vector) > 0)
-        rows = rows.select(F.col("partition_id").cast("string").alias("partition_id") if "partition_id" in records.columns else F.lit("").alias("partition_id"), "id", F.col(vector).cast("array<double>").alias("vector"))
-        largest = rows.groupBy("partition_id").count().agg(F.max("count")).first()[0] or 1
-        shards = -(-largest // SHARD_ROWS)
-        rows = rows.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-        kind = dict(rows.dtypes)["id"]
-
-        def grow(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("id", kind="stable").reset_index(drop=True)
-            g = Graph(np.stack([np.asarray(v, np.float64) for v in group["vector"]]), metric_name, m, ef_construction, seed).build()
-            out = group.assign(node=np.arange(len(group), dtype=np.int32), level=g.levels.astype(np.int32), entry=np.arange(len(group)) == g.entry)
-            out["links"] = [[[int(x) for x in row] for row in g.links[i]] for i in range(len(group))]
-            return out
-
-        schema = f"partition_id string, id {kind}, vector array<double>, dim int, shard int, node int, level int, entry boolean, links array<array<int>>"
-        return cls(rows.groupBy("partition_id", "dim", "shard").applyInPandas(grow, schema), metric_name)
+        """Every partition and vector size has its own graphs."""
+        by = ["partition_id"] if "partition_id" in records.columns else []
+        largest = records.where(F.size(vector) > 0).groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+        kind = dict(records.dtypes)["id"]
+        empty = records.sparkSession.createDataFrame([], _SHARD.format(kind=kind))
+        return cls(empty, metric_name, -(-largest // SHARD_ROWS), m, ef_construction, seed).insert(records, vector)
+
+    def insert(self, records: DataFrame, vector: str = "vector") -> SmallWorldIndex:
+        """The index with the records linked into its graphs; an id that is there already is replaced.
+
+        Only the shards of the new records are opened. A shard with more than ``REBUILD`` dead nodes is built anew.
+        """
+        name, m, ef, seed, kind = self.metric_name, self.m, self.ef_construction, self.seed, self._kind
+        columns = [c.split()[0] for c in _SHARD.split(", ")]
+
+        def grow(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            if not len(new):
+                return old[columns]
+            new = new.drop_duplicates("id", keep="last").sort_values("id", kind="stable")
+            v = np.stack([np.asarray(x, np.float64) for x in new["vector"]])
+            ids, dead = list(new["id"]), np.zeros(len(new), bool)
+            if len(old):
+                row = old.iloc[0]
+                was, gone = list(row["ids"]), np.frombuffer(row["dead"], bool).copy()
+                fresh = set(ids)
+                gone |= np.array([i in fresh for i in was], bool)
+                before = np.frombuffer(row["vectors"], np.float64).reshape(-1, v.shape[1])
+                if gone.mean() > REBUILD:
+                    v, ids, dead = np.concatenate([before[~gone], v]), [i for i, g in zip(was, gone) if not g] + ids, np.zeros((~gone).sum() + len(dead), bool)
+                    g = Graph(v, name, m, ef, seed).build()
+                else:
+                    g = Graph.unpacked(row, v.shape[1], name, m, ef)
+                    levels = Graph(np.concatenate([before, v]), name, m, ef, seed).levels
+                    g.v, g.levels = np.concatenate([before, v]), np.concatenate([g.levels, levels[len(before) :]])
+                    g.build()
+                    ids, dead = was + ids, np.concatenate([gone, dead])
+            else:
+                g = Graph(v, name, m, ef, seed).build()
+            keys = new.iloc[0]
+            return pd.DataFrame([{"partition_id": keys["partition_id"], "dim": keys["dim"], "shard": keys["shard"], "ids": ids, "dead": dead.tobytes(), "entry": g.entry, **g.packed()}])[columns]
+
+        keys = ["partition_id", "dim", "shard"]
+        grown = self.shards.groupBy(*keys).cogroup(self._placed(records, vector).groupBy(*keys)).applyInPandas(grow, _SHARD.format(kind=kind))
+        return self._with(grown)
+
+    def remove(self, ids: DataFrame) -> SmallWorldIndex:
+        """The index without these ids: their nodes still lead searches on but are not returned."""
+        marks = ids.select("id").distinct().withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(self.count)).cast("int"))
+        gone = marks.groupBy("shard").agg(F.collect_list("id").alias("gone__"))
+
+        @F.pandas_udf("binary")
+        def marked(names: pd.Series, dead: pd.Series, gone: pd.Series) -> pd.Series:
+            out = []
+            for n, d, g in zip(names, dead, gone):
+                out.append((np.frombuffer(d, bool) | np.isin(np.asarray(n, object), list(g))).tobytes() if g is not None else d)
+            return pd.Series(out, dtype=object)
+
+        wide = self.shards.join(gone, "shard", "left").withColumn("dead", marked("ids", "dead", "gone__"))
+        return self._with(wide.select(*self.shards.columns))
 
     def save(self, path: str) -> None:
-        self.nodes.withColumn("metric", F.lit(self.metric_name)).write.mode("overwrite").partitionBy("partition_id").parquet(f"{path}/nodes")
-        if self.removed is not None:
-            self.removed.write.mode("overwrite").parquet(f"{path}/removed")
+        about = [F.lit(x).alias(c) for c, x in (("metric", self.metric_name), ("shards", self.count), ("m", self.m), ("ef", self.ef_construction), ("seed", self.seed))]
+        self.shards.write.mode("overwrite").partitionBy("partition_id").parquet(f"{path}/shards")
+        self.shards.sparkSession.range(1).select(*about).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
     @classmethod
     def load(cls, spark, path: str) -> SmallWorldIndex:
-        nodes = spark.read.parquet(f"{path}/nodes").withColumn("partition_id", F.col("partition_id").cast("string"))
-        name = nodes.select("metric").first()
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/removed")
-        removed = spark.read.parquet(f"{path}/removed") if gone.getFileSystem(spark._jsc.hadoopConfiguration()).exists(gone) else None
-        return cls(nodes.drop("metric"), name[0] if name else "euclidean", removed)
-
-    def remove(self, ids: DataFrame) -> SmallWorldIndex:
-        """Mark ids as deleted: their nodes still lead searches on but are not returned."""
-        gone = ids.select("id").distinct()
-        return SmallWorldIndex(self.nodes, self.metric_name, gone if self.removed is None else self.removed.union(gone).distinct())
+        about = spark.read.parquet(f"{path}/about").first()
+        shards = spark.read.parquet(f"{path}/shards").withColumn("partition_id", F.col("partition_id").cast("string"))
+        kind = shards.schema["ids"].dataType.elementType.simpleString()
+        return cls(shards.select(*[c.split()[0] for c in _SHARD.format(kind=kind).split(", ")]), about.metric, about.shards, about.m, about.ef, about.seed)
 
-    def search(self, query: Sequence[float], k: int = 10, ef_search: int = 50, where: DataFrame | None = None, partition_ids: Sequence[str] | None = None) -> DataFrame:
-        """(partition_id, id, dist): the k nearest of all graphs of the query's size.
+    def batch_search(self, queries: DataFrame, k: int = 10, ef_search: int = 50, where: DataFrame | None = None, partition_ids: Sequence[str] | None = None) -> DataFrame:
+        """(query_id, rank, partition_id, id, dist) of up to ``QUERY_BLOCK`` counted queries (query_id, qvector).
 
-        ``where`` holds the ids that may be returned (a filtered selection). Graphs are walked over all nodes; results
-        come from the ``max(k, ef_search)`` nearest seen.
+        Each shard is opened once and walked by all queries of its size. ``where`` holds the ids that may be returned (a
+        filtered selection); it is gathered shard by shard. Graphs are walked over all nodes; results come from the
+        ``max(k, ef_search)`` nearest seen.
         """
-        rows = restricted(self.nodes, None, partition_ids).where(F.col("dim") == len(query))
-        q, name, kind = np.asarray(query, np.float64), self.metric_name, dict(self.nodes.dtypes)["id"]
-        allowed = rows.select("partition_id", "id", "dim", "shard", "node", "entry", "level", "links", "vector").withColumn("ok", F.lit(True))
+        q = queries.where(F.size("qvector") > 0).select("query_id", F.col("qvector").cast("array<double>").alias("qvector"))
+        n = q.count()
+        if n > QUERY_BLOCK:
+            raise ValueError(f"{n} queries at once; search them in blocks of {QUERY_BLOCK}")
+        local = q.toPandas()
+        name, kind = self.metric_name, self._kind
+        rows = restricted(self.shards, None, partition_ids).withColumn("ok__", F.lit(None).cast(f"array<{kind}>"))
         if where is not None:
-            allowed = allowed.drop("ok").join(where.select("id").distinct().withColumn("ok", F.lit(True)), "id", "left")
-        if self.removed is not None:
-            allowed = allowed.join(self.removed.withColumn("gone", F.lit(True)), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)) & F.col("gone").isNull()).drop("gone")
-        allowed = allowed.withColumn("ok", F.coalesce("ok", F.lit(False)))
-
-        def walk(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("node").reset_index(drop=True)
-            g = Graph(np.stack([np.asarray(v, np.float64) for v in group["vector"]]), name)
-            g.links = [[list(map(int, row)) for row in rows] for rows in group["links"]]
-            g.entry = int(np.flatnonzero(group["entry"])[0])
-            ok = group["ok"].to_numpy(bool)
-            # a selective filter widens the beam by what it rejects
-            ef = int(min(len(group), max(k, ef_search) / max(ok.mean(), 1e-9))) or 1
-            found = [(d, n) for d, n in g.search(q, ef) if ok[n]][:k]
-            return pd.DataFrame({"partition_id": group["partition_id"].iloc[0], "id": [group["id"].iloc[n] for _, n in found], "dist": [d for d, _ in found]})
-
-        found = allowed.groupBy("partition_id", "dim", "shard").applyInPandas(walk, f"partition_id string, id {kind}, dist double")
+            # a shard without allowed ids is not opened
+            ok = where.select("id").distinct().groupBy(F.pmod(F.xxhash64("id"), F.lit(self.count)).cast("int").alias("shard")).agg(F.collect_list("id").alias("ok__"))
+            rows = rows.drop("ok__").join(ok, "shard")
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, row in batch.iterrows():
+                    names = np.asarray(row["ids"], object)
+                    live = ~np.frombuffer(row["dead"], bool)
+                    if row["ok__"] is not None:
+                        live &= np.isin(names, list(row["ok__"]))
+                    if not live.any():
+                        continue
+                    g = Graph.unpacked(row, int(row["dim"]), name)
+                    # a selective filter widens the beam by what it rejects
+                    ef = int(min(len(names), max(k, ef_search) / live.mean())) or 1
+                    for query, v in zip(local["query_id"], local["qvector"]):
+                        if len(v) != row["dim"]:
+                            continue
+                        found = [(d, n) for d, n in g.search(np.asarray(v, np.float64), ef) if live[n]][:k]
+                        yield pd.DataFrame({"query_id": query, "k": k, "partition_id": row["partition_id"], "id": [names[n] for _, n in found], "dist": [d for d, _ in found]})
+
+        found = rows.mapInPandas(walk, f"query_id {dict(q.dtypes)['query_id']}, k int, partition_id string, id {kind}, dist double")
         best = F.col("dist").desc() if metric(name).similarity else F.col("dist").asc()
-        return found.orderBy(best, "id").limit(k)
+        out = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "id"))).where(F.col("rank") <= k)
+        return out.select("query_id", F.col("rank").cast("int").alias("rank"), "partition_id", "id", "dist")
 
-    def stats(self) -> DataFrame:
-        """(partition_id, dim, level, nodes, mean_degree)."""
-        per = self.nodes.select("partition_id", "dim", F.posexplode("links").alias("level", "to"))
-        return per.groupBy("partition_id", "dim", "level").agg(F.count(F.lit(1)).alias("nodes"), F.avg(F.size("to")).alias("mean_degree"))
+    def search(self, query: Sequence[float], k: int = 10, ef_search: int = 50, where: DataFrame | None = None, partition_ids: Sequence[str] | None = None) -> DataFrame:
+        """(partition_id, id, dist): the k nearest of all graphs of the query's size, as :meth:`batch_search` finds them."""
+        q = self.shards.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, qvector array<double>")
+        return self.batch_search(q, k, ef_search, where, partition_ids).orderBy("rank").select("partition_id", "id", "dist")
 
     def edge_table(self) -> DataFrame:
         """(partition_id, dim, shard, level, src, dst)."""
-        return self.nodes.select("partition_id", "dim", "shard", F.col("node").alias("src"), F.posexplode("links").alias("level", "to")).select("partition_id", "dim", "shard", "level", "src", F.explode("to").alias("dst"))
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, row in batch.iterrows():
+                    levels = np.frombuffer(row["levels"], np.int32)
+                    node = np.repeat(np.arange(len(levels)), levels)
+                    level = np.arange(levels.sum()) - np.repeat(np.cumsum(levels) - levels, levels)
+                    degree = np.frombuffer(row["degrees"], np.int32)
+                    yield pd.DataFrame({"partition_id": row["partition_id"], "dim": row["dim"], "shard": row["shard"], "level": np.repeat(level, degree).astype(np.int32), "src": np.repeat(node, degree).astype(np.int32), "dst": np.frombuffer(row["links"], np.int32)})
+
+        return self.shards.mapInPandas(run, "partition_id string, dim int, shard int, level int, src int, dst int")
+
+    def stats(self) -> DataFrame:
+        """(partition_id, dim, level, nodes, mean_degree)."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, row in batch.iterrows():
+                    levels = np.frombuffer(row["levels"], np.int32)
+                    level = np.arange(levels.sum()) - np.repeat(np.cumsum(levels) - levels, levels)
+                    nodes = np.bincount(level)
+                    yield pd.DataFrame({"partition_id": row["partition_id"], "dim": row["dim"], "level": np.arange(len(nodes)), "nodes": nodes, "links": np.bincount(level, weights=np.frombuffer(row["degrees"], np.int32))})
 
+        per = self.shards.mapInPandas(run, "partition_id string, dim int, level int, nodes long, links double")
+        return per.groupBy("partition_id", "dim", "level").agg(F.sum("nodes").alias("nodes"), (F.sum("links") / F.sum("nodes")).alias("mean_degree"))

@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.metrics import METRICS, metric
 from ..cluster import assign, kmeans
-from ..search import nearest
+from ...session import cut_lineage
+from ..search import nearest, nearest_in_cells
+
+
+def _nearest_clusters(ids: list[int], vectors: list[np.ndarray], name: str, query: Sequence[float], nprobe: int) -> list[int]:
+    m = METRICS[name]
+    q = np.asarray(query, np.float64)
+    d = [m.block(q[None, : len(v)], v[None, : len(q)])[0, 0] * (-1 if m.similarity else 1) for v in vectors]
+    return [ids[i] for i in np.argsort(d, kind="stable")[:nprobe]]
 
 
 class ClusterIndex:
@@ -25,7 +34,7 @@ class ClusterIndex:
     @classmethod
     def build(cls, records: DataFrame, clusters: int, seed: int = 1, vector: str = "vector") -> ClusterIndex:
         c = kmeans(records, clusters, seed=seed, vector=vector)
-        return cls(assign(records, c, vector=vector).drop("centroid_dist"), c)
+        return cls(cut_lineage(assign(records, c, vector=vector).drop("centroid_dist")), cut_lineage(c))
 
     def save(self, path: str) -> None:
         self.records.write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/records")
@@ -45,10 +54,22 @@ class ClusterIndex:
         return cls.load(spark, path)
 
     def probed(self, query: Sequence[float], nprobe: int, metric_name: str = "euclidean") -> list[int]:
-        m = METRICS[metric(metric_name).name]
-        q = np.asarray(query, np.float64)
-        d = [m.block(q[None, : len(v)], v[None, : len(q)])[0, 0] * (-1 if m.similarity else 1) for v in self.vectors]
-        return [self.ids[i] for i in np.argsort(d, kind="stable")[:nprobe]]
+        return _nearest_clusters(self.ids, self.vectors, metric(metric_name).name, query, nprobe)
+
+    def probes(self, queries: DataFrame, nprobe: int, metric_name: str = "euclidean") -> DataFrame:
+        """``queries`` (query_id, qvector, ...) with a row and cluster_id for each of their ``nprobe`` nearest clusters."""
+
+        ids, vectors, name = self.ids, self.vectors, metric(metric_name).name
+
+        @F.pandas_udf("array<int>")
+        def near(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: [] if x is None else _nearest_clusters(ids, vectors, name, x, nprobe))
+
+        return queries.withColumn("cluster_id", F.explode(near("qvector")))
+
+    def batch_search(self, queries: DataFrame, k: int = 10, nprobe: int = 4, metric_name: str = "euclidean", **options) -> DataFrame:
+        """(query_id, rank, partition_id, id, dist) of many queries: clusters and the queries that probe them meet by key."""
+        return nearest_in_cells(self.records.where(F.col("cluster_id").isNotNull()), self.probes(queries, nprobe, metric_name), "cluster_id", k, metric_name, **options)
 
     def search(self, query: Sequence[float], k: int = 10, nprobe: int | None = None, metric_name: str = "euclidean", **options) -> DataFrame:
         """Exact among the ``nprobe`` nearest clusters; None searches all, and records without a cluster always."""

@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.metrics import MISMATCH_PENALTY
+from ...functions.metrics import MISMATCH_PENALTY, database_distance, metric
 from ..search import nearest
 
 #: Bits of a bucket number; further hyperplanes are not used.
@@ -83,6 +83,25 @@ class SignHashIndex:
         near = self.records.join(self.candidates(query, probes), "id", "left_semi")
         return nearest(near, query, k, metric_name, penalty=MISMATCH_PENALTY, **options)
 
+    def batch_search(self, queries: DataFrame, k: int = 10, probes: int = 2, metric_name: str = "euclidean") -> DataFrame:
+        """(query_id, rank, id, dist) of many queries (query_id, qvector): buckets and probes meet by key, candidates that
+        several tables give count once."""
+        model = self.model
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = [(i, len(q), t, b) for i, q in zip(batch["query_id"], batch["qvector"]) for t, b in model.probes(q, probes)]
+                yield pd.DataFrame(out, columns=["query_id", "dim", "table_no", "bucket"])
+
+        m = metric(metric_name)
+        q = queries.where(F.size("qvector") > 0).select("query_id", F.col("qvector").cast("array<double>").alias("qvector"))
+        wanted = q.mapInPandas(look, f"query_id {dict(q.dtypes)['query_id']}, dim int, table_no int, bucket bigint")
+        pairs = wanted.join(self.buckets, ["dim", "table_no", "bucket"]).select("query_id", "id").distinct()
+        wide = pairs.join(self.records.select("id", "vector"), "id").join(q, "query_id")
+        found = wide.select("query_id", "id", database_distance(m.name, F.col("vector"), F.col("qvector")).alias("dist")).where(~F.isnan("dist"))
+        by = Window.partitionBy("query_id").orderBy(F.col("dist").desc() if m.similarity else F.col("dist").asc(), "id")
+        return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "dist")
+
     def stats(self) -> DataFrame:
         """(dim, table_no, buckets_used, mean_size, max_size)."""
         sized = self.buckets.groupBy("dim", "table_no", "bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..search import QUERY_BLOCK
+
 #: Codebooks are fitted on at most this many records.
 TRAIN_ROWS = 20_000
 
@@ -137,5 +139,34 @@ class ProductQuantizer:
             found = found.orderBy("approx", "id").limit(exact_from)
         return found.orderBy("dist", "id").limit(k).select("id", "dist")
 
+    def batch_search(self, coded: DataFrame, queries: DataFrame, k: int = 10, exact_from: int = 100, id: str = "id", vector: str = "vector") -> DataFrame:
+        """(query_id, rank, id, dist) of up to ``QUERY_BLOCK`` counted queries (query_id, qvector): of each the
+        ``exact_from`` least asymmetric distances are re-ranked by the true squared distance."""
+        q = queries.where(F.size("qvector") == self.dim).select("query_id", F.col("qvector").cast("array<double>").alias("qvector"))
+        n = q.count()
+        if n > QUERY_BLOCK:
+            raise ValueError(f"{n} queries at once; search them in blocks of {QUERY_BLOCK}")
+        local = q.toPandas()
+        names, vectors = local["query_id"].to_numpy(), [np.asarray(v, np.float64) for v in local["qvector"]]
+        tables, width = [self.tables(v) for v in vectors], len(self.codebooks)
+        kept = coded.where("code IS NOT NULL").select(F.col(id).alias("id"), "code", F.col(vector).alias("vector"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                codes = np.frombuffer(b"".join(batch["code"]), np.uint8).reshape(-1, width)
+                m = np.stack([np.asarray(v, np.float64) for v in batch["vector"]])
+                keep = min(exact_from, len(batch))
+                for name, v, table in zip(names, vectors, tables):
+                    d = table[np.arange(width), codes].sum(1)
+                    pick = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1])
+                    yield pd.DataFrame({"query_id": name, "id": batch["id"].to_numpy()[pick], "approx": d[pick], "dist": ((m[pick] - v) ** 2).sum(1)})
+
+        found = kept.mapInPandas(run, f"query_id {dict(q.dtypes)['query_id']}, id {dict(kept.dtypes)['id']}, approx double, dist double")
+        near = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("approx", "id"))).where(F.col("n") <= exact_from)
+        out = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
+        return out.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "dist")
+
     def compression_ratio(self) -> float:
         return 4.0 * self.dim / len(self.codebooks)
