@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import ColumnFields, JsonFields, all_of, any_of, compile_filter, lookup, none_of
-from ..functions.metrics import METRICS, normalized
+from ..functions.metrics import METRICS, dot, euclidean, normalized, vector_literal
 from ..operators import cluster, graph, monitor, mutations, stats
 from ..operators.index.hnsw import SmallWorldIndex
 from ..operators.index.ivf import ClusterIndex
 from ..operators.index.lsh import SignHashIndex
 from ..operators.index.pq import ProductQuantizer
-from ..operators.rerank import diversity, weighted
+from ..operators.rerank import diversity, standard, weighted
 from ..operators.search import batch_nearest, nearest, similar_to
 from ..streaming.ingest import drained, sessions, tumbling
 
@@ -25,8 +25,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-#: Queries of the batch queries, the capacity of a partition, and the relationship threshold over unit vectors.
-BATCH, CAPACITY, THRESHOLD = 20, 100, 1.1
+#: The batch queries are the records whose id is divisible by EVERY; the capacity of a partition; the relationship
+#: threshold over unit vectors.
+EVERY, CAPACITY, THRESHOLD = 50, 100, 1.1
 
 
 def query(sql: str | None = None):
@@ -123,11 +124,11 @@ def knn_mixed_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = embeddings(spark, sf_dir)
-    return e, e.where(F.col("id") < BATCH).select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"), F.col("id").alias("self_id"))
+    return e, e.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"), F.col("id").alias("self_id"))
 
 
 def _batch_sql(where: str, by: str, distance: str = "euclidean", k: int = 10, cols: str = "") -> str:
-    return f"""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_DISTANCE[distance]} AS dist FROM embeddings e, embeddings q WHERE q.vec_id < {BATCH} AND {where}),
+    return f"""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_DISTANCE[distance]} AS dist FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY dist, vec_id) AS rank FROM d)
     SELECT query_id, {cols} CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) + 0.0 AS dist FROM r WHERE rank <= {k}"""
 
@@ -146,8 +147,8 @@ def batch_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_batch_sql("q.vec_id <> e.vec_id", "query_id", k=5))
 def similar_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    return similar_to(e, list(range(BATCH)), 5).select("query_id", "rank", F.col("id").alias("vec_id"), rounded("dist"))
+    e, q = _batch(spark, sf_dir)
+    return similar_to(e, q.select("query_id"), 5).select("query_id", "rank", F.col("id").alias("vec_id"), rounded("dist"))
 
 
 @query(_batch_sql("true", "query_id, label % 5", k=3, cols="CAST(label % 5 AS VARCHAR) AS partition_id,"))
@@ -159,7 +160,7 @@ def knn_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_batch_sql("e.label % 5 IN (q.label % 5, 0)", "query_id", k=5))
 def batch_knn_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, _ = _batch(spark, sf_dir)
-    q = e.where(F.col("id") < BATCH).select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"), F.array_distinct(F.array("partition_id", F.lit("0"))).alias("partition_ids"))
+    q = e.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"), F.array_distinct(F.array("partition_id", F.lit("0"))).alias("partition_ids"))
     return batch_nearest(e, q, 5).select("query_id", "rank", F.col("id").alias("vec_id"), rounded("dist"))
 
 
@@ -190,7 +191,6 @@ for _name, _filters, _sql in (
     ("filter_nin", [{"field": "k", "operator": "$nin", "value": [1, 2, 3]}], f"coalesce({_K} NOT IN (1, 2, 3), true)"),
     ("filter_exists", [{"field": "k", "operator": "$exists", "value": True}], "props->>'k' IS NOT NULL"),
     ("filter_not_exists", [{"field": "missing", "operator": "$exists", "value": False}], "props->>'missing' IS NULL"),
-    ("filter_typed", {"k": "87"}, "json_type(props, '$.k') = 'VARCHAR' AND props->>'k' = '87'"),
     (
         "filter_and_or_not",
         any_of(all_of({"field": "k", "operator": "$gte", "value": 20}, {"field": "k", "operator": "$lt", "value": 30}), none_of({"field": "k", "operator": "$lt", "value": 95})),
@@ -200,6 +200,23 @@ for _name, _filters, _sql in (
     _filter_query(_name, _filters, _sql)
 
 
+def _metadata_query(name: str, filters, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "vectors").where(compile_filter(filters, JsonFields("metadata"))).select("partition_id", "id", "seq")
+
+    run.__name__ = name
+    query(f"SELECT partition_id, id, seq FROM (SELECT *, json_valid(metadata) AND json_type(metadata) = 'OBJECT' AS ok FROM vectors) WHERE {sql}")(run)
+
+
+for _name, _filters, _sql in (
+    ("metadata_typed", [{"field": "popularity", "operator": "$gte", "value": 50}], "CASE WHEN ok AND json_type(metadata, '$.popularity') IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'VARCHAR') THEN try_cast(trim(json_extract_string(metadata, '$.popularity')) AS DOUBLE) >= 50 END"),
+    ("metadata_exists", [{"field": "rating", "operator": "$exists", "value": True}], "CASE WHEN ok THEN coalesce(json_type(metadata, '$.rating'), 'NULL') <> 'NULL' END"),
+    ("metadata_not_exists", [{"field": "rating", "operator": "$exists", "value": False}], "CASE WHEN ok THEN coalesce(json_type(metadata, '$.rating'), 'NULL') = 'NULL' END"),
+    ("metadata_regex", [{"field": "category", "operator": "$regex", "value": "^[a-m].*e"}], "CASE WHEN ok AND json_type(metadata, '$.category') = 'VARCHAR' THEN regexp_matches(json_extract_string(metadata, '$.category'), '^[a-m].*e') END"),
+):
+    _metadata_query(_name, _filters, _sql)
+
+
 @query("SELECT event_id FROM events WHERE regexp_matches(event_type, '^[a-c]') AND value > 50")
 def filter_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
@@ -275,21 +292,36 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return e, batch_nearest(e, q, 10)
 
 
+_DELIVERED = """SELECT query_id, id, dist, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, seq) AS INTEGER) AS rank FROM (
+    SELECT query_id, id, dist, seq FROM search_results WHERE query_id IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL AND dist IS NOT NULL AND NOT isnan(dist)
+    QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY dist, seq) = 1)"""
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, id, dist, rank): every query's delivered ids at their least distance, ranked."""
+    r = table(spark, sf_dir, "search_results").where("query_id IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL AND dist IS NOT NULL AND NOT isnan(dist)")
+    best = r.groupBy("query_id", "id").agg(F.min(F.struct("dist", "seq")).alias("m")).select("query_id", "id", "m.dist", "m.seq")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "seq")).cast("int")
+    return best.withColumn("rank", rank).drop("seq")
+
+
 @query(
-    f"""WITH b AS ({_batch_sql("true", "query_id")}), s AS (SELECT b.query_id, b.vec_id, b.rank AS before, b.dist - 0.05 * e.label AS score FROM b JOIN embeddings e USING (vec_id))
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), before) AS INTEGER) AS rank, vec_id, round(score, 6) + 0.0 AS weighted_score FROM s"""
+    f"""WITH b AS ({_DELIVERED}), m AS (SELECT id, metadata FROM vectors WHERE metadata IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+    v AS (SELECT b.query_id, b.id, b.rank AS before, b.dist, CASE WHEN json_valid(metadata) AND json_type(metadata) = 'OBJECT' THEN metadata END AS j FROM b LEFT JOIN m USING (id)),
+    s AS (SELECT query_id, id, before, dist - (0::DOUBLE + {{0}} * 0.1::DOUBLE + {{1}} * 0.05::DOUBLE) AS score FROM v)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, before) AS INTEGER) AS rank, id, round(score, 6) + 0.0 AS weighted_score FROM s""".format(
+        *[f"coalesce(CASE WHEN json_type(j, '$.{f}') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(json_extract(j, '$.{f}') AS DOUBLE) END, 0)" for f in ("rating", "recency")]
+    )
 )
 def rerank_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, r = _results(spark, sf_dir)
-    wide = r.join(e.select("id", "metadata"), "id").withColumn("dist", F.round("dist", 6))
-    out = weighted(wide, {"label": 0.05})
-    return out.select("query_id", "rank", F.col("id").alias("vec_id"), rounded("weighted_score"))
+    v = table(spark, sf_dir, "vectors").where("id IS NOT NULL AND metadata IS NOT NULL").groupBy("id").agg(F.max_by("metadata", "seq").alias("metadata"))
+    out = weighted(_delivered(spark, sf_dir).join(v, "id", "left"), {"rating": 0.1, "recency": 0.05})
+    return out.select("query_id", "rank", "id", rounded("weighted_score"))
 
 
-@query(f"SELECT query_id, rank, vec_id FROM ({_batch_sql('true', 'query_id')}) WHERE rank <= 4")
+@query(f"SELECT query_id, rank, id FROM ({_DELIVERED}) WHERE rank <= 4")
 def rerank_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, r = _results(spark, sf_dir)
-    return r.where("rank <= 4").select("query_id", "rank", F.col("id").alias("vec_id"))
+    return standard(_delivered(spark, sf_dir), 4).select("query_id", "rank", "id")
 
 
 def _mmr_sql(k: int = 4, balance: float = 0.7) -> str:
@@ -349,11 +381,21 @@ def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "i", rounded("x"))
 
 
-@query("SELECT count(*) AS members, CAST(10 AS BIGINT) AS clusters FROM embeddings")
+@query("SELECT count(*) AS members, CAST(10 AS BIGINT) AS clusters, true AS nearest, true AS tighter FROM embeddings")
 def kmeans_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record is in one of the ten clusters, in that of its nearest centroid, and the clusters are tighter than the
+    labels' own centroids are."""
     e = embeddings(spark, sf_dir)
     c = cluster.kmeans(e, 10)
-    return cluster.assign(e, c).agg(F.count("cluster_id").alias("members"), F.max(F.lit(c.count())).cast("bigint").alias("clusters"))
+    placed = cluster.assign(e, c)
+    rows = c.orderBy("cluster_id").collect()
+    each = F.array(*[F.struct(euclidean(F.col("vector"), vector_literal(r.centroid)).alias("d"), F.lit(r.cluster_id).alias("c")) for r in rows])
+    labels = cluster.centroids_of(e, "label").select("label", "centroid")
+    own = e.join(F.broadcast(labels), "label").agg(F.avg(F.pow(euclidean(F.col("vector"), F.col("centroid")), 2)).alias("label_spread"))
+    out = placed.withColumn("best", F.array_min(each)).agg(
+        F.count("cluster_id").alias("members"), F.countDistinct("cluster_id").alias("clusters"), F.bool_and(F.abs(F.element_at(each, F.col("cluster_id") + 1)["d"] - F.col("best.d")) < 1e-6).alias("nearest"), F.avg(F.pow("best.d", 2)).alias("spread")
+    )
+    return out.crossJoin(own).select("members", "clusters", "nearest", (F.col("spread") < F.col("label_spread")).alias("tighter"))
 
 
 @query(f"SELECT vec_id, dist FROM ({_SQL['knn_euclidean']})")
@@ -362,40 +404,63 @@ def ivf_all_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ClusterIndex.build(e, 8).search(first_vector(e), 10).select(F.col("id").alias("vec_id"), rounded("dist"))
 
 
-@query()
+def _recall(found: DataFrame, e: DataFrame, q: DataFrame, k: int = 10) -> DataFrame:
+    """One row (queries, places, reached): whether at least nine tenths of the true k nearest of every query were found."""
+    true = batch_nearest(e, q, k).select("query_id", "id")
+    hit = found.select("query_id", "id").distinct().withColumn("hit", F.lit(1))
+    return true.join(hit, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("places"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
+_REACHED = f"SELECT count(*) AS queries, 10 * count(*) AS places, true AS reached FROM embeddings WHERE vec_id % {EVERY} = 0"
+
+
+@query(_REACHED)
 def ivf_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    return ClusterIndex.build(e, 8).search(first_vector(e), 10, nprobe=3).select(F.col("id").alias("vec_id"), rounded("dist"))
+    e, q = _batch(spark, sf_dir)
+    return _recall(ClusterIndex.build(e, 16).batch_search(q, 10, nprobe=11), e, q)
 
 
-@query()
+@query(_REACHED)
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    return SignHashIndex.build(e, tables=16, hashes=8).search(first_vector(e), 10, probes=2).select(F.col("id").alias("vec_id"), rounded("dist"))
+    e, q = _batch(spark, sf_dir)
+    return _recall(SignHashIndex.build(e, tables=24, hashes=6, buckets=64).batch_search(q, 10, probes=3), e, q)
 
 
-@query("SELECT CAST(8 AS BIGINT) AS tables, 8 * count(*) AS entries FROM embeddings")
+@query("SELECT CAST(8 AS BIGINT) AS tables, 8 * count(*) AS entries, count(*) AS ids, true AS right_buckets FROM embeddings")
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = SignHashIndex.build(embeddings(spark, sf_dir), tables=8, hashes=6)
-    return index.stats().agg(F.count(F.lit(1)).alias("tables"), F.sum(F.col("mean_size") * F.col("buckets_used")).cast("bigint").alias("entries"))
+    """Every record is once in each table, in the bucket of its own signs."""
+    e = embeddings(spark, sf_dir)
+    index = SignHashIndex.build(e, tables=8, hashes=6)
+    planes = index.model.planes(64)
+    sign = lambda t: sum((F.when(dot(F.col("vector"), vector_literal(planes[t, h])) >= 0, F.lit(2**h)).otherwise(F.lit(0)) for h in range(6)), F.lit(0))
+    own = e.select("id", F.array(*[sign(t) for t in range(8)]).alias("signs"))
+    rows = index.buckets.join(own, "id").withColumn("right", F.element_at("signs", F.col("table_no") + 1) == F.col("bucket"))
+    return rows.agg(F.countDistinct("table_no").alias("tables"), F.countDistinct("table_no", "id").alias("entries"), F.countDistinct("id").alias("ids"), F.bool_and("right").alias("right_buckets"))
 
 
-@query()
+@query(_REACHED)
 def pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
+    """A fifth of the records is re-ranked by true distances."""
+    e, q = _batch(spark, sf_dir)
     pq = ProductQuantizer.train(e, clusters=64)
-    return pq.search(pq.encode(e), first_vector(e), 10, exact_from=60).select(F.col("id").alias("vec_id"), rounded("dist"))
+    return _recall(pq.batch_search(pq.encode(e), q, 10, exact_from=max(120, e.count() // 5)), e, q)
 
 
-@query()
+@query(_REACHED)
 def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    return SmallWorldIndex.build(e, ef_construction=60).search(first_vector(e), 10, ef_search=80).select(F.col("id").alias("vec_id"), rounded("dist"))
+    e, q = _batch(spark, sf_dir)
+    return _recall(SmallWorldIndex.build(e, ef_construction=60).batch_search(q, 10, ef_search=120), e, q)
 
 
-@query()
+@query("SELECT count(*) AS members, true AS bounded, true AS numbered FROM embeddings")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.leader_clusters(embeddings(spark, sf_dir), threshold=1.2).select("partition_id", F.col("id").alias("vec_id"), "cluster_id")
+    """Invariants of leader clustering: every record is placed, no cluster is larger than it may grow, and clusters are
+    numbered in the order in which their first records arrived."""
+    placed = cluster.leader_clusters(embeddings(spark, sf_dir), cluster_size=100, size_factor=1.5, threshold=1.2)
+    each = placed.groupBy("partition_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("opened"))
+    before = F.lag("opened").over(Window.partitionBy("partition_id").orderBy("cluster_id"))
+    each = each.withColumn("ordered", F.coalesce(before < F.col("opened"), F.lit(True)))
+    return each.agg(F.sum("n").alias("members"), (F.max("n") <= 150).alias("bounded"), F.bool_and("ordered").alias("numbered"))
 
 
 # --- statistics and monitoring ---------------------------------------------------------------------------------------
