@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecloom.llm import p7_encode, p8_containers, p9_spans
+from vecloom.llm import common, p7_encode, p8_containers, p9_spans
 
 DOCUMENTS = "doc_id bigint, text string, tokens bigint, edge string, place int, n bigint, places string"
 TEXTS = [None, "", " ", "\n\t  　", "Hello world", "<|endoftext|> it's they'LL 123abc", "日本語のテキスト😀", "é ﻿​", "aaaaaaaaaaaaaaaaaaaaaaab", "word " * 4_000, "x" * 30_000, "日本語" * 3_000]
@@ -139,7 +139,7 @@ def brute(texts, n=100):
 @pytest.mark.parametrize("chunk, block", [(1_000_000, 1_000), (500, 2)])
 def test_spans(spark, monkeypatch, chunk, block):
     monkeypatch.setattr(p9_spans, "CHUNK_CHARS", chunk)
-    monkeypatch.setattr(p9_spans, "BLOCK", block)
+    monkeypatch.setattr(common, "PAIR_BLOCK", block)
     texts = span_texts()
     pairs, shared = brute(texts)
     df = documents(spark, texts).unionByName(spark.createDataFrame([(None, texts[4], 0, "", 0, 0, "")], DOCUMENTS)).repartition(3)

@@ -13,6 +13,8 @@ from ..session import cut_lineage as cut
 BROADCAST_KEYS = 400_000
 #: Members of a class of copies that one task puts back.
 HOT_MEMBERS = 100_000
+#: Items of one key that meet in one task when its pairs are listed.
+PAIR_BLOCK = 1_000
 
 
 def partitions(spark: SparkSession, rows: float, per_task: int) -> int:
@@ -81,3 +83,12 @@ def with_copies(rows: DataFrame, members: DataFrame | None, rep: str, name: str)
     wide = rows.join(F.broadcast(salts), rep, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce("salts__", F.lit(1)) - 1)))
     joined = wide.join(of, [rep, "salt__"], "left").where("member__ IS NOT NULL OR salts__ IS NULL")
     return joined.select(F.coalesce("member__", rep).alias(name), *others)
+
+
+def spread_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(a, b), a < b: pairs of distinct items under one key. A key with many items is met block by block in many tasks."""
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size__")).where("size__ > 1")
+    sized = rows.join(size, key).withColumn("blocks__", F.ceil(F.col("size__") / PAIR_BLOCK).cast("int"))
+    left = sized.select(key, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("blocks__")).cast("int").alias("block__"))
+    right = sized.select(key, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks__") - 1)).alias("block__"))
+    return left.join(right, [key, "block__"]).where("a < b").select("a", "b").distinct()

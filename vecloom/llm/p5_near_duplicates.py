@@ -2,9 +2,13 @@
 
 A record's components form a multiset; the n-th copy of a value is its own element, so multiset similarity becomes set
 similarity. A signature has ``SEGMENTS * WIDTH`` symbols (minimum hashes of the elements); two records of similarity s
-agree on each with probability s. As few segments are cut as needed for one of them to differ in at most one symbol;
-each segment is indexed under its ``WIDTH`` variants with one symbol deleted. Variants are joined on equality, thinned
-by a 56-bit sketch in the same task, and every remaining pair is verified on its exact multisets.
+agree on each with probability s. A segment of four symbols differs in at most one with probability s^4 + 4 s^3 (1 - s),
+0.65 at 0.7, so all six segments differ in more in one pair of 560 there, and in one of 4,000 at 0.75. Each segment is
+indexed under its ``WIDTH`` variants with one symbol deleted. Variants are joined on equality, thinned by a 56-bit
+sketch in the same task, and every remaining pair is verified on its exact multisets.
+
+Groups need no pairs: under each key every entry is linked to one representative. Only keys whose entries are not all of
+one group after that are looked at again, and there only entries of different groups are paired.
 """
 
 from __future__ import annotations
@@ -13,17 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut_lineage as cut
-from .common import checked_broadcast, partitions, stored_vectors
+from .common import checked_broadcast, partitions, spread_pairs, stored_vectors
 from .vectors import by_size
 
-SEGMENTS, WIDTH, SKETCH = 4, 6, 16
-#: Sketch bits in which a candidate may differ; at similarity 0.7 it is 7.5 on average, more than 14 in 7 pairs of 1000.
-SKETCH_BITS = 14
+SEGMENTS, WIDTH, SKETCH = 6, 4, 16
+#: Sketch bits in which a candidate may differ; at similarity 0.7 it is 8 on average, more than 18 in one pair of 10,000.
+SKETCH_BITS = 18
+#: Keys that are looked at again may be sent to every task up to this number (8 bytes each).
+OPEN_KEYS = 2_000_000
 #: Bytes of an index entry, entries of a task, and pair ends (four numbers each) that may be broadcast.
 ENTRY, ENTRIES_PER_TASK, BROADCAST_ENDS = 16, 1_500_000, 1_000_000
 _RNG = np.random.default_rng(20)
@@ -72,60 +79,79 @@ def variants(symbols: np.ndarray) -> np.ndarray:
     return mix64(each.sum(2, keepdims=True) - each + at.reshape(SEGMENTS, WIDTH))
 
 
-def to_variants(parts: int):
-    """A mapInArrow function from (uid, vector) to (part, entries): the variants of a batch, one blob for each part.
+def to_variants(parts: int, only: np.ndarray | None = None):
+    """A mapInArrow function from (uid, vector[, label]) to (part, entries): the variants of a batch, one blob a part.
 
-    An entry is 16 bytes: 40 bits of the key (the rest chose the part), 32 of the uid and the sketch. Blobs instead of
-    rows keep the exchange at the size of the entries and out of the row format.
+    An entry is 16 bytes: 40 bits of the key (the rest chose the part), 32 of the uid and the sketch; with a label it has
+    4 more. Blobs instead of rows keep the exchange at the size of the entries and out of the row format. ``only``, a
+    sorted array, limits the variants to these keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column("uid").to_numpy()
+            label = batch.column("label").to_numpy() if "label" in batch.schema.names else None
+            width = ENTRY if label is None else ENTRY + 4
             for _, rows, m in by_size(batch.column("vector")):
                 done = [signatures(m[s : s + 4_096]) for s in range(0, len(rows), 4_096)]
                 keys = np.concatenate([variants(symbols) for symbols, _ in done]).reshape(len(rows), -1)
-                entry = np.empty((keys.size, ENTRY), np.uint8)
-                part = (keys.ravel() % np.uint64(parts)).astype(np.int64)
+                row, keys = np.repeat(np.arange(len(rows)), keys.shape[1]), keys.ravel()
+                if only is not None and len(only):
+                    short = (keys // np.uint64(parts) & np.uint64(2**40 - 1)) * np.uint64(parts) + keys % np.uint64(parts)
+                    known = only[np.minimum(np.searchsorted(only, short), len(only) - 1)] == short
+                    row, keys = row[known], keys[known]
+                if not len(keys):
+                    continue
+                entry = np.empty((len(keys), width), np.uint8)
+                part = (keys % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                entry[:, :5] = (keys.ravel() // np.uint64(parts))[order].view(np.uint8).reshape(-1, 8)[:, :5]
-                row = order // keys.shape[1]
+                row = row[order]
+                entry[:, :5] = (keys // np.uint64(parts))[order].view(np.uint8).reshape(-1, 8)[:, :5]
                 entry[:, 5:9] = uid[rows].astype(np.uint32)[row].view(np.uint8).reshape(-1, 4)
-                entry[:, 9:] = np.concatenate([sketch for _, sketch in done])[row].view(np.uint8).reshape(-1, 8)[:, :7]
+                entry[:, 9:16] = np.concatenate([sketch for _, sketch in done])[row].view(np.uint8).reshape(-1, 8)[:, :7]
+                if label is not None:
+                    entry[:, 16:] = label[rows].astype(np.uint32)[row].view(np.uint8).reshape(-1, 4)
                 held, first = np.unique(part[order], return_index=True)
-                offsets = np.append(first, len(entry)).astype(np.int32) * ENTRY
+                offsets = np.append(first, len(entry)).astype(np.int32) * width
                 yield pa.RecordBatch.from_arrays([pa.array(held), pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(entry)])], names=["part", "entries"])
 
     return run
 
 
-def colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, entries) to (a, b), a <= b: uids under equal keys whose sketches are near. All pairs of a key are looked at."""
+def buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, keys, uids, sketches, labels) of a task's parts, entries in the order of their keys, then uids."""
     blobs: dict[int, list[bytes]] = {}
     for batch in batches:
         for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist()):
             blobs.setdefault(part, []).append(entries)
     for part in list(blobs):
-        entry = np.frombuffer(b"".join(blobs.pop(part)), np.uint8).reshape(-1, ENTRY)
-        key = np.zeros((len(entry), 8), np.uint8)
-        key[:, :5] = entry[:, :5]
-        key = key.view(np.uint64).ravel()
-        order = np.argsort(key, kind="stable")
-        entry = entry[order]
-        key, uid = key[order], np.ascontiguousarray(entry[:, 5:9]).view(np.uint32).ravel()
-        sketch = np.zeros((len(entry), 8), np.uint8)
-        sketch[:, :7] = entry[:, 9:]
-        sketch = sketch.view(np.uint64).ravel()
-        del entry, order
+        entry = np.frombuffer(b"".join(blobs.pop(part)), np.uint8).reshape(-1, width)
+        fields = []
+        for a, b, kind in ((0, 5, np.uint64), (5, 9, np.uint32), (9, 16, np.uint64), *(((16, 20, np.uint32),) if width > ENTRY else ())):
+            raw = np.zeros((len(entry), np.dtype(kind).itemsize), np.uint8)
+            raw[:, : b - a] = entry[:, a:b]
+            fields.append(raw.view(kind).ravel())
+        del entry
+        order = np.lexsort((fields[1], fields[0]))
+        key, uid, sketch, *label = (x[order] for x in fields)
+        yield part, key, uid, sketch, label[0] if label else np.zeros(len(key), np.uint32)
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= SKETCH_BITS
+
+
+def colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, entries) to (a, b), a <= b: uids under equal keys whose sketches are near. All pairs of a key are looked at."""
+    for _, key, uid, sketch, _ in buckets(batches, ENTRY):
         live, step, waiting, n = np.arange(len(key)), 1, [], 0
         while len(live):
             live = live[live + step < len(key)]
             live = live[key[live] == key[live + step]]
             for s in range(0, len(live), 1 << 20):
                 x = live[s : s + (1 << 20)]
-                x = x[np.bitwise_count(sketch[x] ^ sketch[x + step]) <= SKETCH_BITS]
-                x, y = uid[x].astype(np.uint64), uid[x + step].astype(np.uint64)
-                waiting.append((np.minimum(x, y) << np.uint64(32)) | np.maximum(x, y))
+                x = x[_near(sketch[x], sketch[x + step])]
+                waiting.append(_ends(uid[x], uid[x + step]))
                 n += len(x)
             if n > 1 << 21:
                 yield _pairs(np.unique(np.concatenate(waiting)))
@@ -135,49 +161,100 @@ def colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(np.unique(np.concatenate(waiting)))
 
 
+def starred(parts: int):
+    """A mapInArrow function from (part, entries) to (key, a, b, n, near): every entry under a key of n entries and the
+    first one under it, and whether their sketches are near. The key is the one of the entry (40 bits) and its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, key, uid, sketch, _ in buckets(batches, ENTRY):
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            centre = np.repeat(first, size)
+            at = np.flatnonzero(centre != np.arange(len(key)))
+            c, n = centre[at], np.repeat(size, size)[at]
+            whole = (key[at] * np.uint64(parts) + np.uint64(part)).view(np.int64)
+            columns = [pa.array(whole), pa.array(uid[c].astype(np.int64)), pa.array(uid[at].astype(np.int64)), pa.array(n), pa.array(_near(sketch[c], sketch[at]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "n", "near"])
+
+    return run
+
+
+def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, labelled entries) to (a, b): uids under equal keys with different labels and near sketches.
+
+    Under each key only the entries outside its most frequent label are paired, each with all entries of other labels.
+    """
+    for _, key, uid, sketch, label in buckets(batches, ENTRY + 4):
+        ends = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+        waiting = []
+        for s, e in zip(ends[:-1], ends[1:]):
+            names, n = np.unique(label[s:e], return_counts=True)
+            if len(names) < 2:
+                continue
+            for i in s + np.flatnonzero(label[s:e] != names[n.argmax()]):
+                other = s + np.flatnonzero(label[s:e] != label[i])
+                other = other[_near(sketch[other], sketch[i])]
+                waiting.append(_ends(uid[other], np.full(len(other), uid[i])))
+        if waiting:
+            yield _pairs(np.unique(np.concatenate(waiting)))
+
+
+def _ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    return (np.minimum(a, b) << np.uint64(32)) | np.maximum(a, b)
+
+
 def _pairs(p: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(32)).astype(np.int64)), pa.array((p & np.uint64(0xFFFFFFFF)).astype(np.int64))], names=["a", "b"])
 
 
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i], ..., start[i] + size[i] - 1 of every i, in one array."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
 def verified(least: float):
     """A mapInArrow function from (a, b, side, id, vector) to (id_a, id_b, similarity): pairs of at least ``least``."""
 
-    def similar(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-        both = [z for pair in zip(x, y) for z in pair]
-        size = np.array([len(z) for z in both]).reshape(-1, 2).sum(1)
-        owner, value = np.repeat(np.arange(len(x)), size), np.concatenate(both)
-        order = np.lexsort((value, owner))
-        owner, value = owner[order], value[order]
-        common = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (value[1:] == value[:-1])], minlength=len(x))
-        return common / (size - common)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        key = np.stack([table.column("a").to_numpy(), table.column("b").to_numpy()])
-        side, ids = table.column("side").to_numpy(), np.array(table.column("id").to_pylist(), object)
-        rows_of: list = [None] * len(ids)
-        for _, rows, m in by_size(table.column("vector")):
-            for r, e in zip(rows, elements(m)):
-                rows_of[r] = e
-        order = np.lexsort((side, key[1], key[0]))
-        change = np.flatnonzero((np.diff(key[0][order]) != 0) | (np.diff(key[1][order]) != 0)) + 1
-        x, y = [], []
-        for part in np.split(order, change):
-            # a uid can stand for several ids: every combination is verified
-            for i in part[side[part] == 0]:
-                for j in part[side[part] == 1]:
-                    if ids[i] != ids[j] and rows_of[i] is not None and rows_of[j] is not None:
-                        x.append(i)
-                        y.append(j)
-        for s in range(0, len(x), 20_000):
-            i, j = x[s : s + 20_000], y[s : s + 20_000]
-            value = similar([rows_of[r] for r in i], [rows_of[r] for r in j])
-            ok = np.flatnonzero(value >= least - 1e-12)
-            p, q = ids[i][ok].tolist(), ids[j][ok].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([min(t) for t in zip(p, q)], pa.string()), pa.array([max(t) for t in zip(p, q)], pa.string()), pa.array(value[ok])], names=["id_a", "id_b", "similarity"])
+        a, b, side = (table.column(c).to_numpy() for c in ("a", "b", "side"))
+        flat, start, size, n = [], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), 0
+        for d, rows, m in by_size(table.column("vector")):
+            flat.append(elements(m).ravel())
+            start[rows], size[rows] = n + d * np.arange(len(rows)), d
+            n += len(rows) * d
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+        good = np.flatnonzero(size > 0)
+        order = good[np.lexsort((side[good], b[good], a[good]))]
+        if not len(order):
+            return
+        new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
+        first = np.flatnonzero(new)
+        right = np.add.reduceat(side[order].astype(np.int64), first)
+        left = np.diff(np.append(first, len(order))) - right
+        # a uid can stand for several ids: every combination of the two sides is verified
+        i = np.repeat(_ragged(first, left), np.repeat(right, left))
+        j = _ragged(np.repeat(first + left, left), np.repeat(right, left))
+        i, j = order[i], order[j]
+        ids = table.column("id").combine_chunks()
+        for s in range(0, len(i), 20_000):
+            x, y = i[s : s + 20_000], j[s : s + 20_000]
+            both = np.stack([x, y], axis=1).ravel()
+            owner = np.repeat(np.repeat(np.arange(len(x)), 2), size[both])
+            value = flat[_ragged(start[both], size[both])]
+            o = np.lexsort((value, owner))
+            owner, value = owner[o], value[o]
+            common = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (value[1:] == value[:-1])], minlength=len(x))
+            similarity = common / (size[x] + size[y] - common)
+            ok = similarity >= least - 1e-12
+            p, q = ids.take(pa.array(x[ok])), ids.take(pa.array(y[ok]))
+            low = pc.less(p, q)
+            out = pa.RecordBatch.from_arrays([pc.if_else(low, p, q), pc.if_else(low, q, p), pa.array(similarity[ok])], names=["id_a", "id_b", "similarity"])
+            yield out.filter(pc.not_equal(p, q))
 
     return run
 
@@ -205,18 +282,29 @@ def duplicate_classes(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return records.join(checked_broadcast(others, others.count()), "id", "left_anti"), members
 
 
-def similar_classes(distinct: DataFrame, rows: int, least: float) -> DataFrame:
-    """(id_a, id_b, similarity) of records with different multisets of similarity at least ``least``."""
-    spark = distinct.sparkSession
-    tagged = distinct.withColumn("uid", F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF)))
-    parts = partitions(spark, rows * SEGMENTS * WIDTH, ENTRIES_PER_TASK)
-    spread = tagged.select("uid", "vector").mapInArrow(to_variants(3 * parts), "part long, entries binary").repartition(parts, "part")
-    candidates = cut(spread.mapInArrow(colliding, "a long, b long").distinct())
+def tagged(distinct: DataFrame) -> DataFrame:
+    return distinct.withColumn("uid", F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def verified_pairs(records: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """(id_a, id_b, similarity): the pairs of uids (a, b) of at least ``least``, as ids, once each."""
     n = candidates.count()
     ends = F.explode(F.array(F.struct(F.col("a").alias("uid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("uid"), F.lit(1).alias("side")))).alias("end")
     long = candidates.select("a", "b", ends).select("a", "b", "end.uid", "end.side")
-    wide = tagged.join(checked_broadcast(long, 2 * n, BROADCAST_ENDS), "uid").select("a", "b", "side", "id", "vector")
-    return wide.repartition(partitions(spark, 2 * n, 50_000), "a", "b").mapInArrow(verified(least), "id_a string, id_b string, similarity double").distinct()
+    wide = records.join(checked_broadcast(long, 2 * n, BROADCAST_ENDS), "uid").select("a", "b", "side", "id", "vector")
+    return wide.repartition(partitions(records.sparkSession, 2 * n, 50_000), "a", "b").mapInArrow(verified(least), "id_a string, id_b string, similarity double").distinct()
+
+
+def _parts(records: DataFrame, rows: int) -> int:
+    return partitions(records.sparkSession, rows * SEGMENTS * WIDTH, ENTRIES_PER_TASK)
+
+
+def similar_classes(distinct: DataFrame, rows: int, least: float) -> DataFrame:
+    """(id_a, id_b, similarity) of records with different multisets of similarity at least ``least``."""
+    records = tagged(distinct)
+    parts = _parts(records, rows)
+    spread = records.select("uid", "vector").mapInArrow(to_variants(3 * parts), "part long, entries binary").repartition(parts, "part")
+    return verified_pairs(records, cut(spread.mapInArrow(colliding, "a long, b long").distinct()), least)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.7) -> DataFrame:
@@ -231,21 +319,46 @@ def near_duplicates(vectors: DataFrame, least: float = 0.7) -> DataFrame:
         return pairs
     left, right = members.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), members.select(F.col("rep").alias("id_b"), F.col("id").alias("y"))
     wide = pairs.join(left, "id_a", "left").join(right, "id_b", "left").select(F.coalesce("x", "id_a").alias("x"), F.coalesce("y", "id_b").alias("y"), "similarity")
-    same = members.select("rep", F.col("id").alias("x")).join(members.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    same = spread_pairs(members, "rep", "id").select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("similarity"))
     every = wide.unionByName(same)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
+def star_links(distinct: DataFrame, rows: int, least: float) -> DataFrame:
+    """(a, b) as ids: links of at least ``least`` that join the same records as all such pairs would.
+
+    Under each key the entries are linked to the first; keys whose entries then lie in several components are met again,
+    and entries of different components are paired there. The number of links does not grow with the pairs of a group.
+    """
+    records = tagged(distinct)
+    parts = _parts(records, rows)
+    spread = records.select("uid", "vector").mapInArrow(to_variants(3 * parts), "part long, entries binary").repartition(parts, "part")
+    stars = cut(spread.mapInArrow(starred(3 * parts), "key long, a long, b long, n long, near boolean"))
+    ends = stars.where("near").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = cut(verified_pairs(records, cut(ends), least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    found = connected_components(links, "a", "b")
+    # a key of two entries was settled by its only pair
+    uid = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    label = cut(found.select(uid("id").alias("uid"), uid("community").alias("label")).groupBy("uid").agg(F.min("label").alias("label")))
+    side = lambda c: label.select(F.col("uid").alias(c), F.col("label").alias(f"of_{c}"))
+    apart = stars.where("n > 2").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    keys = cut(apart.select("key").distinct())
+    n = keys.count()
+    if n == 0:
+        return links
+    only = np.sort(keys.toArrow().column("key").to_numpy().view(np.uint64)) if n <= OPEN_KEYS else None
+    labelled = records.join(checked_broadcast(label, label.count()), "uid", "left").select("uid", "vector", F.coalesce("label", "uid").alias("label"))
+    again = labelled.mapInArrow(to_variants(3 * parts, only), "part long, entries binary").repartition(parts, "part")
+    more = verified_pairs(records, cut(again.mapInArrow(crossing, "a long, b long").distinct()), least)
+    return links.unionByName(more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
 def duplicate_groups(vectors: DataFrame, least: float = 0.7) -> DataFrame:
-    """(id, group_id, links): every record with a near duplicate, the least id of its group and its number of links
-    to other multisets' classes."""
+    """(id, group_id): every record with a near duplicate and the least id of its group. No pairs are listed."""
     distinct, members = duplicate_classes(stored_vectors(vectors))
-    pairs = cut(similar_classes(distinct, vectors.count(), least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    stars = pairs if members is None else pairs.unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    groups = connected_components(stars, "a", "b").toDF("node", "label")
-    rep = groups.select("node", F.col("node").alias("rep"), "label") if members is None else groups.join(members.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("rep", "node").alias("rep"), "label")
-    return rep.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("node").alias("id"), F.col("label").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    links = star_links(distinct, vectors.count(), least)
+    stars = links if members is None else links.unionByName(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    return connected_components(stars, "a", "b").toDF("id", "group_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

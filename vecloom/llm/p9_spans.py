@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as cut
-from .common import checked_broadcast
+from .common import checked_broadcast, spread_pairs
 from .p5_near_duplicates import mix64
 from .p7_encode import chunks
 
 SPAN, GRAM = 100, 64
 WINDOW = SPAN - GRAM + 1
-#: Characters hashed together, and occurrences of a span that meet in one task.
-CHUNK_CHARS, BLOCK = 1_000_000, 1_000
+#: Characters hashed together.
+CHUNK_CHARS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -139,15 +139,6 @@ def first_edges(repeated: DataFrame) -> DataFrame:
     return joined.where(~follows).select("edge", "n")
 
 
-def spread_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """(a, b), a < b: pairs of distinct items under one key. A key with many items is met block by block in many tasks."""
-    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size__")).where("size__ > 1")
-    sized = rows.join(size, key).withColumn("blocks__", F.ceil(F.col("size__") / BLOCK).cast("int"))
-    left = sized.select(key, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("blocks__")).cast("int").alias("block__"))
-    right = sized.select(key, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks__") - 1)).alias("block__"))
-    return left.join(right, [key, "block__"]).where("a < b").select("a", "b").distinct()
-
-
 def shared_pairs(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: records whose texts share a verbatim passage of at least ``SPAN`` characters.
 
