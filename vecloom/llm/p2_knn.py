@@ -41,13 +41,13 @@ def best_of_rows(score: np.ndarray, least: float, take: int) -> tuple[np.ndarray
         row, col, val = np.repeat(np.arange(len(score)), take), col.ravel(), val.ravel()
         ok = val >= least
         return row[ok], col[ok], val[ok]
-    row, col = np.nonzero(hit)
-    return first_of_rows(row, col, score[row, col], len(score), take)
+    at = np.flatnonzero(hit)
+    return first_of_rows(at // score.shape[1], at % score.shape[1], score.ravel()[at], len(score), take)
 
 
 def first_of_rows(row: np.ndarray, col: np.ndarray, val: np.ndarray, rows: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score) of the ``take`` greatest scores of each row, by row."""
-    order = np.lexsort((-val, row))
+    """(row, column, score) of the ``take`` greatest scores of each row, by row; the input is by row, too."""
+    order = np.argsort(row - val * 0.25, kind="stable")
     row, col, val = row[order], col[order], val[order]
     ok = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row] < take
     return row[ok], col[ok], val[ok]
@@ -61,7 +61,7 @@ def sparse_scores(u: np.ndarray, v: np.ndarray, q: np.ndarray, c: np.ndarray) ->
     return out
 
 
-def top_of_array(u: np.ndarray, v: np.ndarray, k: int, min_cosine: float, same: bool, work: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def top_of_array(u: np.ndarray, v: np.ndarray, k: int, min_cosine: float, same: bool, work: np.ndarray | None = None, radii: tuple[float, ...] = RADII) -> tuple[np.ndarray, np.ndarray]:
     """(query row, neighbour row) of at least the k best rows of ``v`` for each row of ``u`` with cosine >= min_cosine.
 
     Both hold unit rows. With ``same`` the rows of ``u`` are the first of ``v``, and a row is not its own neighbour. Two spare places are
@@ -77,7 +77,7 @@ def top_of_array(u: np.ndarray, v: np.ndarray, k: int, min_cosine: float, same:
     arrays = SortedArrays(v @ axes)
     waiting, out_q, out_n = np.arange(len(u)), [], []
     # without a useful least radius what is still open in the end is compared with every row
-    ladder = [c for c in RADII if c > min_cosine] + [min_cosine if min_cosine >= LEAST_RADIUS else None]
+    ladder = [c for c in radii if c > min_cosine] + [min_cosine if min_cosine >= LEAST_RADIUS else None]
     if work is not None:
         work[0] += len(u) * len(v)
     for cos in ladder:

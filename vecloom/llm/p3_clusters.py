@@ -18,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut_lineage as cut
+from ..session import written
 from .common import checked_broadcast, partitions, stored_vectors, with_copies
 from .p2_knn import ROWS_PER_TASK, best_of_rows, class_rows, knn_lists, top_of_array
 from .vectors import by_size, binary, cell_size, fit_directions, grouped, pack, to_cells, unpack
@@ -43,7 +45,7 @@ def links(u: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         np.fill_diagonal(score, -2)
         a, b, _ = best_of_rows(score, least - 1e-6, min(LINKS, len(u)))
     else:
-        a, b = top_of_array(u, u, LINKS, least, True)
+        a, b = top_of_array(u, u, LINKS, least, True, radii=())
     code = np.unique(np.minimum(a, b) * len(u) + np.maximum(a, b))
     return code // max(len(u), 1), code % max(len(u), 1)
 
@@ -119,9 +121,9 @@ def crossing(w: np.ndarray, label: np.ndarray, least: float) -> tuple[np.ndarray
     return code // max(len(l), 1), code % max(len(l), 1)
 
 
-def clusters_in_cells(least: float):
+def clusters_in_cells(least: float, linkage: bool):
     """A mapInArrow function from the rows of cells to (rep, home, root): root is the least rep of the cell's part of the
-    component."""
+    component. Components grow from the clusters of average linkage, or from the links where linkage is still to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for code, cell in grouped(batches):
@@ -130,7 +132,8 @@ def clusters_in_cells(least: float):
             cell, names = cell.take(pa.array(order)), names[order]
             w = unpack(cell.column("packed"), cell_size(code)).astype(np.float64)
             w /= np.sqrt((w * w).sum(1))[:, None]
-            label = average_linkage(w, np.ones(len(w)), *links(w.astype(np.float32), least), least)
+            a, b = links(w.astype(np.float32), least)
+            label = average_linkage(w, np.ones(len(w)), a, b, least) if linkage else close(np.arange(len(w)), a, b)
             label = close(label, *crossing(w, label, least))
             # rows are in the order of their names and a cluster's label is its first row
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), cell.column("home").combine_chunks(), pa.array(names[label], pa.string())], names=["rep", "home", "root"])
@@ -138,7 +141,7 @@ def clusters_in_cells(least: float):
     return run
 
 
-def component_rows(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def component_rows(vectors: DataFrame, least: float, linkage: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(rep, label) of every distinct usable vector, label the least rep of its component of pairs of at least ``least``;
     (ids, id, vector) of the distinct vectors; (id, rep) of copies."""
     rows = vectors.count()
@@ -147,7 +150,7 @@ def component_rows(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFra
     fit = fit_directions(records, rows, margin=MARGIN)
     cells = distinct.select(F.col("id").alias("rep"), "vector").mapInArrow(to_cells(fit, "rep"), "cell long, home boolean, own boolean, side boolean, rep string, packed binary")
     spread = cells.select("cell", "home", "rep", "packed").repartition(partitions(vectors.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
-    local = cut(spread.mapInArrow(clusters_in_cells(least), "rep string, home boolean, root string"))
+    local = written(spread.mapInArrow(clusters_in_cells(least, linkage), "rep string, home boolean, root string"))
     # roots meet in records that lie in several cells, or under another root's name
     roots = local.groupBy("rep").agg(F.min("root").alias("b"), F.collect_set("root").alias("all")).where(F.size("all") > 1)
     joined = connected_components(roots.select(F.explode("all").alias("a"), "b"), "a", "b").select(F.col("id").alias("root"), F.col("community").alias("label"))
@@ -170,36 +173,48 @@ def _typical(w: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.round(np.einsum("ij,ij->i", w, total[label]) / np.maximum(norm[label], 1e-300), 6)
 
 
+def component_links(u: np.ndarray, component: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`links` of the rows of each component, which are consecutive; small ones share a matrix product."""
+    start = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
+    ends = np.append(start[1:], len(u))
+    out_a, out_b, s = [], [], 0
+    while s < len(start):
+        e = max(s + 1, np.searchsorted(ends, start[s] + SMALL, "right"))
+        x = slice(start[s], ends[e - 1])
+        if e == s + 1:
+            a, b = links(u[x], least)
+        else:
+            score = u[x] @ u[x].T
+            score[component[x][:, None] != component[x][None]] = -2
+            np.fill_diagonal(score, -2)
+            a, b, _ = best_of_rows(score, least - 1e-6, min(LINKS, len(score)))
+            code = np.unique(np.minimum(a, b) * len(score) + np.maximum(a, b))
+            a, b = code // len(score), code % len(score)
+        out_a.append(start[s] + a)
+        out_b.append(start[s] + b)
+        s = e
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
 def linked_components(least: float):
-    """A mapInArrow function from (component, rep, n, dim, packed) to (rep, first, typical): average linkage of each
-    component; first is the least rep of the cluster, typical the cosine to the mean of the cluster."""
+    """A mapInArrow function from (component, rep, n, dim, packed) to (rep, first, typical): average linkage of the
+    components; first is the least rep of the cluster, typical the cosine to the mean of the cluster. All components of
+    one vector size in the task take their rounds together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[], [], []]
-        for _, rows in grouped(batches, "component"):
-            names = np.array(rows.column("rep").to_pylist(), object)
-            order = np.argsort(names, kind="stable")
-            rows, names = rows.take(pa.array(order)), names[order]
+        for dim, rows in grouped(batches, "dim"):
+            rows = rows.take(pc.sort_indices(rows, sort_keys=[("component", "ascending"), ("rep", "ascending")]))
             n = rows.column("n").to_numpy().astype(np.float64)
-            w = unpack(rows.column("packed"), int(rows.column("dim")[0].as_py())).astype(np.float64)
+            w = unpack(rows.column("packed"), dim).astype(np.float64)
             w /= np.sqrt((w * w).sum(1))[:, None]
-            label = average_linkage(w, n, *links(w.astype(np.float32), least), least)
-            for column, x in zip(held, (names, names[label], _typical(w, n, label))):
-                column.append(x)
-            if sum(map(len, held[0])) > 20_000:
-                yield _done(held)
-                held = [[], [], []]
-        if held[0]:
-            yield _done(held)
+            label = average_linkage(w, n, *component_links(w.astype(np.float32), rows.column("component").to_numpy(), least), least)
+            # rows are in the order of their names and a cluster's label is its first row
+            names = rows.column("rep").combine_chunks()
+            yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label)), pa.array(_typical(w, n, label))], names=["rep", "first", "typical"])
 
     return run
 
 
-def _done(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-    rep, first, typical = (np.concatenate(c) for c in held)
-    return pa.RecordBatch.from_arrays([pa.array(rep, pa.string()), pa.array(first, pa.string()), pa.array(typical.astype(np.float64))], names=["rep", "first", "typical"])
-
-
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, n, dim, packed) to (rep, n, total): the unit vector, n times."""
     for batch in batches:
@@ -280,7 +295,7 @@ def large_components(wide: DataFrame, least: float) -> DataFrame:
 def linked_rows(vectors: DataFrame, least: float, smallest: int = 1, large: int = LARGE) -> tuple[DataFrame, DataFrame | None]:
     """(rep, first, typical) of every distinct vector of a component of at least ``smallest`` records, first the least rep
     of its cluster; (id, rep) of copies."""
-    home, distinct, members = component_rows(vectors, least)
+    home, distinct, members = component_rows(vectors, least, linkage=False)
     if members is None:
         home = home.withColumn("n", F.lit(1).cast("long"))
     else:
