@@ -66,11 +66,12 @@ def candidates(queries, rows):
     return out
 
 
-def test_top_n(tables):
+@pytest.mark.parametrize("large", [p4_top_n.LARGE_K, 4, 0])
+def test_top_n(tables, large):
     q, r, _ = made()
     most = {x[0]: 10 if x[1] is None else x[1] for x in q}
     want = {(k, i, d) for k, c in candidates(q, r).items() for d, s, i in c[: most[k]]}
-    got = [(x.query_id, x.id, x.dist) for x in p4_top_n.top_n(tables[0], tables[1]).collect()]
+    got = [(x.query_id, x.id, x.dist) for x in p4_top_n.top_n(tables[0], tables[1], large).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
 
 
@@ -95,11 +96,13 @@ def number(x):
 
 
 def positive(weights):
+    """Fields of weight above 0 with the power of their ranks."""
     try:
         w = json.loads(weights)
     except (TypeError, ValueError):
-        return []
-    return sorted(f for f, x in w.items() if (number(x) or 0) > 0)
+        return {}
+    w = {f: number(x) for f, x in w.items() if (number(x) or 0) > 0}
+    return {f: w[f] / max(w.values()) for f in sorted(w)}
 
 
 def scores():
@@ -125,25 +128,34 @@ def scores():
                     col[i] = -value
             columns.append(col)
         ranks = {i: [1 + sum(y < col[i] for y in col.values()) if i in col else None for col in columns] for _, _, i in c}
-        out[k] = (len(c), ranks)
+        out[k] = (len(c), ranks, [1.0, *fields.values()])
     return out
 
 
 def test_scores_and_significance(tables):
     want = scores()
     got = {(x.query_id, x.id): x for x in p6_rank_fusion.scored(*tables).collect()}
-    assert set(got) == {(k, i) for k, (_, r) in want.items() for i in r} and len(want) == 4
-    for k, (n, ranks) in want.items():
+    assert set(got) == {(k, i) for k, (_, r, _) in want.items() for i in r} and len(want) == 4
+    for k, (n, ranks, powers) in want.items():
         for i, r in ranks.items():
-            x = sorted((v / n if v else 1.0) for v in r)
+            x = sorted((v / n) ** p if v else 1.0 for v, p in zip(r, powers))
             m = len(x)
             p = min(1.0, m * min(sum(comb(m, t) * v**t * (1 - v) ** (m - t) for t in range(j, m + 1)) for j, v in enumerate(x, 1)))
             assert abs(got[k, i].significance - p) < 1e-9 and got[k, i].missing == r.count(None) and got[k, i].n == n
 
 
+def test_weights_decide(spark):
+    """Two items are first on one field each: the heavier field's comes first."""
+    meta = [record(f"i{i}", i, [1.0], json.dumps({"a": 9 if i == 1 else i % 3, "b": 9 if i == 2 else i % 4})) for i in range(1, 9)]
+    rows = [(i, q, "p", f"i{i}", 1.0, 1, "x", 2) for q in (1, 2) for i in range(1, 9)]
+    queries = [(1, 3, None, None, '{"a": 2.5, "b": 0.05}', 0, 0, 0.0), (2, 3, None, None, '{"a": 0.05, "b": 2.5}', 0, 0, 0.0)]
+    df = p6_rank_fusion.fused(spark.createDataFrame(queries, QUERIES), spark.createDataFrame(rows, RESULTS), spark.createDataFrame(meta, VECTORS))
+    assert {r.query_id: r.id for r in df.where("place = 1").collect()} == {1: "i1", 2: "i2"}
+
+
 def test_order(tables):
     rows = p6_rank_fusion.fused(*tables).collect()
-    for k, (n, _) in scores().items():
+    for k, (n, _, _) in scores().items():
         mine = sorted((r.place, r.significance) for r in rows if r.query_id == k)
         assert [p for p, _ in mine] == list(range(1, n + 1)) and [s for _, s in mine] == sorted(s for _, s in mine)
 
@@ -151,7 +163,7 @@ def test_order(tables):
 def test_found_comes_from_the_order(spark, tables, tmp_path, monkeypatch):
     for name, df in zip(("queries", "search_results", "vectors"), tables):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
-    want = {(k, i) for k, (n, ranks) in scores().items() if n >= 5 for i, r in ranks.items() if None not in r and max(r) <= math.ceil(n / 5)}
+    want = {(k, i) for k, (n, ranks, _) in scores().items() if n >= 5 for i, r in ranks.items() if None not in r and max(r) <= math.ceil(n / 5)}
     assert {(r.query_id, r.id) for r in p6_rank_fusion.p6_found(spark, str(tmp_path)).collect()} == want and want
     monkeypatch.setattr(p6_rank_fusion, "significance", lambda ranks, m: F.raise_error(F.concat(F.lit("evaluated "), m.cast("string"))).cast("double"))
     with pytest.raises(Exception, match="evaluated"):

@@ -136,9 +136,10 @@ def brute(texts, n=100):
     return pairs, shared
 
 
-@pytest.mark.parametrize("chunk, block", [(1_000_000, 1_000), (500, 2)])
-def test_spans(spark, monkeypatch, chunk, block):
+@pytest.mark.parametrize("chunk, block, hot", [(1_000_000, 1_000, 100_000), (500, 2, 2), (1_000, 2, 0)])
+def test_spans(spark, monkeypatch, chunk, block, hot):
     monkeypatch.setattr(p9_spans, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(p9_spans, "HOT_KINDS", hot)
     monkeypatch.setattr(common, "PAIR_BLOCK", block)
     texts = span_texts()
     pairs, shared = brute(texts)
@@ -149,6 +150,31 @@ def test_spans(spark, monkeypatch, chunk, block):
     assert rows == {i: (len(t or ""), s) for i, (t, s) in enumerate(zip(texts, shared))}
 
 
+def test_paths_and_spans(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b = word(700), word(300)
+    texts = [word(80) + a + word(90), a + word(40), word(20) + a[:400] + word(30) + b, b, word(900)]
+    df = documents(spark, texts)
+    spans = {(r.doc_id, r.start): r.length for r in p9_spans.shared_spans(df).collect()}
+    # neighbours can agree by chance, never the other way round
+    for key, least in {(0, 80): 700, (1, 0): 700, (2, 20): 400, (2, 450): 300, (3, 0): 300}.items():
+        near = [n for (d, s), n in spans.items() if d == key[0] and key[1] - 5 <= s <= key[1]]
+        assert len(near) == 1 and least <= near[0] < least + 10
+    # a path of 601 k-mers in two texts, 301 of them in a third: it branches once
+    occ = p9_spans.occurrences(df)
+    assert p9_spans.first_segments(occ).count() <= 5 < occ.select("path").distinct().count()
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(p9_spans.Hashed, "windows", lambda self, length: np.zeros(len(self.position), np.uint64))
+    rng = random.Random(6)
+    t = ["".join(rng.choice("ab") for _ in range(120)) for _ in range(3)]
+    owner, place, kind = p9_spans.classes(t + [t[1]])
+    of = {(o, p): k for o, p, k in zip(owner.tolist(), place.tolist(), kind.tolist())}
+    assert all(of[1, p] == of[3, p] for p in range(21)) and len(set(kind.tolist())) == 63
+
+
 def test_no_spans(spark):
     df = documents(spark, ["a" * 99, "a" * 99, None])
     assert p9_spans.shared_pairs(df).isEmpty() and p9_spans.shared_pairs(df.where("false")).isEmpty()

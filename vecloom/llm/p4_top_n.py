@@ -5,6 +5,10 @@ followed by the arrival number. All groups of a task are bisected together: each
 codes at or below the group's midpoint and halves its interval, until the cutoff keeps exactly N codes. The bisection
 runs twice: on each task's rows before the exchange, so that a group of any size leaves at most N rows a task, and on
 what arrives. Hot groups are thus spread over all tasks and no task meets more than N rows a group and sender.
+
+Groups that want more than ``LARGE_K`` items are bisected globally instead: each round counts the rows of every group by
+the next ``DIGIT`` bits of their codes (so many midpoints at once) and narrows its interval, all groups together; no
+rows of such a group are brought together at all.
 """
 
 from __future__ import annotations
@@ -13,12 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage as cut
 from .common import checked_broadcast, partitions
 
 DEFAULT_K = 10
+#: Groups that want more items are bisected over all tasks; bits of the code settled in one of their rounds.
+LARGE_K, DIGIT = 100_000, 16
+#: Rows of a task after the exchange.
+ROWS_PER_TASK = 500_000
 
 
 def ordered_bits(x: np.ndarray) -> np.ndarray:
@@ -103,13 +112,47 @@ def candidates(queries: DataFrame, results: DataFrame) -> DataFrame:
 _SCHEMA = "query_id long, k int, dist double, seq long, id string"
 
 
-def top_n(queries: DataFrame, results: DataFrame) -> DataFrame:
+def with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``code``, 16 bytes whose order is that of (dist, seq)."""
+    for batch in batches:
+        seq = batch.column("seq").to_numpy().astype(np.int64) ^ np.int64(-(2**63))
+        code = np.stack([ordered_bits(batch.column("dist").to_numpy()), seq.view(np.uint64)], axis=1).astype(">u8")
+        offsets = np.arange(len(code) + 1, dtype=np.int32) * 16
+        column = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(code).tobytes())])
+        yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "code"])
+
+
+def global_top(rows: DataFrame) -> DataFrame:
+    """The ``k`` first rows of each query, whatever their number, by counts alone. (query_id, seq) is unique."""
+    coded = cut(rows.mapInArrow(with_codes, _SCHEMA + ", code binary"))
+    # of each group: the cutoff's bytes so far and how many rows with this prefix are wanted
+    state = cut(coded.groupBy("query_id").agg(F.first("k").cast("long").alias("want"), F.count(F.lit(1)).alias("n")).where("n > want").select("query_id", F.lit(b"").alias("prefix"), "want"))
+    n = state.count()
+    whole = coded.join(checked_broadcast(state.select("query_id"), n), "query_id", "left_anti")
+    width = DIGIT // 8
+    for at in range(0, 16, width):
+        level = coded.join(checked_broadcast(state, n), "query_id").where(F.substring("code", 1, at) == F.col("prefix"))
+        counts = level.groupBy("query_id", "prefix", "want", F.substring("code", at + 1, width).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+        up_to = F.sum("n").over(Window.partitionBy("query_id").orderBy("digit"))
+        found = counts.withColumn("up_to", up_to).where((F.col("up_to") >= F.col("want")) & (F.col("up_to") - F.col("n") < F.col("want")))
+        state = cut(found.select("query_id", F.concat("prefix", "digit").alias("prefix"), (F.col("want") - F.col("up_to") + F.col("n")).alias("want")))
+    cutoffs_ = state.select("query_id", F.col("prefix").alias("last"))
+    kept = coded.join(checked_broadcast(cutoffs_, n), "query_id").where(F.col("code") <= F.col("last"))
+    columns = [c.split()[0] for c in _SCHEMA.split(", ")]
+    return whole.select(*columns).unionByName(kept.select(*columns))
+
+
+def top_n(queries: DataFrame, results: DataFrame, large: int = LARGE_K) -> DataFrame:
     """(query_id, k, dist, seq, id): the k first candidates of every query by (dist, seq); all if there are fewer.
 
     Ties in distance go to the earlier arrival. A query without candidates, or with k = 0, has no rows.
     """
-    local = candidates(queries, results).where("k > 0").select("query_id", "k", "dist", "seq", "id").mapInArrow(bisected, _SCHEMA)
-    return local.repartition(partitions(queries.sparkSession, 0, 1), "query_id").mapInArrow(bisected, _SCHEMA)
+    rows = candidates(queries, results).where("k > 0").select("query_id", "k", "dist", "seq", "id")
+    most = queries.agg(F.max("k")).first()[0] or DEFAULT_K
+    few = rows if most <= large else rows.where(F.col("k") <= large)
+    local = few.mapInArrow(bisected, _SCHEMA)
+    out = local.repartition(partitions(queries.sparkSession, results.count(), ROWS_PER_TASK), "query_id").mapInArrow(bisected, _SCHEMA)
+    return out if most <= large else out.unionByName(global_top(rows.where(F.col("k") > large)))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,10 @@ Every score becomes ranks within its query, so scales and distributions no longe
 are sorted; under the hypothesis of random order the j-th of m is a beta order statistic, and the least of the m
 probabilities, corrected for taking a minimum (times m), is the item's significance. Items are ordered by it.
 
+A weight says how much a field's ranks may count: a normalised rank r becomes r^(w / W), W the query's greatest weight.
+Ranks of the greatest weight (and of the distance) stay as they are, those of small weights move towards 1, where they
+lend no significance, and last ranks stay last whatever the weight.
+
 Ranks of a query of any size are taken without gathering it: rows are range-partitioned by (group, value), each task
 ranks its own run and the few groups that span tasks get the counts of the tasks before.
 """
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as cut
-from .common import BROADCAST_KEYS, checked_broadcast, partitions, stored_metadata
+from .common import checked_broadcast, partitions, stored_metadata
 from .p4_top_n import candidates
 
 #: The name of the distance among the scores; no JSON field can carry it.
@@ -92,17 +96,21 @@ def significance(ranks: Column, m: Column) -> Column:
 
 
 def weighted_queries(queries: DataFrame) -> DataFrame:
-    """(query_id, k, partition_ids, fields): queries whose weights give at least one field a number above 0."""
+    """(query_id, k, partition_ids, fields): queries whose weights give at least one field a number above 0; ``fields``
+    are these fields with their power, the weight divided by the query's greatest."""
     w = F.from_json("weights", "map<string,string>")
-    above = F.map_keys(F.map_filter(w, lambda _, v: F.coalesce(number(v) > 0, F.lit(False))))
-    return queries.withColumn("fields", above).where(F.size("fields") > 0).select("query_id", "k", "partition_ids", "fields")
+    above = F.filter(F.transform(F.map_entries(w), lambda e: F.struct(e["key"].alias("field"), number(e["value"]).alias("w"))), lambda e: F.coalesce(e["w"] > 0, F.lit(False)))
+    rows = queries.withColumn("above", above).where(F.size("above") > 0)
+    most = F.array_max(F.transform("above", lambda e: e["w"]))
+    return rows.select("query_id", "k", "partition_ids", F.transform("above", lambda e: F.struct(e["field"].alias("field"), (e["w"] / most).alias("power"))).alias("fields"))
 
 
 def scored(queries: DataFrame, results: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, id, dist, seq, n, m, ranks, worst, missing, significance) of every candidate of a weighted query.
 
-    ``ranks`` are normalised by the query's ``n`` candidates, a missing score counting as last (1.0). Null or malformed
-    metadata, absent fields and values that are no numbers are missing scores; equal scores share the better rank.
+    ``ranks`` are normalised by the query's ``n`` candidates and raised to the powers of their weights, a missing score
+    counting as last (1.0). Null or malformed metadata, absent fields and values that are no numbers are missing scores;
+    equal scores share the better rank.
     """
     q = cut(weighted_queries(queries))
     n_queries = q.count()
@@ -110,17 +118,18 @@ def scored(queries: DataFrame, results: DataFrame, vectors: DataFrame) -> DataFr
     meta = F.from_json("metadata", "map<string,string>")
     wide = found.join(checked_broadcast(q.select("query_id", "fields"), n_queries), "query_id").join(stored_metadata(vectors), "id", "left").withColumn("meta", meta)
     scores = F.concat(
-        F.array(F.struct(F.lit(DISTANCE).alias("field"), F.col("dist").alias("value"))),
-        F.transform("fields", lambda f: F.struct(f.alias("field"), (-number(F.try_element_at("meta", f))).alias("value"))),
+        F.array(F.struct(F.lit(DISTANCE).alias("field"), F.col("dist").alias("value"), F.lit(1.0).alias("power"))),
+        F.transform("fields", lambda f: F.struct(f["field"].alias("field"), (-number(F.try_element_at("meta", f["field"]))).alias("value"), f["power"].alias("power"))),
     )
-    long = wide.select("query_id", "id", "seq", F.size("fields").alias("fields"), "dist", F.explode(scores).alias("s")).select("query_id", "id", "seq", "dist", "fields", "s.field", (F.col("s.value") + 0.0).alias("value")).where("value IS NOT NULL")
-    ranks = ranked(long, ["query_id", "field"], ["value"], 3 * BROADCAST_KEYS)
+    long = wide.select("query_id", "id", "seq", F.size("fields").alias("fields"), "dist", F.explode(scores).alias("s")).select("query_id", "id", "seq", "dist", "fields", "s.field", "s.power", (F.col("s.value") + 0.0).alias("value")).where("value IS NOT NULL")
+    ranks = ranked(long, ["query_id", "field"], ["value"], 3 * results.count())
     size = ranks.where(F.col("field") == DISTANCE).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    items = ranks.groupBy("query_id", "id").agg(F.collect_list("rank").alias("r"), F.first("seq").alias("seq"), F.first("dist").alias("dist"), (F.first("fields") + 1).alias("m"))
+    items = ranks.groupBy("query_id", "id").agg(F.collect_list(F.struct("rank", "power")).alias("r"), F.first("seq").alias("seq"), F.first("dist").alias("dist"), (F.first("fields") + 1).alias("m"))
     items = items.join(checked_broadcast(size, n_queries), "query_id")
     missing = F.col("m") - F.size("r")
-    filled = F.concat(F.transform("r", lambda x: x / F.col("n")), F.array_repeat(F.lit(1.0), missing))
-    out = items.select("query_id", "id", "dist", "seq", "n", "m", filled.alias("ranks"), F.array_max("r").alias("worst"), missing.alias("missing"))
+    filled = F.concat(F.transform("r", lambda x: F.pow(x["rank"] / F.col("n"), x["power"])), F.array_repeat(F.lit(1.0), missing))
+    worst = F.array_max(F.transform("r", lambda x: x["rank"]))
+    out = items.select("query_id", "id", "dist", "seq", "n", "m", filled.alias("ranks"), worst.alias("worst"), missing.alias("missing"))
     return out.withColumn("significance", significance(F.col("ranks"), F.col("m")))
 
 
@@ -129,7 +138,7 @@ def fused(queries: DataFrame, results: DataFrame, vectors: DataFrame, keep: tupl
     candidates; equal significance goes to the lower mean rank, then the distance, then the arrival."""
     mean = F.aggregate("ranks", F.lit(0.0), lambda a, x: a + x) / F.col("m")
     rows = scored(queries, results, vectors).select("query_id", "id", F.round("significance", 12).alias("significance"), F.round(mean, 12).alias("mean"), "dist", "seq", *keep)
-    return ranked(rows, ["query_id"], ["significance", "mean", "dist", "seq"], 3 * BROADCAST_KEYS).select("query_id", F.col("rank").alias("place"), "id", "significance", *keep)
+    return ranked(rows, ["query_id"], ["significance", "mean", "dist", "seq"], results.count()).select("query_id", F.col("rank").alias("place"), "id", "significance", *keep)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -137,26 +146,33 @@ def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the order is materialised with places and significance; the exact check of it follows
-    rows = cut(fused(*_tables(spark, sf_dir), keep=("n", "worst", "missing")))
-    # among the best fifth on every score
-    return rows.where("n >= 5 AND missing = 0").where(F.col("worst") <= F.ceil(F.col("n") / 5)).select("query_id", "id")
+    """Of the ranking, the candidates that are among the best fifth on every score.
+
+    An item that is among the best fifth by distance has a least normalised rank of at most f = ceil(n / 5) / n, so its
+    significance is at most m (1 - (1 - f)^m). The ranking's rows are taken down to that significance; the exact test of
+    the ranks follows.
+    """
+    rows = cut(fused(*_tables(spark, sf_dir), keep=("n", "m", "worst", "missing")))
+    fifth = F.ceil(F.col("n") / 5) / F.col("n")
+    bound = F.least(F.lit(1.0), F.col("m") * (1 - F.pow(1 - fifth, F.col("m"))))
+    significant = rows.where("n >= 5").where(F.col("significance") <= bound + 1e-9)
+    return significant.where("missing = 0").where(F.col("worst") <= F.ceil(F.col("n") / 5)).select("query_id", "id")
 
 
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(*_tables(spark, sf_dir))
+    return fused(*_tables(spark, sf_dir)).withColumn("significance", F.round("significance", 9))
 
 
 _NUM = r"CASE WHEN regexp_matches({0}, '^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$') THEN try_cast(trim({0}) AS DOUBLE) END"
-SQL = {
-    "p6_found": f"""
-WITH w AS (
-  SELECT query_id, f, partition_ids FROM (
-    SELECT query_id, partition_ids, json(weights) AS j, unnest(json_keys(json(weights))) AS f FROM queries WHERE json_valid(weights) AND json_type(json(weights)) = 'OBJECT')
-  WHERE {_NUM.format("json_extract_string(j, '$.\"' || f || '\"')")} > 0),
+_SCORES = f"""
+w AS (
+  SELECT query_id, f, partition_ids, w / max(w) OVER (PARTITION BY query_id) AS power FROM (
+    SELECT query_id, partition_ids, f, {_NUM.format("json_extract_string(j, '$.\"' || f || '\"')")} AS w FROM (
+      SELECT query_id, partition_ids, json(weights) AS j, unnest(json_keys(json(weights))) AS f FROM queries WHERE json_valid(weights) AND json_type(json(weights)) = 'OBJECT'))
+  WHERE w > 0),
 q AS (SELECT query_id, any_value(partition_ids) AS partition_ids FROM w GROUP BY 1),
 c AS (
-  SELECT r.query_id, r.id, r.dist FROM search_results r JOIN q USING (query_id)
+  SELECT r.query_id, r.id, r.dist, r.seq FROM search_results r JOIN q USING (query_id)
   WHERE r.id IS NOT NULL AND r.dist IS NOT NULL AND NOT isnan(r.dist)
     AND (q.partition_ids IS NULL OR len(q.partition_ids) = 0 OR list_contains(q.partition_ids, r.partition_id))
   QUALIFY row_number() OVER (PARTITION BY r.query_id, r.id ORDER BY r.dist, r.seq) = 1),
@@ -165,12 +181,28 @@ meta AS (
   SELECT id, CASE WHEN json_valid(metadata) AND json_type(json(metadata)) = 'OBJECT' THEN json(metadata) END AS j
   FROM vectors WHERE metadata IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
 s AS (
-  SELECT query_id, id, '' AS f, dist AS v FROM c
+  SELECT query_id, id, '' AS f, dist AS v, 1.0::DOUBLE AS power FROM c
   UNION ALL
-  SELECT c.query_id, c.id, w.f, -({_NUM.format("json_extract_string(m.j, '$.\"' || w.f || '\"')")})
+  SELECT c.query_id, c.id, w.f, -({_NUM.format("json_extract_string(m.j, '$.\"' || w.f || '\"')")}), w.power
   FROM c JOIN w USING (query_id) LEFT JOIN meta m ON m.id = c.id),
-r AS (SELECT query_id, id, v, rank() OVER (PARTITION BY query_id, f ORDER BY v NULLS LAST) AS rk FROM s)
+r AS (SELECT query_id, id, v, power, rank() OVER (PARTITION BY query_id, f ORDER BY v NULLS LAST) AS rk FROM s)
+"""
+SQL = {
+    "p6_found": f"""
+WITH {_SCORES}
 SELECT r.query_id, r.id FROM r JOIN n USING (query_id) WHERE n >= 5
 GROUP BY r.query_id, r.id, n HAVING count(*) = count(v) AND max(rk) <= ceil(n / 5)
-"""
+""",
+    "p6_ranking": f"""
+WITH {_SCORES},
+x AS (
+  SELECT r.query_id, r.id, list_sort(list(CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE pow(rk / n::DOUBLE, power) END)) AS x, count(*) AS m
+  FROM r JOIN n USING (query_id) GROUP BY 1, 2),
+p AS (
+  SELECT query_id, id, round(list_sum(x) / m, 12) AS mean,
+    round(least(1.0, m * list_min(list_transform(x, lambda p, j: list_sum(list_transform(range(j, m + 1), lambda i: factorial(m::INTEGER)::DOUBLE / (factorial(i::INTEGER)::DOUBLE * factorial((m - i)::INTEGER)::DOUBLE) * pow(p, i) * pow(1 - p, m - i)))))), 12) AS significance
+  FROM x)
+SELECT p.query_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.significance, p.mean, c.dist, c.seq) AS place, p.id, round(p.significance, 9) AS significance
+FROM p JOIN c USING (query_id, id)
+""",
 }

@@ -1,11 +1,12 @@
 """Long exact spans shared between records: de Bruijn compaction.
 
-A text is a walk over its k-mers of ``SPAN`` characters; a span of at least that length stands in two records just if
-they share a k-mer. Minimisers (the least of ``WINDOW`` consecutive hashed grams of ``GRAM`` characters, so that each
-k-mer holds at least one whole) find, with one small row each, the places whose k-mers can repeat; only there k-mers
-become edges. An edge whose occurrences all follow the occurrences of one other edge continues a nonbranching path:
-Spark joins keep only the first edge of each path, since every pair that shares any edge of the path shares the first.
-The occurrences of first edges are read back from their coordinates in the source texts and compared as strings.
+A text is a walk over its k-mers of ``SPAN`` characters, the edges of the graph; a span of at least that length stands in
+two records just if they share a k-mer. Every k-mer holds a minimiser (the least of its ``WINDOW`` hashed grams of
+``GRAM`` characters), and consecutive k-mers of one minimiser make a *run*. Only runs whose minimiser stands in several
+records are looked at: equal k-mers have equal minimisers, so they meet under the minimiser's gram, where they are
+compared as texts. There nonbranching stretches of repeated k-mers compact to segments; a join on the coordinates in the
+source texts then continues paths from run to run. Pairs are listed for the first segment of each path only, as every
+record that holds a later segment of the path holds the first.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as cut
-from .common import checked_broadcast, spread_pairs
+from ..session import written
+from .common import checked_broadcast, partitions, spread_pairs
 from .p5_near_duplicates import mix64
 from .p7_encode import chunks
 
@@ -26,6 +28,8 @@ SPAN, GRAM = 100, 64
 WINDOW = SPAN - GRAM + 1
 #: Characters hashed together.
 CHUNK_CHARS = 1_000_000
+#: Runs of one gram that one task compares.
+HOT_KINDS = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -43,7 +47,7 @@ class Hashed:
         raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
         self.size = np.array([len(r) // 4 for r in raw], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        code = np.frombuffer(b"".join(raw), np.uint32)
+        self.code = code = np.frombuffer(b"".join(raw), np.uint32)
         # positions restart with each text, so that powers stay short
         self.position = np.arange(len(code)) - np.repeat(self.start, self.size)
         longest = int(self.size.max()) + 1
@@ -89,79 +93,197 @@ def _long_texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]
 
 
 def to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (gram, doc_id, place)."""
+    """(doc_id, text, h) to (gram, doc_id, h, place)."""
     for batch in batches:
         doc = batch.column("doc_id").to_numpy()
         for rows, texts in _long_texts(batch):
             h = Hashed(texts)
             at, gram = anchors(h)
             owner = np.repeat(rows, h.size)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(doc[owner]), pa.array(h.position[at].astype(np.int32))], names=["gram", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(doc[owner]), batch.column("h").take(pa.array(owner)), pa.array(h.position[at].astype(np.int32))], names=["gram", "doc_id", "h", "place"])
 
 
-def to_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, places) to (edge, before, doc_id, place): k-mers that hold one of the places, and the k-mer before."""
+def first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """For each i the first place of the least of x[i : i + width] (of what is left of x at its end)."""
+    value, place, have = x.copy(), np.arange(len(x)), 1
+    while have < width:
+        step = min(have, width - have)
+        if step < len(x):
+            later = value[step:] < value[:-step]
+            place[:-step] = np.where(later, place[step:], place[:-step])
+            value[:-step] = np.where(later, value[step:], value[:-step])
+        have += step
+    return place
+
+
+def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, places) to (gram, doc_id, start, run): the runs of the minimisers at these places; start is the place
+    of the first k-mer, run the text from there to the end of the last."""
     for batch in batches:
         doc, places = batch.column("doc_id").to_numpy(), batch.column("places").to_pylist()
         for rows, texts in _long_texts(batch):
             h = Hashed(texts)
-            edge = h.windows(SPAN).view(np.int64)
-            mark = np.zeros(len(edge) + 1, np.int32)
+            gram = h.windows(GRAM)
+            gram[h.left < GRAM] = np.iinfo(np.uint64).max
+            wanted = np.zeros(len(gram), bool)
             for i, r in enumerate(rows):
                 p = np.array(places[r], np.int64)
-                np.add.at(mark, h.start[i] + np.maximum(p - WINDOW + 1, 0), 1)
-                np.add.at(mark, h.start[i] + p + 1, -1)
-            at = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (h.left >= SPAN))
-            before = pa.array(edge[np.maximum(at - 1, 0)], mask=h.position[at] == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(edge[at]), before, pa.array(doc[np.repeat(rows, h.size)[at]]), pa.array(h.position[at].astype(np.int32))], names=["edge", "before", "doc_id", "place"])
-
-
-def repeated_edges(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of candidate edges, the edges that stand in several records with what is known of the one before)."""
-    docs = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
-    found = cut(docs.mapInArrow(to_anchors, "gram long, doc_id long, place int"))
-    twice = found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
-    places = cut(found.join(twice, "gram").groupBy("doc_id").agg(F.collect_list("place").alias("places")))
-    wide = docs.join(checked_broadcast(places, places.count(), 40_000), "doc_id").select("doc_id", "text", "places")
-    edges = cut(wide.mapInArrow(to_edges, "edge long, before long, doc_id long, place int"))
-    known = edges.groupBy("edge").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.count("before").alias("nb")
-    )
-    return edges, known.where("lo < hi")
-
-
-def first_edges(repeated: DataFrame) -> DataFrame:
-    """The repeated edges that begin a nonbranching path, with their number of occurrences."""
-    one = F.col("b1").eqNullSafe(F.col("b2")) & (F.col("nb") == F.col("n"))
-    before = repeated.select(F.col("edge").alias("b1"), F.col("n").alias("n_before"))
-    joined = repeated.withColumn("one", one).join(before, "b1", "left")
-    follows = F.col("one") & F.coalesce(F.col("n_before") == F.col("n"), F.lit(False))
-    return joined.where(~follows).select("edge", "n")
+                wanted[h.start[i] + p[p < h.size[i]]] = True
+            least = first_least(gram, WINDOW)
+            at = np.flatnonzero((h.left >= SPAN) & wanted[least])
+            if not len(at):
+                continue
+            new = np.concatenate([[True], (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (h.position[at[1:]] == 0)])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(at)))
+            start = at[first]
+            owner = np.repeat(np.arange(len(rows)), h.size)[start]
+            begin = h.position[start]
+            run = [texts[o][b : b + SPAN + k - 1] for o, b, k in zip(owner.tolist(), begin.tolist(), n.tolist())]
+            columns = [pa.array(gram[least[start]].view(np.int64)), pa.array(doc[rows[owner]]), pa.array(begin.astype(np.int32)), pa.array(run, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "start", "run"])
+
+
+def runs(documents: DataFrame) -> DataFrame:
+    """(gram, kind, doc_id, start, run) of the minimisers that stand in several records; kind is a digest of the run."""
+    docs = documents.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    found = docs.mapInArrow(to_anchors, "gram long, doc_id long, h long, place int")
+    twice = cut(found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"))
+    # the anchors are found again instead of being kept: most of them stand in one record only
+    places = cut(found.join(checked_broadcast(twice, twice.count()), "gram").groupBy("doc_id", "h").agg(F.collect_set("place").alias("places")))
+    wide = docs.join(checked_broadcast(places, places.count(), 40_000), ["doc_id", "h"]).select("doc_id", "text", "places")
+    out = wide.mapInArrow(to_runs, "gram long, doc_id long, start int, run string")
+    return written(out.select("gram", F.unhex(F.md5(F.col("run").cast("binary"))).alias("kind"), "doc_id", "start", "run"))
+
+
+def classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, class) of all k-mers of the texts, by text and place; equal k-mers, and only they, are of one class."""
+    h = Hashed(texts)
+    at = np.flatnonzero(h.left >= SPAN)
+    owner, place = np.repeat(np.arange(len(texts)), h.size)[at], h.position[at]
+    _, first, same = np.unique(h.windows(SPAN)[at], return_index=True, return_inverse=True)
+    for s in range(0, len(at), 20_000):
+        x = slice(s, s + 20_000)
+        if (h.code[at[x, None] + np.arange(SPAN)] != h.code[at[first[same[x]], None] + np.arange(SPAN)]).any():
+            # two k-mers share a hash: they are told apart as texts
+            kmers = [texts[o][p : p + SPAN] for o, p in zip(owner.tolist(), place.tolist())]
+            _, same = np.unique(np.array(kmers, object), return_inverse=True)
+            break
+    return owner, place, same
+
+
+def segments(texts: list[str], lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, place, k-mers, path, occurrences): the nonbranching stretches of repeated k-mers in runs of one gram, each
+    text standing ``n`` times in records ``lo`` to ``hi``. Stretches of one path hold the same k-mers."""
+    owner, place, kmer = classes(texts)
+    most = kmer.max() + 1
+    low, high, total = np.full(most, np.iinfo(np.int64).max), np.full(most, np.iinfo(np.int64).min), np.zeros(most, np.int64)
+    np.minimum.at(low, kmer, lo[owner])
+    np.maximum.at(high, kmer, hi[owner])
+    np.add.at(total, kmer, n[owner])
+    repeated = low < high
+    before = np.where(place == 0, -1, np.concatenate([[-1], kmer[:-1]]))
+    b_low, b_high = np.full(most, most), np.full(most, -1)
+    np.minimum.at(b_low, kmer, before)
+    np.maximum.at(b_high, kmer, before)
+    # all occurrences follow those of one k-mer, which has no others
+    follows = (b_low == b_high) & (b_low >= 0)
+    follows[follows] &= (total[b_low[follows]] == total[follows]) & repeated[b_low[follows]]
+    keep = repeated[kmer]
+    start = np.flatnonzero(keep & ~((place > 0) & follows[kmer]))
+    ends = np.flatnonzero(keep & np.concatenate([(owner[1:] != owner[:-1]) | ~keep[1:] | ~follows[kmer[1:]], [True]]))
+    return owner[start], place[start], ends - start + 1, kmer[start], total[kmer[start]]
+
+
+def compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, kind, run, lo, hi, n) to (gram, kind, place, length, path, n): :func:`segments` of each gram."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    gram = table.column("gram").to_numpy()
+    order = np.argsort(gram, kind="stable")
+    table, gram = table.take(pa.array(order)), gram[order]
+    texts = table.column("run").to_pylist()
+    lo, hi, n = (table.column(c).to_numpy() for c in ("lo", "hi", "n"))
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    out = [[], [], [], [], []]
+    for s, e in zip(first, np.append(first[1:], len(gram))):
+        if lo[s:e].min() == hi[s:e].max():
+            continue
+        owner, *rest = segments(texts[s:e], lo[s:e], hi[s:e], n[s:e])
+        for column, x in zip(out, (s + owner, *rest)):
+            column.append(x)
+    if out[0]:
+        row, place, length, path, total = (np.concatenate(c) for c in out)
+        yield pa.RecordBatch.from_arrays(
+            [table.column(c).combine_chunks().take(pa.array(row)) for c in ("gram", "kind")] + [pa.array(place.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(path.astype(np.int64)), pa.array(total)],
+            names=["gram", "kind", "place", "length", "path", "n"],
+        )
+
+
+def occurrences(documents: DataFrame) -> DataFrame:
+    """(doc_id, place, length, path, n): where the segments of repeated k-mers stand; length is in k-mers, n the number
+    of occurrences of the path.
+
+    Equal runs are compared once. A gram with more than ``HOT_KINDS`` different runs is not brought into one task: its
+    k-mers are grouped as texts by Spark and stay uncompacted.
+    """
+    all_runs = runs(documents)
+    kinds = all_runs.groupBy("gram", "kind").agg(F.first("run").alias("run"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    hot = cut(all_runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KINDS).select("gram"))
+    n_hot = hot.count()  # one gram for that many runs at most
+    hot = checked_broadcast(hot, n_hot)
+    cold = kinds.join(hot, "gram", "left_anti") if n_hot else kinds
+    spread = cold.repartition(partitions(documents.sparkSession, 0, 1), "gram")
+    segs = spread.mapInArrow(compacted, "gram long, kind binary, place int, length int, path long, n long")
+    at = all_runs.select("gram", "kind", "doc_id", "start")
+    name = F.concat_ws(":", "gram", "path")
+    out = segs.join(at, ["gram", "kind"]).select("doc_id", (F.col("start") + F.col("place")).alias("place"), "length", name.alias("path"), "n")
+    if not n_hot:
+        return out
+    each = F.explode(F.sequence(F.lit(0), F.char_length("run") - SPAN)).alias("at")
+    kmers = all_runs.join(hot, "gram").select("doc_id", "start", "run", each).select("doc_id", (F.col("start") + F.col("at")).alias("place"), F.substring(F.col("run"), F.col("at") + 1, F.lit(SPAN)).alias("kmer"))
+    again = kmers.groupBy("kmer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("kmer", "n")
+    return out.unionByName(kmers.join(again, "kmer").select("doc_id", "place", F.lit(1).alias("length"), F.concat(F.lit("t"), "kmer").alias("path"), "n"))
+
+
+def first_segments(occ: DataFrame) -> DataFrame:
+    """(path): paths that do not continue another. A path continues one that ends right before it at all occurrences of
+    both."""
+    before = occ.select("doc_id", (F.col("place") + F.col("length")).alias("place"), F.col("path").alias("before"), F.col("n").alias("n_before"))
+    joined = occ.join(before, ["doc_id", "place"], "left").groupBy("path").agg(F.max("n").alias("n"), F.count("before").alias("seen"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.max("n_before").alias("n_before"))
+    follows = (F.col("seen") == F.col("n")) & (F.col("b1") == F.col("b2")) & (F.col("n_before") == F.col("n"))
+    return joined.where(~F.coalesce(follows, F.lit(False))).select("path")
 
 
 def shared_pairs(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: records whose texts share a verbatim passage of at least ``SPAN`` characters.
 
     Characters are code points. Null, empty and shorter texts, and rows with a null doc_id, share none; a passage that
-    recurs within one record only is not shared. An empty table gives no rows.
+    recurs within one record only is not shared. Rows of one doc_id are one record. An empty table gives no rows.
     """
-    edges, repeated = repeated_edges(documents)
-    heads = cut(first_edges(repeated))
-    where = edges.join(checked_broadcast(heads, heads.count()), "edge").groupBy("edge", "doc_id").agg(F.min("place").alias("place"))
-    where = cut(where.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
-    texts = documents.select("doc_id", "text").join(checked_broadcast(where, where.count(), 40_000), "doc_id")
-    spans = texts.select("doc_id", "text", F.explode(F.array_distinct("places")).alias("place")).select("doc_id", F.substring(F.col("text"), F.col("place") + 1, F.lit(SPAN)).alias("span")).distinct()
-    pairs = spread_pairs(cut(spans), "span", "doc_id")
+    occ = written(occurrences(documents))
+    heads = cut(first_segments(occ))
+    where = occ.join(checked_broadcast(heads, heads.count()), "path").select("path", "doc_id").distinct()
+    pairs = spread_pairs(written(where), "path", "doc_id")
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+def shared_spans(documents: DataFrame) -> DataFrame:
+    """(doc_id, start, length): the longest stretches of each text all of whose characters lie in shared passages."""
+    ends = occurrences(documents).select("doc_id", "place", (F.col("place") + F.col("length") + (SPAN - 1)).alias("end"))
+    order = Window.partitionBy("doc_id").orderBy("place", "end")
+    fresh = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("place"), F.lit(True))
+    island = F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = ends.withColumn("fresh", fresh).withColumn("island", island)
+    return marked.groupBy("doc_id", "island").agg(F.min("place").alias("start"), F.max("end").alias("end")).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"))
+
+
 def shared_characters(documents: DataFrame) -> DataFrame:
     """(doc_id, n_chars, n_shared): of each record the characters of its text (0 for null) and those that lie in passages
     of at least ``SPAN`` characters that also stand in another record."""
-    edges, repeated = repeated_edges(documents)
-    hit = edges.join(repeated.select("edge"), "edge").select("doc_id", "place")
-    following = F.lead("place").over(Window.partitionBy("doc_id").orderBy("place"))
-    covered = hit.withColumn("gap", F.least(F.lit(SPAN), F.coalesce(following - F.col("place"), F.lit(SPAN)))).groupBy("doc_id").agg(F.sum("gap").alias("n_shared"))
+    covered = shared_spans(documents).groupBy("doc_id").agg(F.sum("length").alias("n_shared"))
     all_docs = documents.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
     return all_docs.join(covered, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
