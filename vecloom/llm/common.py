@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as cut
+from ..session import written
 
 #: Keys a broadcast side may hold; a larger side takes a shuffle join instead.
 BROADCAST_KEYS = 400_000
@@ -53,7 +54,8 @@ def latest(df: DataFrame, value: str) -> DataFrame:
     if again is None:
         return once
     order = F.struct("seq", F.xxhash64(value).alias("h"))
-    return once.unionByName(again.groupBy("id").agg(F.max_by(value, order).alias(value)))
+    # kept, as every later scan of the records would shuffle them anew
+    return once.unionByName(written(again.groupBy("id").agg(F.max_by(value, order).alias(value))))
 
 
 def stored_vectors(vectors: DataFrame) -> DataFrame:

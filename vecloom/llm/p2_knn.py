@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage as cut
+from ..session import written
 from .common import checked_broadcast, partitions, repeated_keys, stored_vectors, with_copies
 from .collisions import SortedArrays, Windows, dense, members, projections, radius
 from .vectors import Directions, cell_size, fit_directions, grouped, to_cells, unpack
@@ -185,7 +186,7 @@ def class_rows(records: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]
     side = checked_broadcast(keys, n)
     with_h = records.withColumn("h", F.xxhash64("vector"))
     single = with_h.join(side, "h", "left_anti").select(F.array("id").alias("ids"), "id", "vector")
-    again = with_h.join(side, "h", "left_semi")
+    again = written(with_h.join(side, "h", "left_semi"))
     least = again.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("rn") <= k + 1)
     one = least.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("vector", "id").alias("vector"))
     members = cut(again.select("id", "h").join(checked_broadcast(one.select("h", F.col("ids")[0].alias("rep")), n), "h").select("id", "rep"))
