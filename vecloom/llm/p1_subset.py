@@ -1,10 +1,12 @@
 """A varied subset of each query's results: mini-batch k-means and quotas.
 
 Records are clustered once by their vector and metadata features; the mini-batch k-means starts from rows far apart, is
-fitted on a bounded sample (``SAMPLE_ROWS``), keeps one centroid for each dense group, and every record is assigned. A query's k places are shared among the clusters of its candidates in
-proportion to the square root of the clusters' sizes (or equally) by highest averages: the j-th nearest candidate of a
-cluster of n candidates has the claim sqrt(n) / j, and the k greatest claims win. A cluster that runs out of candidates
-has no further claims, so its unused places go to the others. Within a cluster the nearest candidates win.
+fitted on a bounded sample (``SAMPLE_ROWS`` to ``SAMPLE_MOST``, with the data), keeps one centroid for each dense group,
+and every record is assigned. A query's k places are shared among the clusters of its candidates in proportion to the
+square root of the clusters' sizes (or equally) by highest averages: the j-th nearest candidate of a cluster of n
+candidates has the claim sqrt(n) / j, and the k greatest claims win. A cluster that runs out of candidates has no
+further claims, so its unused places go to the others. Within a cluster the nearest candidates win, as results are to
+stay near.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ from .p4_top_n import candidates
 from .p6_rank_fusion import number
 from .vectors import by_size, minibatch_kmeans, unit
 
-SAMPLE_ROWS = 20_000
-CLUSTERS = 128
+#: Rows of the sample: one in ``SHARE``, at least and at most these.
+SAMPLE_ROWS, SAMPLE_MOST, SHARE = 20_000, 160_000, 25
+#: Clusters: one for so many records, at least ``CLUSTERS`` in all and ``OF_A_SIZE`` for each vector size if its sample
+#: allows.
+CLUSTERS, CLUSTER_ROWS, OF_A_SIZE = 128, 4_000, 4
 #: Centroids of at least this cosine stand for one group, however many records it has.
 SAME_GROUP = 0.9
 #: Hashed category features (count, weight) beside the vector's; numeric fields get this weight each.
@@ -32,11 +37,13 @@ NUMBERS = ("popularity", "recency", "rating")
 
 
 def features(vectors: DataFrame) -> DataFrame:
-    """(id, vector, category, n0, n1, n2) of every stored record, metadata null where it is absent or of no use."""
+    """(id, vector, category, n0, n1, n2, flag) of every stored record, metadata null where it is absent or of no use."""
     meta = F.from_json("metadata", "map<string,string>")
     fields = [number(F.try_element_at(meta, F.lit(f))).alias(f"n{i}") for i, f in enumerate(NUMBERS)]
     category = F.lower(F.trim(F.try_element_at(meta, F.lit("category"))))
-    return stored_vectors(vectors).join(stored_metadata(vectors), "id", "left").select("id", "vector", category.alias("category"), *fields)
+    published = F.lower(F.get_json_object("metadata", "$.flags.published"))
+    flag = F.when(published == "true", 1.0).when(published == "false", -1.0)
+    return stored_vectors(vectors).join(stored_metadata(vectors), "id", "left").select("id", "vector", category.alias("category"), *fields, flag.alias("flag"))
 
 
 def matrix(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -45,7 +52,8 @@ def matrix(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, np.ndarray,
 
     category = batch.column("category").to_pylist()
     place = np.array([-1 if c is None else zlib.crc32(c.encode()) % BUCKETS for c in category], np.int64)
-    numbers = np.stack([batch.column(f"n{i}").to_numpy(zero_copy_only=False) if not isinstance(batch, pa.Table) else batch.column(f"n{i}").to_numpy() for i in range(len(NUMBERS))], axis=1).astype(np.float64)
+    column = lambda c: batch.column(c).to_numpy() if isinstance(batch, pa.Table) else batch.column(c).to_numpy(zero_copy_only=False)
+    numbers = np.stack([column(c) for c in (*[f"n{i}" for i in range(len(NUMBERS))], "flag")], axis=1).astype(np.float64)
     numbers = np.where(np.isfinite(numbers), np.sign(numbers) * np.log1p(np.abs(numbers)), 0.0)
     numbers = (numbers / (1 + np.abs(numbers)) * NUMBER_WEIGHT).astype(np.float32)
     for d, rows, m in by_size(batch.column("vector")):
@@ -76,15 +84,17 @@ def distinct_centroids(c: np.ndarray) -> np.ndarray:
     return c[kept]
 
 
-def fit_clusters(records: DataFrame, rows: int, k: int = CLUSTERS, sample_rows: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
+def fit_clusters(records: DataFrame, rows: int, k: int | None = None, sample_rows: int | None = None) -> dict[int, np.ndarray]:
     """Centroids by vector size from at most about ``sample_rows`` records chosen by a hash of the id."""
+    sample_rows = sample_rows or min(SAMPLE_MOST, max(SAMPLE_ROWS, rows // SHARE))
+    k = k or max(CLUSTERS, rows // CLUSTER_ROWS)
     share = min(1.0, sample_rows / max(rows, 1))
     sample = records.where(F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).toArrow()
     parts = list(matrix(sample)) if sample.num_rows else []
     total = sum(len(m) for _, _, m in parts)
     out = {}
     for d, _, m in parts:
-        n = max(1, min(k, round(k * len(m) / total), len(m) // 8))
+        n = max(1, min(k, max(OF_A_SIZE, round(k * len(m) / total)), len(m) // 8))
         m = m / np.linalg.norm(m, axis=1)[:, None]
         out[d] = distinct_centroids(minibatch_kmeans(m, n, start=spread_start(m, n)))
     return out

@@ -20,7 +20,7 @@ from ..session import cut_lineage as cut
 from .p7_encode import RANKS, token_counts
 
 CAPACITY = 2_048
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 25_000
 #: Rounds of exchange; after the last one every partition keeps what it has, so none ever holds more than its share.
 ROUNDS = 6
 
