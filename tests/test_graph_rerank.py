@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from vecloom.functions.metrics import METRICS
 from vecloom.operators.graph import communities, connected_components, relationships
 from vecloom.operators.rerank import diversity, rerank, weighted
 
@@ -30,6 +31,27 @@ def test_threshold_is_checked(spark):
     assert relationships(df, 1.0).isEmpty() and communities(df, 1.0).isEmpty()
 
 
+@pytest.mark.parametrize("name,t", [("euclidean", 0.5), ("cosine", 0.05), ("manhattan", 2.0), ("squared_euclidean", 0.25), ("chebyshev", 0.2), ("hamming", 5)])
+def test_cells_and_blocks_lose_nothing(spark, monkeypatch, name, t):
+    from vecloom.operators import graph
+
+    rng = np.random.default_rng(2)
+    c = 3 * rng.normal(size=(12, 8))
+    m = (c[rng.integers(0, 12, 300)] + 0.12 * rng.normal(size=(300, 8))).round(1).astype(np.float32)
+    df = spark.createDataFrame([(int(i), f"p{i % 2}", x.tolist()) for i, x in enumerate(m)], "id int, partition_id string, vector array<float>").repartition(4)
+    v = m.astype(np.float64)
+    d = METRICS[name].block(v, v)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if METRICS[name].pairs(v[i : i + 1], v[j : j + 1])[0] <= t}
+    assert len(want) > 200 and len(d) == 300
+    for pivot_rows, block_rows in ((2_048, 16_384), (10, 16_384), (10, 9), (2_048, 40)):
+        monkeypatch.setattr(graph, "PIVOT_ROWS", pivot_rows)
+        monkeypatch.setattr(graph, "BLOCK_ROWS", block_rows)
+        got = [(r.id_a, r.id_b) for r in relationships(df, t, name, "global").collect()]
+        assert len(got) == len(set(got)) and set(got) == want, (pivot_rows, block_rows)
+        got = [(r.id_a, r.id_b) for r in relationships(df, t, name).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in want if i % 2 == j % 2}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
     got = {r.id: r.community for r in connected_components(spark.createDataFrame(chain, "id_a int, id_b int")).collect()}

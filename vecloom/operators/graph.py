@@ -11,37 +11,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import METRICS, doubles, metric, normalized, total
+from ..functions.metrics import METRICS, doubles, metric
 from ..schema import check_threshold
 from ..session import cut_lineage
+from .search import within
 
 #: Rows of a block; a task multiplies two blocks.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
+#: Rows aimed at in the cell of a pivot, and the most pivots of a vector size (their vectors go to every task).
+PIVOT_ROWS, PIVOTS = 2_048, 1_024
+#: Share of the cells that a row may visit before cells are given up for plain blocks.
+VISITED = 0.25
 #: Edges whose components one task finds.
 SMALL_EDGES = 500_000
 
 
 def _joined(name: str, threshold: float):
+    """Pairs of a group (columns id, part, home, vector): home rows with each other, and with its visitors."""
     m = METRICS[name]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        lo = group[group["block__"] == group["lo__"]]
-        hi = lo if group["lo__"].iloc[0] == group["hi__"].iloc[0] else group[group["block__"] == group["hi__"]]
+    def run(group: pd.DataFrame, across: bool = False) -> pd.DataFrame:
+        first = group["home"].to_numpy(bool)
         out = []
-        if len(lo) and len(hi):
-            a, b = np.stack(lo["vector"].to_numpy()), np.stack(hi["vector"].to_numpy())
-            x, y = lo["id"].to_numpy(), hi["id"].to_numpy()
-            for s in range(0, len(a), 1_024):
-                r, c = np.nonzero(m.block(a[s : s + 1_024], b) <= threshold + 1e-6)
-                r = r + s
-                keep = x[r] < y[c] if lo is hi else x[r] != y[c]
-                r, c = r[keep], c[keep]
+        if first.any():
+            v, ids = np.stack(group["vector"].to_numpy()), group["id"].to_numpy()
+            a, x = v[first], ids[first]
+            # home rows come first, so that a pair of two of them is met once; across blocks they do not meet here
+            b, y = (v[~first], ids[~first]) if across else (np.concatenate([a, v[~first]]), np.concatenate([x, ids[~first]]))
+            for s in range(0, len(a), 512):
+                q = a[s : s + 512]
+                r, c = np.nonzero(m.block(q, b) <= within(m, q, b, np.full((len(q), 1), threshold)))
+                keep = (across | (r + s < c)) & (x[r + s] != y[c])
+                r, c = r[keep] + s, c[keep]
                 d = m.pairs(a[r], b[c])
                 ok = d <= threshold
-                first = x[r[ok]] < y[c[ok]]
-                out.append(pd.DataFrame({"id_a": np.where(first, x[r[ok]], y[c[ok]]), "id_b": np.where(first, y[c[ok]], x[r[ok]]), "dist": d[ok]}))
+                low = x[r[ok]] < y[c[ok]]
+                out.append(pd.DataFrame({"id_a": np.where(low, x[r[ok]], y[c[ok]]), "id_b": np.where(low, y[c[ok]], x[r[ok]]), "dist": d[ok]}))
         part = group["scope__"].iloc[0]
-        return pd.concat(out).assign(scope=part) if out else pd.DataFrame({"id_a": [], "id_b": [], "dist": [], "scope": []})
+        return pd.concat(out).assign(scope=part) if out else pd.DataFrame({"id_a": [], "id_b": [], "dist": [], "scope": []}, dtype=object)
+
+    return run
+
+
+def _blocks(name: str, threshold: float):
+    """Pairs of a pair of blocks: each of the two with itself where they are one, else one with the other."""
+    run = _joined(name, threshold)
+
+    def both(group: pd.DataFrame) -> pd.DataFrame:
+        if group["lo__"].iloc[0] == group["hi__"].iloc[0]:
+            return run(group.assign(home=group["own__"]))
+        # rows at home of one block meet all of the other; two home rows must meet once
+        low = group["block__"] == group["lo__"]
+        out = [run(group[(low & group["own__"]) | ~low].assign(home=lambda g: g["block__"] == g["lo__"]), across=True), run(group[(~low & group["own__"]) | (low & ~group["own__"])].assign(home=lambda g: g["block__"] == g["hi__"]), across=True)]
+        return pd.concat(out).assign(scope=group["scope__"].iloc[0])
+
+    return both
+
+
+def _flat(name: str, m: np.ndarray) -> np.ndarray:
+    """Vectors among which the distance of ``_TRIANGLE`` is a Euclidean, Manhattan, Chebyshev or Hamming distance."""
+    if name != "cosine":
+        return m
+    n = np.sqrt((m * m).sum(1))[:, None]
+    return m / np.where(n == 0, 1, n)
+
+
+#: The distance that obeys the triangle inequality, and the reach in it of a threshold, of each metric that has one.
+_TRIANGLE = {
+    "euclidean": ("euclidean", lambda t: t), "squared_euclidean": ("euclidean", lambda t: t**0.5), "cosine": ("euclidean", lambda t: (2 * min(t, 2.0)) ** 0.5), "manhattan": ("manhattan", lambda t: t), "chebyshev": ("chebyshev", lambda t: t), "hamming": ("hamming", lambda t: t),
+}
+
+
+def _visits(name: str, reach: float, vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell of each row, rows x cells: the cells before it that may hold a row within ``reach``).
+
+    Two rows within t of each other, one at home with pivot p and one with q, have d(x, q) - d(x, p) <= 2 t.
+    """
+    d = METRICS[_TRIANGLE[name][0]].block(_flat(name, vectors), pivots)
+    home = d.argmin(1)
+    near = d - d[np.arange(len(d)), home][:, None] <= 2 * reach * (1 + 1e-9) + 1e-6 * (1 + d.max(initial=0.0))
+    return home, near & (np.arange(len(pivots)) < home[:, None])
+
+
+def _pivots(rows: DataFrame, name: str, reach: float, count: int, seed: int = 4) -> dict[int, np.ndarray]:
+    """Pivots of every vector size for which cells spare work, from a bounded sample of the rows."""
+    share = min(1.0, 8 * PIVOTS / max(count, 1))
+    sample = [np.asarray(r.vector, np.float64) for r in rows.where(F.rand(seed) < share).select("vector").limit(16 * PIVOTS).collect()]
+    out = {}
+    for n in {len(v) for v in sample}:
+        m = np.stack([v for v in sample if len(v) == n])
+        k = min(PIVOTS, int(count * len(m) / len(sample)) // PIVOT_ROWS, len(m) // 2)
+        if k < 4:
+            continue
+        pivots, rest = _flat(name, m[:k]), m[k:]
+        if _visits(name, reach, rest, pivots)[1].mean() * 2 <= VISITED:
+            out[n] = pivots
+    return out
+
+
+def _to_cells(name: str, reach: float, pivots: dict[int, np.ndarray]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch["vector"]])
+            for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
+                if n in pivots:
+                    home, near = _visits(name, reach, np.stack([np.asarray(v, np.float64) for v in batch["vector"].iloc[rows]]), pivots[n])
+                    r, c = np.nonzero(near)
+                    at, cell, own = np.concatenate([rows, rows[r]]), np.concatenate([home, c]), np.arange(len(rows) + len(r)) < len(rows)
+                else:
+                    at, cell, own = rows, np.full(len(rows), -1), np.ones(len(rows), bool)
+                yield pd.DataFrame({c: batch[c].to_numpy(object)[at] for c in batch.columns}).assign(cell__=cell.astype(np.int32), own__=own)
 
     return run
 
@@ -51,10 +131,10 @@ def relationships(
 ) -> DataFrame:
     """(id_a, id_b, partition_id, dist[, metadata_a, metadata_b]): pairs of records of one size within ``threshold``.
 
-    ``scope`` 'partition' compares within partitions only, 'global' all records (partition_id is then null). Records are
-    cut into blocks along one projection. For Euclidean and cosine distances two blocks meet only if the projection lets
-    them hold a pair, which loses nothing as |a.x - a.y| <= |x - y|; the other metrics meet all blocks of a partition and
-    size. Null, empty and (for cosine) all-zero vectors have no relationships.
+    ``scope`` 'partition' compares within partitions only, 'global' all records (partition_id is then null). Where the
+    threshold is small beside the spread of the records, they are cut into the cells of pivots, and a record meets the
+    cells that the triangle inequality cannot rule out; nothing is lost. Otherwise, and within large cells, blocks of
+    ``BLOCK_ROWS`` meet pair by pair. Null, empty and (for cosine) all-zero vectors have no relationships.
     """
     t = check_threshold(threshold)
     m = metric(metric_name)
@@ -64,26 +144,28 @@ def relationships(
         records = records.where(F.col("partition_id").isin(partition_ids))
     part = F.col("partition_id").cast("string") if scope == "partition" and "partition_id" in records.columns else F.lit(None).cast("string")
     rows = records.where(F.size(vector) > 0).select(F.col(id).alias("id"), part.alias("scope__"), doubles(F.col(vector)).alias("vector"))
-    along = normalized(F.col("vector")) if m.name == "cosine" else F.col("vector")
-    # a fixed direction with components of mixed size and sign
-    direction = F.transform(along, lambda x, i: x * F.sin((i + 1) * 1.7))
-    length = F.sqrt(F.aggregate(F.transform(along, lambda x, i: F.pow(F.sin((i + 1) * 1.7), 2)), F.lit(0.0), lambda s, x: s + x))
-    rows = rows.withColumn("place__", total(direction) / length)
     if m.name == "cosine":
         rows = rows.where(F.exists("vector", lambda x: x != 0))
     count = rows.count()
-    blocks = max(1, -(-count // BLOCK_ROWS))
-    edges = sorted(set(rows.approxQuantile("place__", [i / blocks for i in range(1, blocks)], 0.5 / blocks))) if blocks > 1 else []
-    reach = {"euclidean": t, "squared_euclidean": t**0.5, "cosine": (2 * min(t, 2.0)) ** 0.5, "manhattan": t}.get(m.name)
-    bounds = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
-    at = lambda v: F.size(F.filter(bounds, lambda e: e <= v)) if edges else F.lit(0)
-    place = F.col("place__")
-    rows = rows.withColumn("block__", at(place))
-    lowest, highest = (at(place - (reach + 1e-6)), at(place + (reach + 1e-6))) if reach is not None else (F.lit(0), F.lit(len(edges)))
-    met = rows.withColumn("other__", F.explode(F.sequence(lowest, highest))).withColumn("lo__", F.least("block__", "other__")).withColumn("hi__", F.greatest("block__", "other__"))
+    reach = _TRIANGLE[m.name][1](t)
+    pivots = _pivots(rows, m.name, reach, count) if count > 4 * PIVOT_ROWS else {}
     id_type = dict(rows.dtypes)["id"]
-    pairs = met.select("id", "scope__", "vector", "block__", "lo__", "hi__", F.size("vector").alias("size__")).groupBy("scope__", "size__", "lo__", "hi__")
-    found = pairs.applyInPandas(_joined(m.name, t), f"id_a {id_type}, id_b {id_type}, dist double, scope string").select("id_a", "id_b", F.col("scope").alias("partition_id"), "dist")
+    if pivots:
+        placed = rows.mapInPandas(_to_cells(m.name, reach, pivots), f"id {id_type}, scope__ string, vector array<double>, cell__ int, own__ boolean")
+    else:
+        placed = rows.withColumn("cell__", F.lit(-1)).withColumn("own__", F.lit(True))
+    placed = placed.withColumn("size__", F.size("vector"))
+    keys = ["scope__", "size__", "cell__"]
+    if count > BLOCK_ROWS:
+        # as many rows as scopes, sizes and cells
+        blocks = cut_lineage(placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks__")).withColumn("scope__", F.coalesce("scope__", F.lit(""))))
+        placed = placed.withColumn("scope2__", F.coalesce("scope__", F.lit(""))).join(blocks.withColumnRenamed("scope__", "scope2__"), ["scope2__", *keys[1:]]).drop("scope2__")
+    else:
+        placed = placed.withColumn("blocks__", F.lit(1))
+    block = F.pmod(F.xxhash64("id", "vector"), F.col("blocks__")).cast("int")
+    met = placed.withColumn("block__", block).withColumn("other__", F.explode(F.sequence(F.lit(0), F.col("blocks__") - 1))).withColumn("lo__", F.least("block__", "other__")).withColumn("hi__", F.greatest("block__", "other__"))
+    pairs = met.select("id", "scope__", "vector", "size__", "cell__", "lo__", "hi__", "block__", "own__").groupBy(*keys, "lo__", "hi__")
+    found = pairs.applyInPandas(_blocks(m.name, t), f"id_a {id_type}, id_b {id_type}, dist double, scope string").select("id_a", "id_b", F.col("scope").alias("partition_id"), "dist")
     if not include_metadata:
         return found
     # the same id may live in two partitions

@@ -97,7 +97,7 @@ def _exact(m: Metric, q: np.ndarray, v: np.ndarray, penalty: float) -> np.ndarra
     return np.sqrt(d * d + gap) if m.name == "euclidean" and gap else d
 
 
-def _reach(m: Metric, q: np.ndarray, v: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def within(m: Metric, q: np.ndarray, v: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """What a block distance may be of a row whose exact distance is within ``cut`` (queries x 1, in block distances).
 
     Blocks of Euclidean distances are sums that cancel: their squares are off by some rounding units of the squared
@@ -146,7 +146,7 @@ def _block_search(m: Metric, queries: pd.DataFrame, penalty: float, exact_size:
                             near = d[:, cols]
                             cut = np.partition(near, most - 1, axis=1)[:, most - 1 : most] if near.shape[1] > most else np.full((len(q), 1), np.inf)
                             # all that may be within the cut stay; exact distances settle them
-                            i, j = np.nonzero((near <= _reach(m, q, w[cols], cut)) & np.isfinite(near))
+                            i, j = np.nonzero((near <= within(m, q, w[cols], cut)) & np.isfinite(near))
                             exact = _exact(m, q[i], w[cols[j]], penalty)
                             if len(i) > most * len(q):
                                 best = np.lexsort((order[r[cols[j]]], sign * exact, i))
@@ -190,7 +190,7 @@ def _met(m: Metric, schema: str, penalty: float, exact_size: bool, not_self: boo
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = list(_block_search(m, a, penalty, exact_size, not_self, per_partition)(iter([b]))) if len(a) and len(b) else []
-        return parts[0] if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return parts[0] if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}, dtype=object)
 
     return run
 
