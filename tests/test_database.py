@@ -71,11 +71,26 @@ def test_numbers_are_given_out_once(spark, tmp_path):
 def test_catalogue_is_saved_with_each_change(spark, tmp_path):
     path = str(tmp_path / "db")
     db = Database(spark, path, partitioning={"capacity": 2})
+    db.create_partition("p1")
+    assert list(Database(spark, path).catalog) == ["p1"]
     db.bulk_add(random_rows(3))
     other = Database(spark, path)
     assert other.stats()["vector_count"] == 3 and list(other.catalog) == ["p1", "p2"] and other.active_partition() == "p2"
 
 
+def test_bad_items_stamps_and_progress(spark):
+    db, steps = Database(spark), []
+    out = db.bulk_add([{"id": "a", "vector": [1.0, 2.0]}, {"id": "b"}, {"id": "c", "vector": []}, {"id": True, "vector": [1.0]}, {"id": "d", "vector": ["x"]}, {"id": "e", "vector": [3.0], "metadata": {"k": 1}}], skip_bad=True, stamp=True, progress=lambda share, step: steps.append(share))
+    assert out["count"] == 2 and out["skipped"] == [1, 2, 3, 4] and steps == sorted(steps) and steps[-1] == 1.0
+    assert db.get_metadata("a")["dimension"] == 2 and db.get_metadata("e")["k"] == 1 and "createdAt" in db.get_metadata("e")
+    with pytest.raises(KeyError):
+        db.bulk_add([{"id": "b"}])
+    db.create_partition("other", active=True)
+    db.bulk_add([{"id": "z", "vector": [1.0, 2.0]}])
+    db.build_index("hnsw", partition_ids=["other"], progress=lambda share, step: steps.append((share, step)))
+    assert steps[-2:] == [(0.0, "hnsw"), (1.0, "hnsw")] and [r.id for r in db.search([1.0, 2.0], 5, method="hnsw").collect()] == ["z"]
+
+
 def test_single_precision(spark):
     db = Database(spark)
     db.add_vector([0.1, 0.2, 0.3], id="a")
@@ -133,10 +148,22 @@ def test_search_everywhere(spark):
     assert db.metadata_search({"group": 1}, limit=2).count() == 2
     first = db.search(q, 5, use_cache=True)
     assert db.search(q, 5, use_cache=True) is first and db.search(q, 4, use_cache=True) is not first
+    for kind, options in (("ivf", {"nprobe": 16}), ("lsh", {"probes": 8}), ("pq", {"exact_from": 80}), ("hnsw", {})):
+        rows = db.batch_search([q, [0.5] * 10], 3, method=kind, **options).collect()
+        assert {r.id for r in rows if r.query_id == 0 and r["rank"] == 1} == {"test-3"} and len(rows) == 6 and all(r.partition_id for r in rows), kind
+    assert db.stats()["clusters"]["count"] == 16 and db.cluster_stats().agg(F.sum("size")).first()[0] == 80
     db.add_vector([0.0] * 10, id="new")
     assert db.search(q, 5, use_cache=True) is not first
     with pytest.raises(ValueError):
-        db.search(q, 5, method="hnsw")  # a change dropped it
+        db.search(q, 5, method="ivf")  # a change dropped it
+    # a graph follows changes
+    assert db.search([0.0] * 10, 1, method="hnsw").first().id == "new"
+    db.update_vector("new", [9.0] * 10)
+    assert db.search([9.0] * 10, 1, method="hnsw").first().id == "new" != db.search([0.0] * 10, 1, method="hnsw").first().id
+    db.delete_vector("test-3")
+    assert db.search(q, 1, method="hnsw").first().id != "test-3"
+    line = db.snapshot()
+    assert line["errors"] == db.stats()["errors"] == 1 and line["searches"] == len(db.log) and list(db.history) == [line]
     s = db.search_stats().first()
     assert s.searches == len(db.log) > 0 and 0 < s.hit_rate < 1
     assert db.communities(10.0).select("community").distinct().count() == 1

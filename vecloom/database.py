@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import threading
 import time
 from collections import OrderedDict, defaultdict, deque
 from collections.abc import Callable, Iterable, Sequence
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .config import config as make_config
 from .functions.filters import lookup
 from .functions.metrics import metric
-from .operators import graph, monitor, mutations, stats
+from .operators import cluster, graph, monitor, mutations, stats
 from .operators.index.hnsw import SmallWorldIndex
 from .operators.index.ivf import ClusterIndex
 from .operators.index.lsh import SignHashIndex
@@ -52,8 +53,11 @@ class Database:
         self.counter = 1
         self.closed = False
         self.records = spark.createDataFrame([], RECORDS)
+        self.history: deque = deque(maxlen=self.config["monitoring"]["history"])
+        self._snapped = time.time()
+        self._writing = threading.RLock()
         self._table = VersionedTable(spark, f"{self.path}/records", "partition_id") if self.path else None
-        if self._table and self._table.current():
+        if self._table and (self._table.current() or self._table.state()):
             self.load()
 
     # --- events -------------------------------------------------------------------------------------------------
@@ -71,8 +75,11 @@ class Database:
     def _state(self) -> dict[str, Any]:
         return {"partitions": list(self.catalog.values()), "counter": self.counter}
 
-    def _commit(self, records: DataFrame) -> None:
-        """Make ``records`` the current version, together with the catalogue and the counter."""
+    def _commit(self, records: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Make ``records`` the current version, together with the catalogue and the counter.
+
+        Graphs take the rows that were ``added`` and drop those that were ``removed``; the other indexes are dropped.
+        """
         if self._table:
             self._table.save(records.select(*_COLUMNS), self._state())
             self.records = self._table.load(RECORDS)
@@ -80,13 +87,24 @@ class Database:
             self.records = cut_lineage(records)
         self.version += 1
         self.cache.clear()
+        graph_index = self.indexes.get("hnsw") if added is not None or removed is not None else None
         self.indexes.clear()
+        if graph_index is not None:
+            if removed is not None:
+                graph_index = graph_index.remove(keyed(removed))
+            if added is not None:
+                graph_index = graph_index.insert(keyed(added))
+            self.indexes["hnsw"] = graph_index
+
+    def _changed(self) -> None:
+        """Keep the catalogue as soon as it changes."""
+        if self._table and self.config["auto_save"]:
+            self._table.save_state(self._state())
 
     def save(self) -> None:
         """Save the catalogue and the counter; records are saved by every change."""
         if self._table and self._table.state() != self._state():
-            self._table.save(self.records.select(*_COLUMNS), self._state())
-            self.records = self._table.load(RECORDS)
+            self._table.save_state(self._state())
         self._emit("db:save", path=self.path)
 
     def load(self) -> None:
@@ -121,6 +139,7 @@ class Database:
         self.catalog[partition_id] = {"partition_id": partition_id, "partition_name": name or partition_id, "active": False, "capacity": capacity or self.config["partitioning"]["capacity"], "description": description}
         if active or first:
             self.set_active_partition(partition_id)
+        self._changed()
         self._emit("partition:create", id=partition_id)
         return partition_id
 
@@ -129,6 +148,7 @@ class Database:
             raise KeyError(partition_id)
         for p in self.catalog.values():
             p["active"] = p["partition_id"] == partition_id
+        self._changed()
         self._emit("partition:activate", id=partition_id)
 
     def active_partition(self) -> str | None:
@@ -154,26 +174,42 @@ class Database:
         self.bulk_add([{"id": id, "vector": values, "metadata": metadata}])
         return str(self.counter - 1) if id is None else str(id)
 
-    def bulk_add(self, items: DataFrame | Iterable[dict]) -> dict[str, Any]:
+    def bulk_add(self, items: DataFrame | Iterable[dict], skip_bad: bool = False, stamp: bool = False, progress: Callable[[float, str], None] | None = None) -> dict[str, Any]:
         """Write records in order: a DataFrame (id, id_is_num, vector, metadata, and seq for the order) or dicts.
 
         The active partition is filled to its capacity, then new ones are made. An id written before keeps its
-        partition's place only if it is written again there: the new row wins and is counted once. Returns the count and
-        the partitions written to.
+        partition's place only if it is written again there: the new row wins and is counted once. ``skip_bad`` leaves out
+        dicts without a usable vector and reports their places; ``stamp`` adds dimension and createdAt to the metadata.
+        ``progress`` is called with a share and a word. Returns the count and the partitions written to. Writers of one
+        database take turns.
         """
+        with self._writing:
+            return self._bulk_add(items, skip_bad, stamp, progress or (lambda share, step: None))
+
+    def _bulk_add(self, items: DataFrame | Iterable[dict], skip_bad: bool, stamp: bool, progress: Callable[[float, str], None]) -> dict[str, Any]:
         self._check_open()
+        skipped: list[int] = []
         if not isinstance(items, DataFrame):
-            rows = []
+            rows, now = [], datetime.datetime.now(datetime.timezone.utc).isoformat()
             for i, x in enumerate(items):
-                text, number = (None, None) if x.get("id") is None else encode_id(x["id"])
+                try:
+                    text, number = (None, None) if x.get("id") is None else encode_id(x["id"])
+                    vector = check_vector(x["vector"], strict=skip_bad)
+                except (KeyError, TypeError, ValueError):
+                    if not skip_bad:
+                        raise
+                    skipped.append(i)
+                    continue
                 meta = x.get("metadata")
-                rows.append((text, number, [float(c) for c in x["vector"]], None if meta is None else json.dumps(meta), i))
+                meta = {**(meta or {}), "dimension": len(vector), "createdAt": now} if stamp else meta
+                rows.append((text, number, vector, None if meta is None else json.dumps(meta), i))
             items = self.spark.createDataFrame(rows, "id string, id_is_num boolean, vector array<float>, metadata string, seq bigint")
         batch = items.select("id", "id_is_num", F.col("vector").cast("array<float>").alias("vector"), "metadata", "seq").where("vector IS NOT NULL")
         batch = cut_lineage(mutations.numbered(batch, ["seq"]))
         count = batch.count()
         if not count:
-            return {"count": 0, "partition_ids": []}
+            return {"count": 0, "partition_ids": [], "skipped": skipped}
+        progress(0.2, "numbered")
         last = self.records.agg(F.max("seq")).first()[0]
         base = 0 if last is None else last + 1
         batch = cut_lineage(mutations.assign_ids(batch, self.counter))
@@ -194,9 +230,11 @@ class Database:
         where = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("partition_no") + 1)
         new = cut_lineage(placed.select(where.alias("partition_id"), "id", "id_is_num", (F.col("pos") + base).alias("seq"), "vector", "metadata"))
         used = sorted(r[0] for r in new.select("partition_id").distinct().collect())
-        self._commit(mutations.upsert(self.records, new))
+        progress(0.6, "placed")
+        self._commit(mutations.upsert(self.records, new), added=new)
+        progress(1.0, "written")
         self._emit("vector:bulk" if count > 1 else "vector:add", count=count, partitions=used)
-        return {"count": count, "partition_ids": used}
+        return {"count": count, "partition_ids": used, "skipped": skipped}
 
     def delete_vector(self, id: int | str) -> bool:
         return self.delete_vectors([id]) == 1
@@ -207,7 +245,7 @@ class Database:
         gone = self.spark.createDataFrame([encode_id(i) for i in ids], "id string, id_is_num boolean")
         n = self.records.join(gone.distinct(), ["id", "id_is_num"], "left_semi").count()
         if n:
-            self._commit(mutations.delete(self.records, gone))
+            self._commit(mutations.delete(self.records, gone), removed=gone)
             self._emit("vector:delete", count=n)
         return n
 
@@ -216,7 +254,7 @@ class Database:
         if not self.has_vector(id):
             return False
         change = self.spark.createDataFrame([(*encode_id(id), check_vector(vector))], "id string, id_is_num boolean, vector array<float>")
-        self._commit(mutations.update_vectors(self.records, change))
+        self._commit(mutations.update_vectors(self.records, change), added=change.join(self.records.select("id", "id_is_num", "partition_id"), ["id", "id_is_num"]))
         return True
 
     def set_metadata(self, id: int | str, metadata: dict | None) -> bool:
@@ -270,14 +308,20 @@ class Database:
 
     # --- indexes -------------------------------------------------------------------------------------------------
 
-    def build_index(self, kind: str, **parameters: Any) -> Any:
-        """Build an index over all records; a change of records drops it. Indexes hold keys that tell 1 from "1"."""
+    def build_index(self, kind: str, partition_ids: Sequence[str] | None = None, progress: Callable[[float, str], None] | None = None, **parameters: Any) -> Any:
+        """Build an index over all records, or those of some partitions. Indexes hold keys that tell 1 from "1".
+
+        A change of records drops it, but a graph follows insertions and deletions. ``progress`` is called with a share
+        and a word.
+        """
+        progress = progress or (lambda share, step: None)
+        progress(0.0, kind)
         if kind not in INDEX_KINDS:
             raise ValueError(f"unknown index {kind!r}; known: {', '.join(INDEX_KINDS)}")
-        records = keyed(self.records)
+        records = keyed(restricted(self.records, None, partition_ids))
         with self.timer.measure(f"index:{kind}"):
             if kind == "ivf":
-                n = parameters.pop("clusters", None) or max(1, self.records.count() // self.config["clustering"]["cluster_size"])
+                n = parameters.pop("clusters", None) or max(1, records.count() // self.config["clustering"]["cluster_size"])
                 index = ClusterIndex.build(records, n, **parameters)
             elif kind == "lsh":
                 c = self.config["lsh"]
@@ -289,6 +333,7 @@ class Database:
                 c = self.config["hnsw"]
                 index = SmallWorldIndex.build(records, **{"m": c["m"], "ef_construction": c["ef_construction"], **parameters})
         self.indexes[kind] = index
+        progress(1.0, kind)
         self._emit("index:build", kind=kind)
         return index
 
@@ -331,7 +376,11 @@ class Database:
             return self.cache[key]
         began = time.perf_counter()
         n = max(fetch_k or k, k) + offset
-        found = self._nearest(query, n, method, name, filter, partition_ids, nprobe, probes, ef_search)
+        try:
+            found = self._nearest(query, n, method, name, filter, partition_ids, nprobe, probes, ef_search)
+        except Exception as e:
+            self._logged(method, (time.perf_counter() - began) * 1000, k, None, f"{type(e).__name__}: {e}"[:500])
+            raise
         best = F.col("dist").desc() if metric(name).similarity else F.col("dist").asc()
         rows = cut_lineage(found)
         records = keyed(self.records)
@@ -376,15 +425,31 @@ class Database:
         allowed = None if filter is None else restricted(keyed(self.records), filter, partition_ids)
         return index.search(query, n, ef_search or c["hnsw"]["ef_search"], allowed, partition_ids).select("id", "dist")
 
-    def batch_search(self, queries: DataFrame | Sequence[Sequence[float]], k: int | None = None, metric_name: str | None = None, filter: Any = None) -> DataFrame:
+    def batch_search(self, queries: DataFrame | Sequence[Sequence[float]], k: int | None = None, metric_name: str | None = None, filter: Any = None, method: str = "exact", **options: Any) -> DataFrame:
         """(query_id, rank, partition_id, id, id_is_num, dist) of many queries, a DataFrame (query_id, qvector[, k,
-        partition_ids]) or vectors numbered from 0."""
+        partition_ids]) or vectors numbered from 0. ``method`` 'exact' searches all records (that pass ``filter``); an
+        index's name searches through that index with its ``options`` (and then takes no filter)."""
         self._check_open()
         if not isinstance(queries, DataFrame):
             queries = self.spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], "query_id bigint, qvector array<double>")
         v = self.config["vector"]
-        found = batch_nearest(keyed(restricted(self.records, filter)), queries, v["k"] if k is None else k, metric_name or v["metric"], order="seq", penalty=v["mismatch_penalty"])
-        return found.select("query_id", "rank", "partition_id", *plain("id"), "dist")
+        k, name = v["k"] if k is None else k, metric_name or v["metric"]
+        if method == "exact":
+            found = batch_nearest(keyed(restricted(self.records, filter)), queries, k, name, order="seq", penalty=v["mismatch_penalty"])
+            return found.select("query_id", "rank", "partition_id", *plain("id"), "dist")
+        if method not in self.indexes:
+            raise ValueError(f"no {method!r} index was built" if method in INDEX_KINDS else f"unknown method {method!r}")
+        if filter is not None:
+            raise ValueError("a batch through an index takes no filter")
+        index = self.indexes[method]
+        if method == "pq":
+            found = index[0].batch_search(index[1], queries, k, **options)
+        elif method == "hnsw":
+            found = index.batch_search(queries, k, **{"ef_search": self.config["hnsw"]["ef_search"], **options})
+        else:
+            found = index.batch_search(queries, k, metric_name=name, **options)
+        where = keyed(self.records).select("id", "partition_id")
+        return found.select("query_id", "rank", "id", "dist").join(where, "id", "left").select("query_id", "rank", "partition_id", *plain("id"), "dist")
 
     def similar(self, id: int | str, k: int | None = None, metric_name: str | None = None) -> DataFrame:
         """The k nearest other records of a stored one; none for an unknown id."""
@@ -407,18 +472,42 @@ class Database:
 
     # --- statistics ----------------------------------------------------------------------------------------------
 
-    def _logged(self, method: str, ms: float, k: int, hit: bool | None) -> None:
-        self.log.append((datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), method, float(ms), k, None, hit, None))
-        self._emit("search", method=method, duration_ms=ms, cache_hit=hit)
+    def _logged(self, method: str, ms: float, k: int, hit: bool | None, error: str | None = None) -> None:
+        self.log.append((datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), method, float(ms), k, None, hit, error))
+        self._emit("search:error" if error else "search", method=method, duration_ms=ms, cache_hit=hit)
+        if time.time() - self._snapped >= self.config["monitoring"]["interval_s"]:
+            self.snapshot()
+
+    def snapshot(self) -> dict[str, Any]:
+        """A line of the monitor's history: the searches since the last one. The last ``history`` lines are kept; one is
+        taken with the first search after every interval."""
+        since = datetime.datetime.fromtimestamp(self._snapped, datetime.timezone.utc).replace(tzinfo=None)
+        mine = [x for x in self.log if x[0] >= since]
+        ms = sorted(x[2] for x in mine if x[6] is None)
+        span = max(time.time() - self._snapped, 1e-9)
+        line = {"at": time.time(), "searches": len(mine), "errors": sum(x[6] is not None for x in mine), "avg_ms": sum(ms) / len(ms) if ms else None, "p95_ms": ms[-(-95 * len(ms) // 100) - 1] if ms else None, "queries_per_minute": len(mine) * 60 / span}
+        self.history.append(line)
+        self._snapped = time.time()
+        return line
 
     def query_log(self) -> DataFrame:
         """The last searches (a bounded number)."""
         return self.spark.createDataFrame(list(self.log), monitor.LOG)
 
+    def cluster_stats(self) -> DataFrame:
+        """(cluster_id, dim, size, centroid_norm, radius) of the cluster index, counted now; no rows without one."""
+        if "ivf" not in self.indexes:
+            return self.spark.createDataFrame([], "cluster_id int, dim int, size bigint, centroid_norm double, radius double")
+        index = self.indexes["ivf"]
+        return cluster.cluster_stats(index.records.where(F.col("cluster_id").isNotNull()), index.centroids)
+
     def stats(self) -> dict[str, Any]:
         s = stats.collection_stats(self.records).first().asDict()
         s["dimensions"] = {r.dim: r.n for r in stats.dim_histogram(self.records).collect()}
-        s |= {"partitions": len(self.catalog), "active_partition": self.active_partition(), "indexes": sorted(self.indexes), "searches": len(self.log)}
+        s |= {"partitions": len(self.catalog), "active_partition": self.active_partition(), "indexes": sorted(self.indexes), "searches": len(self.log), "errors": sum(x[6] is not None for x in self.log)}
+        # as many rows as clusters were asked for
+        sizes = [r["size"] for r in self.cluster_stats().select("size").collect()]
+        s["clusters"] = {"count": len(sizes), "smallest": min(sizes, default=0), "largest": max(sizes, default=0), "mean": sum(sizes) / len(sizes) if sizes else 0.0}
         return s
 
     def partition_stats(self) -> DataFrame:

@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 _VERSION = re.compile(r"v\d{8,}")
+#: Where the state of a table without versions is kept.
+_NOTHING = "v00000000"
 
 
 class VersionedTable:
@@ -41,22 +43,39 @@ class VersionedTable:
         taken = self._versions(complete=False)
         name = f"v{(int(taken[-1][1:]) if taken else 0) + 1:08d}"
         if state is not None:
-            fs, p = self._fs(f"state-{name}.json")
-            out = fs.create(p, True)
-            try:
-                out.write(bytearray(json.dumps(state).encode()))
-            finally:
-                out.close()
+            self._write_state(name, state)
         writer = df.write.mode("errorifexists").option("compression", self.compression)
         (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{name}")
         return name
 
+    def _states(self, version: str) -> list[str]:
+        fs, root = self._fs("")
+        if not fs.exists(root):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(root))
+        return sorted(n for n in names if n.startswith(f"state-{version}-") and n.endswith(".json"))
+
+    def _write_state(self, version: str, state: dict[str, Any]) -> None:
+        taken = self._states(version)
+        number = int(taken[-1][:-5].rsplit("-", 1)[1]) + 1 if taken else 0
+        fs, part = self._fs(f".state-{version}-{number:06d}.part")
+        out = fs.create(part, True)
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+        fs.rename(part, self._fs(f"state-{version}-{number:06d}.json")[1])
+
+    def save_state(self, state: dict[str, Any]) -> None:
+        """Keep another ``state`` with the current version (or with the empty table) without writing its rows again."""
+        self._write_state(self.current() or _NOTHING, state)
+
     def state(self, version: str | None = None) -> dict[str, Any] | None:
-        """What was kept with the current (or a given) version."""
-        name = version or self.current()
-        fs, p = self._fs(f"state-{name}.json")
-        if name is None or not fs.exists(p):
+        """What was last kept with the current (or a given) version."""
+        names = self._states(version or self.current() or _NOTHING)
+        if not names:
             return None
+        fs, p = self._fs(names[-1])
         stream = fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -76,7 +95,7 @@ class VersionedTable:
         kept = self._versions()[-keep:] if keep else []
         gone = [n for n in self._versions(complete=False) if n not in kept and (not kept or n < kept[-1])]
         for n in gone:
-            for name in (n, f"state-{n}.json"):
+            for name in (n, *self._states(n)):
                 fs, p = self._fs(name)
                 fs.delete(p, True)
         return gone
