@@ -23,9 +23,10 @@ def partitions(spark: SparkSession, rows: float, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_task))
 
 
-def checked_broadcast(small: DataFrame, rows: int, bound: int = BROADCAST_KEYS) -> DataFrame:
-    """``small`` with a broadcast hint if its counted ``rows`` are within ``bound``; beyond it the planner shuffles."""
-    return F.broadcast(small) if rows <= bound else small
+def checked_broadcast(small: DataFrame, rows: int, bound: int | None = None) -> DataFrame:
+    """``small`` with a broadcast hint if its counted ``rows`` are within ``bound`` (``BROADCAST_KEYS`` by default);
+    beyond it the planner shuffles. Rows are keys of some ten bytes; what is longer is counted by its parts."""
+    return F.broadcast(small) if rows <= (BROADCAST_KEYS if bound is None else bound) else small
 
 
 def repeated_keys(df: DataFrame, key: str) -> tuple[DataFrame, int]:

@@ -2,10 +2,11 @@
 
 A record's components form a multiset; the n-th copy of a value is its own element, so multiset similarity becomes set
 similarity. A signature has ``SEGMENTS * WIDTH`` symbols (minimum hashes of the elements); two records of similarity s
-agree on each with probability s. A segment of four symbols differs in at most one with probability s^4 + 4 s^3 (1 - s),
-0.65 at 0.7, so all six segments differ in more in one pair of 560 there, and in one of 4,000 at 0.75. Each segment is
-indexed under its ``WIDTH`` variants with one symbol deleted. Variants are joined on equality, thinned by a 56-bit
-sketch in the same task, and every remaining pair is verified on its exact multisets.
+agree on each with probability s. A segment of six symbols differs in at most one with probability s^6 + 6 s^5 (1 - s),
+0.42 at 0.7, so all six segments differ in more in one pair of 26 at 0.7 itself, one of 97 at 0.75, one of 660 at 0.8.
+Each segment is indexed under its ``WIDTH`` variants with one symbol deleted. Variants are joined on equality, thinned by
+a 48-bit sketch in the same task, and every remaining pair is verified on its exact multisets. (Shorter segments would
+miss less, but unrelated records of coarse components have 0.06 to 0.14 in common and would meet by the million.)
 
 Groups need no pairs: under each key every entry is linked to one representative. Only keys whose entries are not all of
 one group after that are looked at again, and there only entries of different groups are paired.
@@ -26,13 +27,14 @@ from ..session import cut_lineage as cut
 from .common import checked_broadcast, partitions, spread_pairs, stored_vectors
 from .vectors import by_size
 
-SEGMENTS, WIDTH, SKETCH = 6, 4, 16
-#: Sketch bits in which a candidate may differ; at similarity 0.7 it is 8 on average, more than 18 in one pair of 10,000.
-SKETCH_BITS = 18
+SEGMENTS, WIDTH, SKETCH = 6, 6, 40
+#: Bits of the sketch, one of each of the last hashes, and in how many of them a candidate may differ; at similarity 0.7
+#: it is 7 on average, more than 14 in three pairs of 1,000.
+BITS, SKETCH_BITS = 48, 14
 #: Keys that are looked at again may be sent to every task up to this number (8 bytes each).
 OPEN_KEYS = 2_000_000
 #: Bytes of an index entry, entries of a task, and pair ends (four numbers each) that may be broadcast.
-ENTRY, ENTRIES_PER_TASK, BROADCAST_ENDS = 16, 1_500_000, 1_000_000
+ENTRY, ENTRIES_PER_TASK, BROADCAST_ENDS = 14, 1_500_000, 1_000_000
 _RNG = np.random.default_rng(20)
 _A = (_RNG.integers(1, 2**32, SEGMENTS * WIDTH + SKETCH, dtype=np.uint64) | 1).astype(np.uint32)
 _B = _RNG.integers(1, 2**32, SEGMENTS * WIDTH + SKETCH, dtype=np.uint64).astype(np.uint32)
@@ -55,20 +57,20 @@ def elements(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of shape rows x SEGMENTS * WIDTH, 56-bit sketch: two bits of further hashes, one bit of each symbol)."""
+    """(symbols of shape rows x SEGMENTS * WIDTH, sketch: a bit of each of the last ``BITS`` hashes)."""
     e = mix64(elements(m)).astype(np.uint32)
     symbols = np.empty((len(m), SEGMENTS * WIDTH), np.uint32)
     sketch = np.zeros(len(m), np.uint64)
     for i in range(len(_A)):
-        h = e * _A[i] + _B[i]
+        h = e * _A[i]
+        h += _B[i]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x846CA68B)
         low = h.min(1)
         if i < symbols.shape[1]:
             symbols[:, i] = low
-            sketch |= ((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(2 * SKETCH + i)
-        else:
-            sketch |= ((low * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64) << np.uint64(2 * (i - symbols.shape[1]))
+        if i >= len(_A) - BITS:
+            sketch |= ((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(i - len(_A) + BITS)
     return symbols, sketch
 
 
@@ -82,7 +84,7 @@ def variants(symbols: np.ndarray) -> np.ndarray:
 def to_variants(parts: int, only: np.ndarray | None = None):
     """A mapInArrow function from (uid, vector[, label]) to (part, entries): the variants of a batch, one blob a part.
 
-    An entry is 16 bytes: 40 bits of the key (the rest chose the part), 32 of the uid and the sketch; with a label it has
+    An entry is 14 bytes: 32 bits of the key (the rest chose the part), 32 of the uid and the sketch; with a label it has
     4 more. Blobs instead of rows keep the exchange at the size of the entries and out of the row format. ``only``, a
     sorted array, limits the variants to these keys.
     """
@@ -97,7 +99,7 @@ def to_variants(parts: int, only: np.ndarray | None = None):
                 keys = np.concatenate([variants(symbols) for symbols, _ in done]).reshape(len(rows), -1)
                 row, keys = np.repeat(np.arange(len(rows)), keys.shape[1]), keys.ravel()
                 if only is not None and len(only):
-                    short = (keys // np.uint64(parts) & np.uint64(2**40 - 1)) * np.uint64(parts) + keys % np.uint64(parts)
+                    short = (keys // np.uint64(parts) & np.uint64(2**32 - 1)) * np.uint64(parts) + keys % np.uint64(parts)
                     known = only[np.minimum(np.searchsorted(only, short), len(only) - 1)] == short
                     row, keys = row[known], keys[known]
                 if not len(keys):
@@ -106,11 +108,11 @@ def to_variants(parts: int, only: np.ndarray | None = None):
                 part = (keys % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 row = row[order]
-                entry[:, :5] = (keys // np.uint64(parts))[order].view(np.uint8).reshape(-1, 8)[:, :5]
-                entry[:, 5:9] = uid[rows].astype(np.uint32)[row].view(np.uint8).reshape(-1, 4)
-                entry[:, 9:16] = np.concatenate([sketch for _, sketch in done])[row].view(np.uint8).reshape(-1, 8)[:, :7]
+                entry[:, :4] = (keys // np.uint64(parts))[order].view(np.uint8).reshape(-1, 8)[:, :4]
+                entry[:, 4:8] = uid[rows].astype(np.uint32)[row].view(np.uint8).reshape(-1, 4)
+                entry[:, 8:14] = np.concatenate([sketch for _, sketch in done])[row].view(np.uint8).reshape(-1, 8)[:, :6]
                 if label is not None:
-                    entry[:, 16:] = label[rows].astype(np.uint32)[row].view(np.uint8).reshape(-1, 4)
+                    entry[:, 14:] = label[rows].astype(np.uint32)[row].view(np.uint8).reshape(-1, 4)
                 held, first = np.unique(part[order], return_index=True)
                 offsets = np.append(first, len(entry)).astype(np.int32) * width
                 yield pa.RecordBatch.from_arrays([pa.array(held), pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(entry)])], names=["part", "entries"])
@@ -127,7 +129,7 @@ def buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int
     for part in list(blobs):
         entry = np.frombuffer(b"".join(blobs.pop(part)), np.uint8).reshape(-1, width)
         fields = []
-        for a, b, kind in ((0, 5, np.uint64), (5, 9, np.uint32), (9, 16, np.uint64), *(((16, 20, np.uint32),) if width > ENTRY else ())):
+        for a, b, kind in ((0, 4, np.uint64), (4, 8, np.uint32), (8, 14, np.uint64), *(((14, 18, np.uint32),) if width > ENTRY else ())):
             raw = np.zeros((len(entry), np.dtype(kind).itemsize), np.uint8)
             raw[:, : b - a] = entry[:, a:b]
             fields.append(raw.view(kind).ravel())
@@ -163,7 +165,7 @@ def colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def starred(parts: int):
     """A mapInArrow function from (part, entries) to (key, a, b, n, near): every entry under a key of n entries and the
-    first one under it, and whether their sketches are near. The key is the one of the entry (40 bits) and its part."""
+    first one under it, and whether their sketches are near. The key is the one of the entry (32 bits) and its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, key, uid, sketch, _ in buckets(batches, ENTRY):
