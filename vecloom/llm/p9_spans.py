@@ -207,19 +207,21 @@ def compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts = table.column("run").to_pylist()
     lo, hi, n = (table.column(c).to_numpy() for c in ("lo", "hi", "n"))
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    out = [[], [], [], [], []]
-    for s, e in zip(first, np.append(first[1:], len(gram))):
-        if lo[s:e].min() == hi[s:e].max():
-            continue
-        owner, *rest = segments(texts[s:e], lo[s:e], hi[s:e], n[s:e])
-        for column, x in zip(out, (s + owner, *rest)):
-            column.append(x)
-    if out[0]:
-        row, place, length, path, total = (np.concatenate(c) for c in out)
+    ends = np.append(first[1:], len(gram))
+    size = np.cumsum([len(t) for t in texts])
+    s = 0
+    while s < len(first):
+        # whole grams of together about CHUNK_CHARS; equal k-mers have equal grams, so they are not told apart here
+        begin = first[s]
+        e = max(s + 1, int(np.searchsorted(size[ends - 1], (size[begin - 1] if begin else 0) + CHUNK_CHARS, "right")))
+        x = slice(begin, ends[e - 1])
+        row, place, length, path, total = segments(texts[x], lo[x], hi[x], n[x])
+        row = begin + row
         yield pa.RecordBatch.from_arrays(
-            [table.column(c).combine_chunks().take(pa.array(row)) for c in ("gram", "kind")] + [pa.array(place.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(path.astype(np.int64)), pa.array(total)],
+            [table.column(c).take(pa.array(row)).combine_chunks() for c in ("gram", "kind")] + [pa.array(place.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(path.astype(np.int64)), pa.array(total)],
             names=["gram", "kind", "place", "length", "path", "n"],
         )
+        s = e
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
