@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecloom.llm import p1_subset, p4_top_n, p6_rank_fusion
+from vecloom.llm import common, p1_subset, p4_top_n, p6_rank_fusion
 
 from .conftest import VECTORS, record
 
@@ -66,8 +66,9 @@ def candidates(queries, rows):
     return out
 
 
-@pytest.mark.parametrize("large", [p4_top_n.LARGE_K, 4, 0])
-def test_top_n(tables, large):
+@pytest.mark.parametrize("large, keys", [(p4_top_n.LARGE_K, 400_000), (4, 400_000), (0, 0), (p4_top_n.LARGE_K, 0)])
+def test_top_n(tables, monkeypatch, large, keys):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
     q, r, _ = made()
     most = {x[0]: 10 if x[1] is None else x[1] for x in q}
     want = {(k, i, d) for k, c in candidates(q, r).items() for d, s, i in c[: most[k]]}

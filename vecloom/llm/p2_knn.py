@@ -22,7 +22,7 @@ from ..session import cut_lineage as cut
 from ..session import written
 from .common import checked_broadcast, partitions, repeated_keys, stored_vectors, with_copies
 from .collisions import SortedArrays, Windows, dense, members, projections, radius
-from .vectors import Directions, cell_size, fit_directions, grouped, to_cells, unpack
+from .vectors import Directions, by_size, cell_size, fit_directions, grouped, to_cells, unpack
 
 #: Window radii as cosines, from the narrowest, and queries counted together.
 RADII, TILE = (0.92, 0.85), 256
@@ -31,6 +31,8 @@ LEAST_RADIUS = 0.7
 #: A tile in which more than one pair in so many is a candidate is verified by one matrix product.
 DENSE = 12
 ROWS_PER_TASK = 60_000
+#: Vectors that are compared with all others at once (their block goes to every task).
+OPEN_ROWS = 32_768
 
 
 def best_of_rows(score: np.ndarray, least: float, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,6 +48,12 @@ def best_of_rows(score: np.ndarray, least: float, take: int) -> tuple[np.ndarray
     return first_of_rows(at // score.shape[1], at % score.shape[1], score.ravel()[at], len(score), take)
 
 
+def best_of_rows_above(score: np.ndarray, least: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`best_of_rows` with a least score for every row."""
+    at = np.flatnonzero(score >= least[:, None].astype(np.float32))
+    return first_of_rows(at // score.shape[1], at % score.shape[1], score.ravel()[at], len(score), take)
+
+
 def first_of_rows(row: np.ndarray, col: np.ndarray, val: np.ndarray, rows: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score) of the ``take`` greatest scores of each row, by row; the input is by row, too."""
     order = np.argsort(row - val * 0.25, kind="stable")
@@ -193,27 +201,111 @@ def class_rows(records: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]
     return single.unionByName(one.select("ids", F.col("ids")[0].alias("id"), "vector")), members
 
 
-def knn_lists(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Directions | None = None) -> DataFrame:
-    """(id, near array<string>): the k nearest of each record by cosine descending, then id, as :func:`nearness`.
-
-    Records with no neighbour of at least ``min_cosine`` have no row. Vectors of different sizes never meet. Copies of
-    one vector are compared once and their ids put back. Empty input gives no rows; null, empty, all-zero and
-    non-finite vectors take no part.
-    """
+def nearest_classes(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Directions | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rep, near array<string>) of every distinct vector with a neighbour: its k + 1 nearest ids as :func:`nearness`, copies
+    of its own included; (ids, id, vector) of the distinct vectors; (id, rep) of copies."""
     fit = fit or fit_directions(records, rows)
     distinct, members = class_rows(records, k)
     cells = distinct.mapInArrow(to_cells(fit, "ids"), "cell long, home boolean, own boolean, side boolean, ids array<string>, packed binary")
     spread = cells.select("cell", "own", "side", "ids", "packed").repartition(partitions(records.sparkSession, fit.copies * rows, ROWS_PER_TASK), "cell")
     near = spread.mapInArrow(neighbours_in_cells(k, min_cosine), "rep string, near array<string>")
-    merged = near.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
+    return _merged(near, k), distinct, members
+
+
+def _merged(near: DataFrame, k: int) -> DataFrame:
+    return near.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
+
+
+def _of_records(merged: DataFrame, members: DataFrame | None, k: int) -> DataFrame:
+    """(id, near) of every record: the k nearest other ids."""
     merged = with_copies(merged, members, "rep", "id")
     own = F.filter("near", lambda x: _id(x) != F.col("id"))
     return merged.select("id", F.slice(own, 1, k).alias("near")).where(F.size("near") > 0)
 
 
-def all_neighbours(vectors: DataFrame, k: int = 5, min_cosine: float = 0.5) -> DataFrame:
-    """(id, rank, neighbour_id, cosine) of every stored record. See :func:`knn_lists` for nulls, ties and copies."""
-    lists = knn_lists(stored_vectors(vectors), k, min_cosine, vectors.count())
+def knn_lists(records: DataFrame, k: int, min_cosine: float, rows: int, fit: Directions | None = None) -> DataFrame:
+    """(id, near array<string>): the k nearest of each record by cosine descending, then id, as :func:`nearness`.
+
+    Records with no neighbour of at least ``min_cosine`` have no row. Vectors of different sizes never meet. Copies of
+    one vector are compared once and their ids put back. Empty input gives no rows; null, empty, all-zero and
+    non-finite vectors take no part.
+    """
+    merged, _, members = nearest_classes(records, k, min_cosine, rows, fit)
+    return _of_records(merged, members, k)
+
+
+def against_all(queries, k: int):
+    """A mapInArrow function from (ids, id, vector) of all distinct vectors to (rep, near) of the queries: what is at least
+    as near as the query's bound. ``queries`` is a broadcast of Arrow data (rep, bound, vector) of a bounded block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.ipc.open_stream(queries.value).read_all().combine_chunks()
+        asked = {}
+        for d, rows, m in by_size(block.column("vector")):
+            w = m.astype(np.float64)
+            w /= np.sqrt((w * w).sum(1))[:, None]
+            asked[d] = (w, w.astype(np.float32), block.column("rep").take(pa.array(rows)).combine_chunks(), block.column("bound").to_numpy()[rows].copy())
+        for batch in batches:
+            for d, rows, m in by_size(batch.column("vector")):
+                if d not in asked:
+                    continue
+                w, u, reps, bound = asked[d]
+                names, ids = batch.column("id"), batch.column("ids")
+                for s in range(0, len(rows), 512):
+                    x = m[s : s + 512].astype(np.float64)
+                    x /= np.sqrt((x * x).sum(1))[:, None]
+                    score = u @ x.astype(np.float32).T
+                    q, c, _ = best_of_rows_above(score, bound - 1e-5, min(k + 3, score.shape[1]))
+                    cos = np.round(np.einsum("ij,ij->i", w[q], x[c]), 6)
+                    other = pc.not_equal(reps.take(pa.array(q)), names.take(pa.array(rows[s + c]))).to_numpy(zero_copy_only=False)
+                    keep = (cos >= bound[q]) & other
+                    q, c, cos = q[keep], c[keep], cos[keep]
+                    if not len(q):
+                        continue
+                    # k + 1 that are found here bound what may follow
+                    lists = ids.take(pa.array(rows[s + c]))
+                    times = lists.value_lengths().to_numpy()
+                    group, first, n = np.unique(q, return_index=True, return_counts=True)
+                    full = n > k
+                    bound[group[full]] = np.maximum(bound[group[full]], np.minimum.reduceat(cos, first)[full])
+                    near = nearness(np.repeat(cos, times), lists.flatten())
+                    offsets = np.concatenate([[0], np.cumsum(times)])[np.append(first, len(q))]
+                    yield pa.RecordBatch.from_arrays([reps.take(pa.array(group)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)], names=["rep", "near"])
+
+    return run
+
+
+def completed(merged: DataFrame, distinct: DataFrame, k: int, least: float = RADII[-1], block: int = OPEN_ROWS) -> DataFrame:
+    """``merged`` with the lists of all vectors that lack k neighbours of cosine ``least`` made exact.
+
+    Such vectors have no tight group around them, which is what cells and windows find. They are compared with every
+    vector of their size, a bounded block at a time going to all tasks; what their cells gave bounds what is reported.
+    """
+    spark = distinct.sparkSession
+    cosine = F.transform("near", _cosine)
+    last = F.when(F.size("near") > k, F.element_at(cosine, k + 1)).otherwise(-1.0)
+    open_ = written(merged.select("rep", F.coalesce(last, F.lit(-1.0)).alias("bound")).where(F.col("bound") < least))
+    found = distinct.select(F.col("id").alias("rep"), "vector").join(merged.select("rep"), "rep", "left_anti").select("rep", F.lit(-1.0).alias("bound"), "vector")
+    n_open = open_.count()
+    queries = distinct.select(F.col("id").alias("rep"), "vector").join(checked_broadcast(open_, n_open), "rep").select("rep", "bound", "vector").unionByName(found)
+    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-n_open // block)))).cast("int")))
+    out = merged
+    for (b,) in queries.select("block").distinct().orderBy("block").collect():
+        table = queries.where(F.col("block") == b).select("rep", "bound", "vector").toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        out = out.unionByName(written(_merged(distinct.mapInArrow(against_all(sent, k), "rep string, near array<string>"), k)))
+        sent.unpersist()
+    return _merged(out, k)
+
+
+def all_neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(id, rank, neighbour_id, cosine) of every stored record: its k nearest of whatever cosine, all others of its vector
+    size if there are fewer. See :func:`knn_lists` for nulls, ties and copies."""
+    merged, distinct, members = nearest_classes(stored_vectors(vectors), k, -1.0, vectors.count())
+    lists = _of_records(completed(written(merged), distinct, k), members, k)
     return lists.select("id", F.posexplode("near").alias("p", "x")).select("id", (F.col("p") + 1).cast("int").alias("rank"), _id(F.col("x")).alias("neighbour_id"), _cosine(F.col("x")).alias("cosine"))
 
 

@@ -105,7 +105,9 @@ def candidates(queries: DataFrame, results: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.greatest(F.coalesce("k", F.lit(DEFAULT_K)), F.lit(0)).cast("int").alias("k"), F.when(~asked, F.col("partition_ids")).alias("partition_ids"))
     r = results.where("id IS NOT NULL AND seq IS NOT NULL AND dist IS NOT NULL AND NOT isnan(dist)").select("query_id", "partition_id", "id", "dist", "seq")
     inside = F.col("partition_ids").isNull() | F.coalesce(F.array_contains("partition_ids", F.col("partition_id")), F.lit(False))
-    hits = r.join(checked_broadcast(q, queries.count()), "query_id").where(inside)
+    # partition ids count as keys, too
+    keys = q.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.when(F.col("partition_ids").isNotNull(), F.size("partition_ids"))), F.lit(0))).first()[0]
+    hits = r.join(checked_broadcast(q, keys), "query_id").where(inside)
     return hits.groupBy("query_id", "id").agg(F.min(F.struct((F.col("dist") + 0.0).alias("dist"), "seq")).alias("m"), F.first("k").alias("k")).select("query_id", "k", "m.dist", "m.seq", "id")
 
 
