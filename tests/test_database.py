@@ -185,6 +185,27 @@ def test_persistence(spark, tmp_path):
     assert not Database(spark, path).has_vector("test-4") and again.health()["status"] == "ok"
 
 
+def test_writes_touch_their_partitions_only(spark, tmp_path, monkeypatch):
+    from vecloom.sources import store
+
+    path = str(tmp_path / "db")
+    db = Database(spark, path, partitioning={"capacity": 5})
+    db.bulk_add(random_rows(12))
+    db.bulk_add([{"id": "late", "vector": [1.0]}])
+    db.update_metadata("test-7", {"new": 1})
+    records = tmp_path / "db" / "records"
+    written = {v.name: sorted(p.name[13:] for p in v.iterdir() if p.name.startswith("partition_id=")) for v in records.iterdir() if v.is_dir()}
+    assert written == {"v00000001": ["p1", "p2", "p3"], "v00000002": ["p3"], "v00000003": ["p2"]}
+    again = Database(spark, path, partitioning={"capacity": 5})
+    assert again.stats()["vector_count"] == 13 and again.get_metadata("test-7")["new"] == 1 and again.has_vector("late")
+    db.bulk_add([{"id": "test-0", "vector": [5.0]}])  # moves from the first partition to the last
+    assert db.records.where("id = 'test-0'").count() == 1 and db.records.where("id = 'test-0'").first().partition_id == "p3"
+    assert db._table.vacuum(1) == ["v00000001", "v00000002"] and Database(spark, path).stats()["vector_count"] == 13
+    monkeypatch.setattr(store, "MOST_VERSIONS", 2)
+    db.delete_vector("late")
+    assert db._table.vacuum(1) == ["v00000003", "v00000004"] and Database(spark, path).stats()["vector_count"] == 12
+
+
 def test_versions(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"))
     assert t.current() is None and t.load() is None

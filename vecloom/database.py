@@ -25,7 +25,7 @@ from .operators.rerank import rerank
 from .operators.search import batch_nearest, nearest, restricted
 from .schema import PARTITIONS, RECORDS, check_k, check_vector, encode_id, id_matches, keyed, partition_name_ok, plain, prefer_text_id
 from .session import cut_lineage, ship_package
-from .sources.store import VersionedTable
+from .sources.store import MOST_VERSIONS, VersionedTable
 
 INDEX_KINDS = ("ivf", "lsh", "pq", "hnsw")
 _COLUMNS = [f.split()[0] for f in RECORDS.split(", ")]
@@ -75,16 +75,23 @@ class Database:
     def _state(self) -> dict[str, Any]:
         return {"partitions": list(self.catalog.values()), "counter": self.counter}
 
-    def _commit(self, records: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
-        """Make ``records`` the current version, together with the catalogue and the counter.
+    def _commit(self, touched: Iterable[str], change: Callable[[DataFrame], DataFrame], added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Make a new version in which ``change`` was applied to the records of the ``touched`` partitions, together with
+        the catalogue and the counter. Only these partitions are written.
 
         Graphs take the rows that were ``added`` and drop those that were ``removed``; the other indexes are dropped.
         """
+        touched = list(touched)
+        inside = F.col("partition_id").isin(touched)
+        changed = change(self.records.where(inside)).select(*_COLUMNS)
         if self._table:
-            self._table.save(records.select(*_COLUMNS), self._state())
+            self._table.save_partitions(changed, touched, self._state())
             self.records = self._table.load(RECORDS)
         else:
-            self.records = cut_lineage(records)
+            # untouched records stay in the checkpoints they are in; now and then all are brought into one
+            self.records = self.records.where(~inside).select(*_COLUMNS).unionByName(cut_lineage(changed))
+            if self.version % MOST_VERSIONS == MOST_VERSIONS - 1:
+                self.records = cut_lineage(self.records)
         self.version += 1
         self.cache.clear()
         graph_index = self.indexes.get("hnsw") if added is not None or removed is not None else None
@@ -96,6 +103,11 @@ class Database:
                 graph_index = graph_index.insert(keyed(added))
             self.indexes["hnsw"] = graph_index
 
+    def _partitions_of(self, ids: DataFrame) -> set[str]:
+        """The partitions that hold records of these (id, id_is_num)."""
+        held = self.records.select("partition_id", "id", "id_is_num").join(ids.select("id", "id_is_num").distinct(), ["id", "id_is_num"], "left_semi")
+        return {r[0] for r in held.select("partition_id").distinct().collect()}
+
     def _changed(self) -> None:
         """Keep the catalogue as soon as it changes."""
         if self._table and self.config["auto_save"]:
@@ -231,7 +243,7 @@ class Database:
         new = cut_lineage(placed.select(where.alias("partition_id"), "id", "id_is_num", (F.col("pos") + base).alias("seq"), "vector", "metadata"))
         used = sorted(r[0] for r in new.select("partition_id").distinct().collect())
         progress(0.6, "placed")
-        self._commit(mutations.upsert(self.records, new), added=new)
+        self._commit({*used, *self._partitions_of(new)}, lambda old: mutations.upsert(old, new), added=new)
         progress(1.0, "written")
         self._emit("vector:bulk" if count > 1 else "vector:add", count=count, partitions=used)
         return {"count": count, "partition_ids": used, "skipped": skipped}
@@ -245,7 +257,7 @@ class Database:
         gone = self.spark.createDataFrame([encode_id(i) for i in ids], "id string, id_is_num boolean")
         n = self.records.join(gone.distinct(), ["id", "id_is_num"], "left_semi").count()
         if n:
-            self._commit(mutations.delete(self.records, gone), removed=gone)
+            self._commit(self._partitions_of(gone), lambda old: mutations.delete(old, gone), removed=gone)
             self._emit("vector:delete", count=n)
         return n
 
@@ -254,7 +266,8 @@ class Database:
         if not self.has_vector(id):
             return False
         change = self.spark.createDataFrame([(*encode_id(id), check_vector(vector))], "id string, id_is_num boolean, vector array<float>")
-        self._commit(mutations.update_vectors(self.records, change), added=change.join(self.records.select("id", "id_is_num", "partition_id"), ["id", "id_is_num"]))
+        placed = cut_lineage(change.join(self.records.select("id", "id_is_num", "partition_id"), ["id", "id_is_num"]))
+        self._commit(self._partitions_of(change), lambda old: mutations.update_vectors(old, change), added=placed)
         return True
 
     def set_metadata(self, id: int | str, metadata: dict | None) -> bool:
@@ -266,7 +279,7 @@ class Database:
         if callable(change):
             if not self.has_vector(id):
                 return False
-            self._commit(mutations.map_metadata(self.records, change, id_matches(id)))
+            self._commit(self._partitions_of(self._ids(id)), lambda old: mutations.map_metadata(old, change, id_matches(id)))
             return True
         return self._patch(id, mutations.merge_metadata, json.dumps(change))
 
@@ -275,9 +288,12 @@ class Database:
         if not self.has_vector(id):
             return False
         rows = self.spark.createDataFrame([(*encode_id(id), patch)], "id string, id_is_num boolean, patch string")
-        self._commit(how(self.records, rows))
+        self._commit(self._partitions_of(rows), lambda old: how(old, rows))
         return True
 
+    def _ids(self, *ids: int | str) -> DataFrame:
+        return self.spark.createDataFrame([encode_id(i) for i in ids], "id string, id_is_num boolean")
+
     # --- reads ---------------------------------------------------------------------------------------------------
 
     def _row(self, id: int | str):
