@@ -293,6 +293,7 @@ def test_near_duplicates(spark):
 def test_groups_of_edited_copies_need_few_links(spark, monkeypatch, keys):
     """A chain of drifting copies: the first under a key is not similar to all the others under it."""
     monkeypatch.setattr(common, "BROADCAST_KEYS", keys)  # beyond the bound the joins shuffle
+    monkeypatch.setattr(p5_near_duplicates, "LISTED", 3)
     rng = np.random.default_rng(13)
     base, rows = rng.normal(size=60), []
     for i in range(400):

@@ -8,8 +8,9 @@ Each segment is indexed under its ``WIDTH`` variants with one symbol deleted. Va
 a 48-bit sketch in the same task, and every remaining pair is verified on its exact multisets. (Shorter segments would
 miss less, but unrelated records of coarse components have 0.06 to 0.14 in common and would meet by the million.)
 
-Groups need no pairs: under each key every entry is linked to one representative. Only keys whose entries are not all of
-one group after that are looked at again, and there only entries of different groups are paired.
+Groups need no pairs: under a key of more than ``LISTED`` entries every entry is linked to one representative. Only keys
+whose entries are not all of one group after that are looked at again, and there only entries of different groups are
+paired.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut_lineage as cut
+from ..session import written
 from .common import checked_broadcast, partitions, spread_pairs, stored_vectors
 from .vectors import by_size
 
@@ -31,6 +33,8 @@ SEGMENTS, WIDTH, SKETCH = 6, 6, 40
 #: Bits of the sketch, one of each of the last hashes, and in how many of them a candidate may differ; at similarity 0.7
 #: it is 7 on average, more than 14 in three pairs of 1,000.
 BITS, SKETCH_BITS = 48, 14
+#: Entries of a key whose pairs are all looked at for groups.
+LISTED = 128
 #: Keys that are looked at again may be sent to every task up to this number (8 bytes each).
 OPEN_KEYS = 2_000_000
 #: Bytes of an index entry, entries of a task, and pair ends (four numbers each) that may be broadcast.
@@ -165,22 +169,36 @@ def colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def starred(parts: int):
     """A mapInArrow function from (part, entries) to (key, a, b, n, near): every entry under a key of n entries and the
-    first one under it, and whether their sketches are near. The key is the one of the entry (32 bits) and its part."""
+    first one under it, and whether their sketches are near. The key is the one of the entry (32 bits) and its part. Of
+    keys of up to ``LISTED`` entries all near pairs are given, with key 0 and n = 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, key, uid, sketch, _ in buckets(batches, ENTRY):
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
+            of = np.repeat(size, size)
             centre = np.repeat(first, size)
-            at = np.flatnonzero(centre != np.arange(len(key)))
-            c, n = centre[at], np.repeat(size, size)[at]
+            at = np.flatnonzero((centre != np.arange(len(key))) & (of > LISTED))
+            c = centre[at]
             whole = (key[at] * np.uint64(parts) + np.uint64(part)).view(np.int64)
-            columns = [pa.array(whole), pa.array(uid[c].astype(np.int64)), pa.array(uid[at].astype(np.int64)), pa.array(n), pa.array(_near(sketch[c], sketch[at]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "n", "near"])
+            yield _stars(whole, uid[c], uid[at], of[at], _near(sketch[c], sketch[at]))
+            live, step, pairs = np.flatnonzero((of > 1) & (of <= LISTED)), 1, []
+            while len(live):
+                live = live[live + step < len(key)]
+                live = live[key[live] == key[live + step]]
+                x = live[_near(sketch[live], sketch[live + step])]
+                pairs.append(_ends(uid[x], uid[x + step]))
+                step += 1
+            p = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+            yield _stars(np.zeros(len(p), np.int64), p >> np.uint64(32), p & np.uint64(0xFFFFFFFF), np.full(len(p), 2), np.ones(len(p), bool))
 
     return run
 
 
+def _stars(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(near)], names=["key", "a", "b", "n", "near"])
+
+
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, labelled entries) to (a, b): uids under equal keys with different labels and near sketches.
 
@@ -335,11 +353,11 @@ def star_links(distinct: DataFrame, rows: int, least: float) -> DataFrame:
     records = tagged(distinct)
     parts = _parts(records, rows)
     spread = records.select("uid", "vector").mapInArrow(to_variants(3 * parts), "part long, entries binary").repartition(parts, "part")
-    stars = cut(spread.mapInArrow(starred(3 * parts), "key long, a long, b long, n long, near boolean"))
+    stars = written(spread.mapInArrow(starred(3 * parts), "key long, a long, b long, n long, near boolean"))
     ends = stars.where("near").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut(verified_pairs(records, cut(ends), least).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     found = connected_components(links, "a", "b")
-    # a key of two entries was settled by its only pair
+    # keys of few entries are settled: all their pairs were looked at
     uid = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
     label = cut(found.select(uid("id").alias("uid"), uid("community").alias("label")).groupBy("uid").agg(F.min("label").alias("label")))
     side = lambda c: label.select(F.col("uid").alias(c), F.col("label").alias(f"of_{c}"))
