@@ -48,3 +48,24 @@ def test_axioms():
     for name in ("euclidean", "manhattan", "chebyshev", "hamming"):
         d = METRICS[name].block(x, x)
         assert np.allclose(d, d.T, atol=1e-6) and np.all(d[:, :, None] <= d[:, None, :] + d.T[None] + 1e-6)
+
+
+def test_own_metric(spark):
+    from vecloom.functions import metrics as m
+    from vecloom.operators.index.hnsw import SmallWorldIndex
+    from vecloom.operators.search import batch_nearest, nearest
+
+    own = m.register("canberra", lambda a, b: (np.abs(a - b) / np.maximum(np.abs(a) + np.abs(b), 1e-12)).sum(1))
+    try:
+        rng = np.random.default_rng(0)
+        v = rng.random((80, 6))
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, vector array<double>")
+        want = np.argsort(own.pairs(np.broadcast_to(v[3], v.shape), v), kind="stable")[:5].tolist()
+        assert [r.id for r in nearest(df, v[3].tolist(), 5, "canberra").collect()] == want
+        q = df.where("id = 3").selectExpr("id AS query_id", "vector AS qvector")
+        assert [r.id for r in batch_nearest(df, q, 5, "canberra").orderBy("rank").collect()] == want
+        assert [r.id for r in SmallWorldIndex.build(df, "canberra").search(v[3].tolist(), 5).collect()] == want
+        with pytest.raises(ValueError):
+            m.register("l2", own.pairs)
+    finally:
+        del m.METRICS["canberra"]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.metrics import METRICS, metric
+from ...functions.metrics import Metric, metric
 from ...session import cut_lineage
 from ..search import QUERY_BLOCK, restricted
 
@@ -25,8 +25,8 @@ MAX_LEVEL = 16
 class Graph:
     """One small-world graph in memory. Nodes are row numbers; every level has at most ``m`` links (twice on level 0)."""
 
-    def __init__(self, vectors: np.ndarray, metric_name: str = "euclidean", m: int = 16, ef_construction: int = 200, seed: int = 9):
-        self.v, self.kernel, self.m, self.ef = vectors, METRICS[metric(metric_name).name], m, ef_construction
+    def __init__(self, vectors: np.ndarray, kernel: Metric | str = "euclidean", m: int = 16, ef_construction: int = 200, seed: int = 9):
+        self.v, self.kernel, self.m, self.ef = vectors, metric(kernel) if isinstance(kernel, str) else kernel, m, ef_construction
         self.sign = -1.0 if self.kernel.similarity else 1.0
         self.links: list[list[list[int]]] = []
         self.entry = -1
@@ -95,8 +95,8 @@ class Graph:
         return {k: (x if k == "vectors" else np.array(x, np.int32)).tobytes() for k, x in arrays.items()}
 
     @classmethod
-    def unpacked(cls, row: Any, dim: int, metric_name: str, m: int = 16, ef_construction: int = 200) -> Graph:
-        g = cls(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), metric_name, m, ef_construction)
+    def unpacked(cls, row: Any, dim: int, kernel: Metric | str, m: int = 16, ef_construction: int = 200) -> Graph:
+        g = cls(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), kernel, m, ef_construction)
         flat = np.frombuffer(row["links"], np.int32).tolist()
         ends = np.cumsum(np.frombuffer(row["degrees"], np.int32)).tolist()
         rows = iter([flat[a:b] for a, b in zip([0, *ends[:-1]], ends)])
@@ -152,7 +152,7 @@ class SmallWorldIndex:
 
         Only the shards of the new records are opened. A shard with more than ``REBUILD`` dead nodes is built anew.
         """
-        name, m, ef, seed, kind = self.metric_name, self.m, self.ef_construction, self.seed, self._kind
+        name, m, ef, seed, kind = metric(self.metric_name), self.m, self.ef_construction, self.seed, self._kind
         columns = [c.split()[0] for c in _SHARD.split(", ")]
 
         def grow(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -224,7 +224,7 @@ class SmallWorldIndex:
         if n > QUERY_BLOCK:
             raise ValueError(f"{n} queries at once; search them in blocks of {QUERY_BLOCK}")
         local = q.toPandas()
-        name, kind = self.metric_name, self._kind
+        name, kind = metric(self.metric_name), self._kind
         rows = restricted(self.shards, None, partition_ids).withColumn("ok__", F.lit(None).cast(f"array<{kind}>"))
         if where is not None:
             # a shard without allowed ids is not opened
@@ -250,7 +250,7 @@ class SmallWorldIndex:
                         yield pd.DataFrame({"query_id": query, "k": k, "partition_id": row["partition_id"], "id": [names[n] for _, n in found], "dist": [d for d, _ in found]})
 
         found = rows.mapInPandas(walk, f"query_id {dict(q.dtypes)['query_id']}, k int, partition_id string, id {kind}, dist double")
-        best = F.col("dist").desc() if metric(name).similarity else F.col("dist").asc()
+        best = F.col("dist").desc() if name.similarity else F.col("dist").asc()
         out = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "id"))).where(F.col("rank") <= k)
         return out.select("query_id", F.col("rank").cast("int").alias("rank"), "partition_id", "id", "dist")
 

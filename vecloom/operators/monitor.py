@@ -13,13 +13,17 @@ LOG = "ts timestamp, method string, duration_ms double, k int, results int, cach
 
 
 def moving_average(value: str, order: list[str], n: int = 10, by: list[str] | None = None) -> Column:
-    """Mean of the last n values, the current one included."""
+    """Mean of the last n values, the current one included. Without ``by`` all rows are one window, in one task: meant for
+    a bounded log, such as a database keeps."""
     w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-(n - 1), 0)
     return F.avg(value).over(w)
 
 
-def percentile(value: str, p: float) -> Column:
-    """Nearest-rank percentile, p in 0..1: the value at place ceil(p * n)."""
+def percentile(value: str, p: float, accuracy: int | None = None) -> Column:
+    """Nearest-rank percentile, p in 0..1: the value at place ceil(p * n). The exact one keeps a group's distinct values in
+    one task; with ``accuracy`` a bounded sketch is kept instead, off by at most 1 / accuracy of the ranks."""
+    if accuracy is not None:
+        return F.percentile_approx(value, p, accuracy)
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
 
 
