@@ -48,10 +48,22 @@ def best_of_rows(score: np.ndarray, least: float, take: int) -> tuple[np.ndarray
     return first_of_rows(at // score.shape[1], at % score.shape[1], score.ravel()[at], len(score), take)
 
 
-def best_of_rows_above(score: np.ndarray, least: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`best_of_rows` with a least score for every row."""
-    at = np.flatnonzero(score >= least[:, None].astype(np.float32))
-    return first_of_rows(at // score.shape[1], at % score.shape[1], score.ravel()[at], len(score), take)
+def beyond(u: np.ndarray, v: np.ndarray, least: np.ndarray, take: int, tile: int = 1_024) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``take`` greatest products of each row of ``u`` with the columns of ``v`` that reach ``least`` of
+    the row. Tiles stay in the cache, and most rows are done with their greatest product."""
+    rows, cols = [], []
+    least = least.astype(np.float32)
+    for s in range(0, len(u), tile):
+        score = u[s : s + tile] @ v
+        hit = np.flatnonzero(score.max(1) >= least[s : s + tile])
+        if not len(hit):
+            continue
+        score = score[hit]
+        at = np.flatnonzero(score >= least[s + hit][:, None])
+        r, c, _ = first_of_rows(at // score.shape[1], at % score.shape[1], score.ravel()[at], len(score), take)
+        rows.append(s + hit[r])
+        cols.append(c)
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def first_of_rows(row: np.ndarray, col: np.ndarray, val: np.ndarray, rows: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +161,14 @@ def neighbours_in_cells(k: int, min_cosine: float):
             n_ids = lists.value_lengths().to_numpy()
             ids, start = lists.flatten(), np.cumsum(n_ids) - n_ids
             side, own = cell.column("side").to_numpy(), cell.column("own").to_numpy()
-            # visitors are compared with the rows at home here; two visitors meet in a cell of theirs
-            blocks = [(np.flatnonzero(own & (side == s)), np.flatnonzero(~own & (side == s))) for s in (False, True)]
-            (a, at_a), (b, at_b) = blocks
+            # visitors are compared with the rows at home here, for close neighbours; two visitors meet in a cell of theirs
+            (a, at_a), (b, at_b) = [(np.flatnonzero(own & (side == s)), np.flatnonzero(~own & (side == s))) for s in (False, True)]
+            close = max(min_cosine, RADII[-1])
             if not len(b) + len(at_b):
-                met = [(a, np.concatenate([a, at_a]), True), (at_a, a, False)]
+                met = [(a, np.concatenate([a, at_a]), True, min_cosine), (at_a, a, False, close)]
             else:
-                met = [(a, np.concatenate([b, at_b]), False), (at_a, b, False), (b, np.concatenate([a, at_a]), False), (at_b, a, False)]
-            found = [(x, y, top_of_array(u[x], u[y], k + 1, min_cosine, same)) for x, y, same in met]
+                met = [(a, np.concatenate([b, at_b]), False, min_cosine), (at_a, b, False, close), (b, np.concatenate([a, at_a]), False, min_cosine), (at_b, a, False, close)]
+            found = [(x, y, top_of_array(u[x], u[y], k + 1, least, same)) for x, y, same, least in met]
             q, n = np.concatenate([x[r] for x, _, (r, _) in found]), np.concatenate([y[c] for _, y, (_, c) in found])
             cos = np.round(np.einsum("ij,ij->i", w[q], w[n]), 6)
             copies = np.flatnonzero(n_ids > 1)
@@ -254,8 +266,7 @@ def against_all(queries, k: int):
                 for s in range(0, len(rows), 512):
                     x = m[s : s + 512].astype(np.float64)
                     x /= np.sqrt((x * x).sum(1))[:, None]
-                    score = u @ x.astype(np.float32).T
-                    q, c, _ = best_of_rows_above(score, bound - 1e-5, min(k + 3, score.shape[1]))
+                    q, c = beyond(u, np.ascontiguousarray(x.astype(np.float32).T), bound - 1e-5, k + 3)
                     cos = np.round(np.einsum("ij,ij->i", w[q], x[c]), 6)
                     other = pc.not_equal(reps.take(pa.array(q)), names.take(pa.array(rows[s + c]))).to_numpy(zero_copy_only=False)
                     keep = (cos >= bound[q]) & other
@@ -282,23 +293,27 @@ def completed(merged: DataFrame, distinct: DataFrame, k: int, least: float = RAD
     vector of their size, a bounded block at a time going to all tasks; what their cells gave bounds what is reported.
     """
     spark = distinct.sparkSession
-    cosine = F.transform("near", _cosine)
-    last = F.when(F.size("near") > k, F.element_at(cosine, k + 1)).otherwise(-1.0)
-    open_ = written(merged.select("rep", F.coalesce(last, F.lit(-1.0)).alias("bound")).where(F.col("bound") < least))
-    found = distinct.select(F.col("id").alias("rep"), "vector").join(merged.select("rep"), "rep", "left_anti").select("rep", F.lit(-1.0).alias("bound"), "vector")
+    # the list of a vector with copies holds its own ids
+    wanted = F.lit(k) + F.exists("near", lambda x: _id(x) == F.col("rep")).cast("int")
+    bound = F.when(F.size("near") >= wanted, _cosine(F.element_at("near", wanted))).otherwise(-1.0)
+    lists = merged.withColumn("bound", bound)
+    open_ = written(lists.where(F.col("bound") < least))
     n_open = open_.count()
-    queries = distinct.select(F.col("id").alias("rep"), "vector").join(checked_broadcast(open_, n_open), "rep").select("rep", "bound", "vector").unionByName(found)
-    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-n_open // block)))).cast("int")))
-    out = merged
+    vectors = distinct.select(F.col("id").alias("rep"), "vector")
+    without = vectors.join(merged.select("rep"), "rep", "left_anti").select("rep", F.lit(-1.0).alias("bound"), "vector")
+    queries = vectors.join(checked_broadcast(open_.select("rep", "bound"), n_open), "rep").select("rep", "bound", "vector").unionByName(without)
+    queries = written(queries)
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
+    near = open_.select("rep", "near")
     for (b,) in queries.select("block").distinct().orderBy("block").collect():
         table = queries.where(F.col("block") == b).select("rep", "bound", "vector").toArrow()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as stream:
             stream.write_table(table)
         sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        out = out.unionByName(written(_merged(distinct.mapInArrow(against_all(sent, k), "rep string, near array<string>"), k)))
+        near = near.unionByName(written(distinct.mapInArrow(against_all(sent, k), "rep string, near array<string>")))
         sent.unpersist()
-    return _merged(out, k)
+    return lists.where(F.col("bound") >= least).select("rep", "near").unionByName(_merged(near, k))
 
 
 def all_neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
