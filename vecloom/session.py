@@ -62,11 +62,17 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return tempfile.mkdtemp(prefix="vecloom-")
 
 
-def cut_lineage(df):
-    """Checkpoint in the folder of ``spark.checkpoint.dir`` (see :func:`shared_folder`)."""
-    context = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder of checkpoints, set on first use (see :func:`shared_folder`)."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+        context.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df):
+    """Checkpoint in the folder of ``spark.checkpoint.dir``."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
@@ -74,10 +80,7 @@ def written(df):
     """``df`` written as a compressed table in the shared folder, and read back: a lineage cut for tables that are large
     beside their input, of which a checkpoint would keep plain rows. The tables are deleted when the program ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = context._jsc.sc().getCheckpointDir()
-    base = folder.get() if folder.isDefined() else shared_folder(spark, "tables")
-    path = f"{base}/vecloom-{uuid.uuid4().hex}"
+    path = f"{_checkpoints(spark)}/vecloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -88,5 +91,5 @@ def _delete(spark: SparkSession, path: str) -> None:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session ended before
-        if path.startswith("/"):
-            shutil.rmtree(path, ignore_errors=True)
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
