@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.metrics import METRICS, metric
-from ..cluster import assign, kmeans
+from ..cluster import assign
 from ...session import cut_lineage
 from ..search import nearest, nearest_in_cells
+from .pq import TRAIN_ROWS, lloyd
 
 
 def _nearest_clusters(ids: list[int], vectors: list[np.ndarray], name: str, query: Sequence[float], nprobe: int) -> list[int]:
@@ -32,8 +33,17 @@ class ClusterIndex:
         self.vectors = [np.asarray(r.centroid, np.float64) for r in local]
 
     @classmethod
-    def build(cls, records: DataFrame, clusters: int, seed: int = 1, vector: str = "vector") -> ClusterIndex:
-        c = kmeans(records, clusters, seed=seed, vector=vector)
+    def build(cls, records: DataFrame, clusters: int, seed: int = 1, vector: str = "vector", id: str = "id") -> ClusterIndex:
+        """Centroids of a k-means on at most ``TRAIN_ROWS`` records, the first by a hash of the id; every record is then
+        assigned. Fewer distinct vectors than clusters are the centroids themselves; an empty table has none."""
+        rows = records.where(F.size(vector) > 0)
+        if rows.select(F.size(vector)).distinct().limit(2).count() > 1:
+            raise ValueError("a cluster index needs vectors of one size")
+        sample = rows.orderBy(F.xxhash64(id, F.lit(seed)), id).limit(TRAIN_ROWS).select(F.col(vector).cast("array<double>").alias("v")).collect()
+        m = np.array([r.v for r in sample]) if sample else np.zeros((0, 0))
+        distinct = np.unique(m, axis=0) if len(m) else m
+        centers = distinct if len(distinct) <= clusters else lloyd(m, clusters, 25, 1e-3, np.random.default_rng(seed))
+        c = records.sparkSession.createDataFrame([(i, len(x), [float(y) for y in x]) for i, x in enumerate(centers)], "cluster_id int, dim int, centroid array<float>")
         return cls(cut_lineage(assign(records, c, vector=vector).drop("centroid_dist")), cut_lineage(c))
 
     def save(self, path: str) -> None:

@@ -22,7 +22,7 @@ def suggested_subvectors(dim: int) -> int:
     return min(divisors, key=lambda n: (abs(n - target), n))
 
 
-def _lloyd(m: np.ndarray, k: int, rounds: int, tolerance: float, rng: np.random.Generator) -> np.ndarray:
+def lloyd(m: np.ndarray, k: int, rounds: int, tolerance: float, rng: np.random.Generator) -> np.ndarray:
     distinct = np.unique(m, axis=0)
     if len(distinct) <= k:
         return distinct
@@ -70,7 +70,7 @@ class ProductQuantizer:
         m = np.array([r.v for r in rows])
         parts = np.array_split(np.arange(m.shape[1]), subvectors or suggested_subvectors(m.shape[1]))
         rng = np.random.default_rng(seed)
-        return cls([_lloyd(m[:, p], clusters, rounds, tolerance, rng) for p in parts])
+        return cls([lloyd(m[:, p], clusters, rounds, tolerance, rng) for p in parts])
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, j, [float(x) for x in c]) for i, book in enumerate(self.codebooks) for j, c in enumerate(book)]
