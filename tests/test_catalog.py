@@ -40,7 +40,7 @@ def test_query(spark, sf, con, name):
 
 
 def test_entry(spark, sf):
-    assert entry.entry(spark).count() == 200
+    assert entry.entry(spark).count() == 100
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
