@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.search import batch_nearest
 from ..session import cut_lineage as cut
 from ..session import written
 from .common import checked_broadcast, partitions, repeated_keys, stored_vectors, with_copies
@@ -337,3 +338,32 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_neighbours(spark.read.parquet(f"{sf_dir}/vectors.parquet"))
+
+
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (records, places, reached): of the stored records whose id is a number divisible by 50, whether at least nine
+    tenths of their 5 nearest were found by :func:`all_neighbours`, in every band of cosines (from 0.85, from 0.5, below)."""
+    vectors = spark.read.parquet(f"{sf_dir}/vectors.parquet")
+    stored = stored_vectors(vectors)
+    usable = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
+    records = written(stored.where(F.coalesce(usable, F.lit(False))))
+    asked = records.where(F.col("id").rlike("^[0-9]{1,18}$") & (F.col("id").try_cast("long") % 50 == 0))
+    q = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("qvector"), F.col("id").alias("self_id"))
+    true = batch_nearest(records, q, 5, "cosine", not_self=True).select(F.col("query_id").alias("id"), F.col("id").alias("neighbour_id"), (1 - F.col("dist")).alias("cosine"))
+    found = all_neighbours(vectors).select("id", "neighbour_id", F.lit(1).alias("hit"))
+    band = F.when(F.col("cosine") >= 0.85, 2).when(F.col("cosine") >= 0.5, 1).otherwise(0)
+    each = true.join(found, ["id", "neighbour_id"], "left").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("places"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
+    return each.agg(F.coalesce(F.sum("places"), F.lit(0)).alias("places"), F.coalesce(F.bool_and(F.col("hits") >= 0.9 * F.col("places")), F.lit(True)).alias("reached")).crossJoin(asked.agg(F.count(F.lit(1)).alias("records")))
+
+
+SQL = {
+    "p2_recall": """
+WITH s AS (
+  SELECT id, vector FROM vectors WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+u AS (
+  SELECT id, len(vector) AS d, count(*) OVER (PARTITION BY len(vector)) - 1 AS others FROM s
+  WHERE len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)
+SELECT count(*) AS records, CAST(coalesce(sum(least(5, others)), 0) AS BIGINT) AS places, true AS reached
+FROM u WHERE regexp_full_match(id, '[0-9]{1,18}') AND CASE WHEN regexp_full_match(id, '[0-9]{1,18}') THEN CAST(id AS BIGINT) % 50 = 0 END
+"""
+}

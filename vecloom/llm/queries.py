@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "p1_subset": ("p1_subset",),
-    "p2_knn": ("p2_found", "p2_knn"),
+    "p2_knn": ("p2_found", "p2_knn", "p2_recall"),
     "p3_clusters": ("p3_found", "p3_clusters"),
     "p4_top_n": ("p4_found", "p4_topn"),
     "p5_near_duplicates": ("p5_found", "p5_groups"),
